@@ -12,7 +12,8 @@ from ..functions.timing import minutes_between, seconds_between, seconds_of_day
 from .joins import attach_stats, join_null_safe
 from .quantiles import counted_values, exact_quantiles, long_values, quantiles_of_counts
 
-N = F.count(F.lit(1))
+def _rows() -> Column:
+    return F.count(F.lit(1))
 
 
 # --- profiles ----------------------------------------------------------------------------
@@ -21,7 +22,7 @@ def user_profile(df: DataFrame) -> DataFrame:
     """Order count, income, lateness, lunch habit, lead, spend and span per user."""
     hour = F.avg(F.hour("require_tm"))
     return df.groupBy("user_id").agg(
-        N.alias("u_n_tt"), F.avg("rider_income").alias("u_rinc_avg"),
+        _rows().alias("u_n_tt"), F.avg("rider_income").alias("u_rinc_avg"),
         F.avg(minutes_between("require_tm", "finish_tm")).alias("u_delay_avg"),
         ((hour > 10) & (hour < 14)).alias("u_lunch_avg"),
         F.avg(minutes_between("place_tm", "require_tm")).alias("u_prereq_avg"),
@@ -36,7 +37,7 @@ def user_profile_cluster(df: DataFrame, max_n: int = 10, max_income: float = 110
     from ..functions.timing import epoch_seconds
     req = epoch_seconds("require_tm")
     return df.groupBy("user_id").agg(
-        N.alias("u_n_tt"), F.avg("rider_income").alias("u_rinc_avg"),
+        _rows().alias("u_n_tt"), F.avg("rider_income").alias("u_rinc_avg"),
         F.stddev_samp("rider_income").alias("u_rinc_sd"), F.avg(req).alias("u_req_avg"),
         F.stddev_samp(req).alias("u_req_sd"), F.avg("price").alias("u_price_avg"),
         F.stddev_samp("price").alias("u_price_sd"),
@@ -55,10 +56,10 @@ def market_table(df: DataFrame, day: str | None = None, min_n: int = 5, id: str
     one_day = df.filter(F.to_date("require_tm") == F.lit(day).cast("date")) if day else df
     first = lambda c: F.min_by(c, id).alias(c)
     stores = one_day.groupBy("sup_id", "name").agg(
-        N.alias("n"), *[first(c) for c in ("taste", "envir", "service", "avgexp_lo", "avgexp_up", "tag1")],
+        _rows().alias("n"), *[first(c) for c in ("taste", "envir", "service", "avgexp_lo", "avgexp_up", "tag1")],
         (F.avg(F.col("price") + F.col("rider_income")) / 100).alias("actexp"),
         (F.avg("rider_income") / 100).alias("avgfee"), F.avg("dist").alias("avgdist"))
-    total = one_day.agg(N).scalar()
+    total = one_day.agg(_rows()).scalar()
     return (stores.withColumn("avgexp", (F.col("avgexp_lo") + F.col("avgexp_up")) / 2)
             .withColumns({k: F.col("tag1").isin(v) for k, v in CUISINE_FLAGS.items()})
             .withColumn("size", total).withColumn("shares", F.col("n") / F.col("size"))
@@ -70,7 +71,7 @@ def rider_month(df: DataFrame, subsidy: int = 300, min_income: float | None = No
     ``min_income`` (currency) keeps riders above it."""
     out = df.groupBy("rider_id", F.month("finish_tm").alias("month")).agg(
         F.sum("rider_income").alias("inc"), F.sum(F.col("rider_income") + subsidy).alias("inc_subs"),
-        N.alias("num"), F.avg("speed").alias("speed_avg"), F.stddev_samp("speed").alias("speed_sd"),
+        _rows().alias("num"), F.avg("speed").alias("speed_avg"), F.stddev_samp("speed").alias("speed_sd"),
         F.avg("bdunexp").alias("bdunexp_avg"), F.stddev_samp("bdunexp").alias("bdunexp_sd"))
     return out if min_income is None else out.filter(F.col("inc_subs") / 100 > min_income)
 
@@ -78,7 +79,7 @@ def rider_month(df: DataFrame, subsidy: int = 300, min_income: float | None = No
 def slot_summary(df: DataFrame, max_prereq: float | None = None) -> DataFrame:
     """Mean lead, orders and on-time orders per half-hour slot."""
     out = (df.groupBy("require_date", "require_tmref", "tmref_cat")
-           .agg(F.avg("prereq").alias("avg_prereq"), N.alias("count"),
+           .agg(F.avg("prereq").alias("avg_prereq"), _rows().alias("count"),
                 F.count_if(F.col("delay") < 0).alias("count_ontime"))
            .withColumn("lunch", F.col("tmref_cat") == "lunch"))
     return out if max_prereq is None else out.filter(F.col("avg_prereq") < max_prereq)
@@ -87,7 +88,7 @@ def slot_summary(df: DataFrame, max_prereq: float | None = None) -> DataFrame:
 def orders_per_slot(df: DataFrame) -> DataFrame:
     """Orders read per date and required slot."""
     return (df.groupBy(F.to_date("read_tm").alias("read_date"), "require_tmref")
-            .agg(N.alias("order_n")))
+            .agg(_rows().alias("order_n")))
 
 
 def system_pressure(df: DataFrame) -> DataFrame:
@@ -100,7 +101,7 @@ def day_competition(df: DataFrame, by_slot: bool = False) -> DataFrame:
     day = ["require_date", "tmref_cat"]
     grain = day + (["require_tmref"] if by_slot else [])
     df = df.withColumn("place_sec", seconds_of_day("place_tm"))
-    base = df.groupBy(*grain).agg(N.alias("_n"), F.avg("prereq").alias("prereq_avg"),
+    base = df.groupBy(*grain).agg(_rows().alias("_n"), F.avg("prereq").alias("prereq_avg"),
                                   F.avg("place_sec").alias("place_avg"))
     # the finer table has at most 49 rows per date and daypart
     base = base.withColumn("day_orders", F.sum("_n").over(W.partitionBy(*day))).drop("_n")
@@ -176,7 +177,7 @@ def six_number(df: DataFrame, cols: list[str] | str, where: Column | None = None
 
 def freq(df: DataFrame, a: str, b: str | None = None) -> DataFrame:
     """Counts of one column, or of pairs in long form."""
-    return df.groupBy(*([a] if b is None else [a, b])).agg(N.alias("n"))
+    return df.groupBy(*([a] if b is None else [a, b])).agg(_rows().alias("n"))
 
 
 def freq_wide(df: DataFrame, a: str, b: str, levels: list) -> DataFrame:
@@ -187,11 +188,11 @@ def freq_wide(df: DataFrame, a: str, b: str, levels: list) -> DataFrame:
 def proportions(df: DataFrame, by: list[str], within: list[str] | None = None) -> DataFrame:
     """Share of each key combination, overall or within the ``within`` keys. Windows run on
     the table of counts (one row per combination)."""
-    counts = df.groupBy(*by).agg(N.alias("n"))
+    counts = df.groupBy(*by).agg(_rows().alias("n"))
     if within:
         return attach_stats(counts, list(within), _t=F.sum("n")).withColumn(
             "prop", F.col("n") / F.col("_t")).drop("_t")
-    return counts.withColumn("prop", F.col("n") / df.agg(N).scalar())
+    return counts.withColumn("prop", F.col("n") / df.agg(_rows()).scalar())
 
 
 def null_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -201,7 +202,7 @@ def null_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def row_count(df: DataFrame, where: Column | None = None) -> DataFrame:
-    return df.agg((N if where is None else F.count_if(where)).alias("n"))
+    return df.agg((_rows() if where is None else F.count_if(where)).alias("n"))
 
 
 def distinct_summary(df: DataFrame, key_cols: list[str], cols: list[str], **kw) -> DataFrame:
@@ -217,7 +218,7 @@ def value_counts(df: DataFrame, col: str, lo: float | None = None, hi: float | N
         parts.append(c >= lo if closed[0] else c > lo)
     if hi is not None:
         parts.append(c <= hi if closed[1] else c < hi)
-    return df.filter(reduce(lambda a, b: a & b, parts)).groupBy(col).agg(N.alias("n"))
+    return df.filter(reduce(lambda a, b: a & b, parts)).groupBy(col).agg(_rows().alias("n"))
 
 
 def histogram(df: DataFrame, col: str, binwidth: float, density: bool = False,
@@ -225,7 +226,7 @@ def histogram(df: DataFrame, col: str, binwidth: float, density: bool = False,
     """Bins ``(c-w/2, c+w/2]`` centred on multiples of the width; counts or density."""
     by = list(by)
     centre = F.ceil(F.col(col) / float(binwidth) - 0.5) * float(binwidth)
-    bins = (df.filter(F.col(col).isNotNull()).groupBy(*by, centre.alias("bin")).agg(N.alias("n")))
+    bins = (df.filter(F.col(col).isNotNull()).groupBy(*by, centre.alias("bin")).agg(_rows().alias("n")))
     if not density:
         return bins
     if by:
