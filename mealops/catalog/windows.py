@@ -114,10 +114,10 @@ def _(spark, d):
 @query("w11_around_median", sql("""SELECT place_sec, n_at, n_total, place_rank, place_pct, place_med FROM (
   SELECT place_sec, count(*) AS n_at, max(n_total) AS n_total, min(place_rank) AS place_rank,
   min(place_rank)/max(n_total)::DOUBLE AS place_pct, max(place_med) AS place_med FROM r GROUP BY 1)
-  WHERE place_sec=place_med OR place_sec=place_med-60""", "timed", _PCT, rounds="place_pct place_med"))
+  WHERE abs(place_sec-place_med)<60""", "timed", _PCT, rounds="place_pct place_med"))
 def _(spark, d):
     lunch = timed(spark, d).filter(c("tmref_cat") == "lunch")
-    return win.around_median(win.seconds_distribution(lunch, "place_tm"))
+    return win.around_median(win.seconds_distribution(lunch, "place_tm"), near_s=60)
 
 
 @query("w12_choice_regret", sql("""SELECT id, chosen, avg(eu) OVER w AS eu_avg, avg(u) OVER w AS u_avg,

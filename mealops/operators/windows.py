@@ -181,8 +181,11 @@ def time_of_day_percentile(df: DataFrame, ts: str, by: list[str] = ()) -> DataFr
     return join_null_safe(df.withColumn("place_sec", seconds_of_day(ts)), dist, [*by, "place_sec"])
 
 
-def around_median(dist: DataFrame, earlier_s: int = 60) -> DataFrame:
-    """Distribution rows at the median second and exactly ``earlier_s`` before it."""
+def around_median(dist: DataFrame, earlier_s: int = 60, near_s: int | None = None) -> DataFrame:
+    """Distribution rows at the median second and exactly ``earlier_s`` before it, or with
+    ``near_s`` all rows less than that far from the median."""
+    if near_s is not None:
+        return dist.filter(F.abs(F.col("place_sec") - F.col("place_med")) < near_s)
     return dist.filter((F.col("place_sec") == F.col("place_med"))
                        | (F.col("place_sec") == F.col("place_med") - earlier_s))
 
