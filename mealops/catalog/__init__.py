@@ -5,7 +5,7 @@ from __future__ import annotations
 
 
 def _load():
-    from . import aggregates, base, joins, scalars, text, windows  # noqa: F401
+    from . import aggregates, base, joins, models, scalars, text, windows  # noqa: F401
     return base
 
 

@@ -17,11 +17,8 @@ c = F.col
   row_number() OVER (PARTITION BY rider_id ORDER BY read_tm, id) AS rider_exp,
   row_number() OVER (PARTITION BY sup_id ORDER BY read_tm, id) AS sup_exp FROM meal_orders""", "meal_orders"))
 def _(spark, d):
-    o = meal_orders(spark, d).select("id", "user_id", "rider_id", "sup_id", "place_tm", "read_tm")
-    o = win.experience(o, "user_id", "place_tm", out="user_exp")
-    o = win.experience(o, "rider_id", "read_tm", out="rider_exp")
-    o = win.experience(o, "sup_id", "read_tm", out="sup_exp")
-    return o.select("id", *[c(x).cast("long").alias(x) for x in ("user_exp", "rider_exp", "sup_exp")])
+    return win.experiences(meal_orders(spark, d), {
+        "user_exp": ("user_id", "place_tm"), "rider_exp": ("rider_id", "read_tm"), "sup_exp": ("sup_id", "read_tm")})
 
 
 @query("w02_shifts", sql("SELECT id, rider_id, read_date, r_new_shift, r_shift FROM shifted", "shifted"))

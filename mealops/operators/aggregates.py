@@ -144,9 +144,8 @@ def summary_stats(df: DataFrame, cols: list[str], by: list[str] = (),
     v, n = F.col("_v"), F.col("_n")
     keys = [*by, "column"]
     total = F.sum(n)
-    mean = F.sum(v * n) / total
-    base = counts.groupBy(*keys).agg(
-        total.alias("n"), mean.alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    base = counts.groupBy(*keys).agg(total.alias("n"), (F.sum(v * n) / F.nullif(total, F.lit(0))).alias("mean"),
+                                     F.min("_v").alias("min"), F.max("_v").alias("max"))
     if "sd" in stats:
         # second moment around the mean, so large values do not cancel
         spread = (join_null_safe(counts, base.select(*keys, F.col("mean").alias("_m"), F.col("n").alias("_t")), keys)
@@ -160,19 +159,19 @@ def summary_stats(df: DataFrame, cols: list[str], by: list[str] = (),
 
 
 def six_number(df: DataFrame, cols: list[str] | str, where: Column | None = None,
-               by: list[str] = ()) -> DataFrame:
+               by: list[str] = (), with_n: bool = False) -> DataFrame:
     """min, p25, median, mean, p75, max and the number of NULLs per column."""
     cols = [cols] if isinstance(cols, str) else list(cols)
     by = list(by)
     df = df.filter(where) if where is not None else df
-    long = long_values(df, by, cols)
     keys = [*by, "column"]
-    base = long.groupBy(*keys).agg(
-        F.min("_value").alias("min"), F.avg("_value").alias("mean"), F.max("_value").alias("max"),
-        F.count_if(F.col("_value").isNull()).alias("nulls"))
-    q = exact_quantiles(long, keys, "_value", _QUANTILES)
-    return join_null_safe(base, q, keys).select(
-        *keys, "min", "p25", "median", "mean", "p75", "max", "nulls")
+    counts = counted_values(long_values(df, by, cols), keys, "_value")
+    total = F.nullif(F.sum("_n"), F.lit(0))
+    base = counts.groupBy(*keys).agg(
+        F.sum("_rows").alias("n"), F.min("_v").alias("min"), (F.sum(F.col("_v") * F.col("_n")) / total).alias("mean"),
+        F.max("_v").alias("max"), F.sum(F.col("_rows") - F.col("_n")).alias("nulls"))
+    out = join_null_safe(base, quantiles_of_counts(counts, keys, _QUANTILES), keys)
+    return out.select(*keys, *(["n"] if with_n else []), "min", "p25", "median", "mean", "p75", "max", "nulls")
 
 
 def freq(df: DataFrame, a: str, b: str | None = None) -> DataFrame:
@@ -242,7 +241,7 @@ def box_stats(df: DataFrame, bucket: str, value: str) -> DataFrame:
     counts = counted_values(df, [bucket], value)
     q = quantiles_of_counts(counts, [bucket], {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
-    fenced = join_null_safe(counts, q, [bucket])
+    fenced = join_null_safe(counts.filter(F.col("_n") > 0), q, [bucket])
     inside = (F.col("_v") >= F.col("q1") - 1.5 * iqr) & (F.col("_v") <= F.col("q3") + 1.5 * iqr)
     return fenced.groupBy(bucket, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_v"))).alias("lower"), F.max(F.when(inside, F.col("_v"))).alias("upper"),

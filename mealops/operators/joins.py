@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timing import half_hour_slot
-from .ordered import id_slot, ordered
+from .ordered import id_slot, ordered, ordered_steps
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: list[str] | dict[str, str],
@@ -167,14 +167,11 @@ def previous_distinct(df: DataFrame, user: str = "user_id", store: str = "sup_id
                       time: str = "finish_tm", id: str = "id", out: str = "alt_id") -> DataFrame:
     """For each order the same user's latest earlier order at another store (its id and
     store), NULL when there is none."""
-    seen = ordered(df, [user], [time, id],
-                   lags={"_prev": F.struct(F.col(store).alias("s"), F.col(id).alias("i"))})
-    switched = F.when(~F.col("_prev.s").eqNullSafe(F.col(store)) & F.col("_prev").isNotNull(),
-                      F.col("_prev"))
-    out_df = ordered(seen.withColumn("_switch", switched), [user], [time, id],
-                     carry={"_alt": F.col("_switch")})
-    return (out_df.withColumn(out, F.col("_alt.i")).withColumn(f"{out}_store", F.col("_alt.s"))
-            .drop("_prev", "_switch", "_alt"))
+    here = F.struct(F.col(store).alias("s"), F.col(id).alias("i"))
+    found = ordered_steps(df, [user], [time, id], here,
+                          lambda prev: prev.isNotNull() & ~prev["s"].eqNullSafe(F.col(store)), [store],
+                          carry="_alt")
+    return (found.withColumn(out, F.col("_alt.i")).withColumn(f"{out}_store", F.col("_alt.s")).drop("_alt"))
 
 
 # --- positional --------------------------------------------------------------------------

@@ -12,12 +12,16 @@ into *cells* along its order column (by default the minute of a timestamp):
   it by the fine window, so wide rows are shuffled once.
 
 The cell is a struct of the keys and the cell value, and structs compare NULL fields as
-equal, so NULL keys form a group of their own as they do under dplyr grouping.
+equal, so NULL keys form a group of their own.
+
+The input is evaluated twice (the coarse branch reads only the columns it needs), so it
+should be a stored table or a cheap projection of one. Independent columns over different
+keys are best computed each from that table and joined on the id, not chained.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -82,14 +86,6 @@ def ordered(df: DataFrame, by: list[str], order_by: list[str], *, slot: Column |
     whole = W.partitionBy(*key_cols)
     along = whole.orderBy(F.col(f"{_CELL}.{_SLOT}").asc_nulls_last())
     before = along.rowsBetween(W.unboundedPreceding, -1)
-    cells = base.groupBy(_CELL).agg(*per_cell).select(
-        _CELL,
-        *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in running],
-        *[F.sum(f"_t_{n}").over(whole).alias(f"_t_{n}") for n in totals],
-        *[F.lag(f"_l_{n}").over(along).alias(f"_l_{n}") for n in lags],
-        *[F.lead(f"_f_{n}").over(along).alias(f"_f_{n}") for n in leads],
-        *[F.last(f"_c_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in carry])
-
     inside = base.select(
         "*",
         *[F.coalesce(F.sum(e).over(upto), F.lit(0)).alias(f"_w_s_{n}") for n, e in running.items()],
@@ -97,16 +93,76 @@ def ordered(df: DataFrame, by: list[str], order_by: list[str], *, slot: Column |
         *[F.lead(F.struct(e.alias("v"))).over(fine).alias(f"_w_f_{n}") for n, e in leads.items()],
         *[F.last(e, ignorenulls=True).over(upto).alias(f"_w_c_{n}") for n, e in carry.items()])
 
-    joined = inside.join(cells, _CELL, "left")
-    out = joined.select(
-        *df.columns, *([_CELL] if peaks else []),
+    per_cell += [F.max(f"_w_s_{r}").alias(f"_p_{n}") for n, r in peaks.items()]
+    before_sum = {n: F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)) for n in running}
+    cells = (inside if peaks else base).groupBy(_CELL).agg(*per_cell).select(
+        _CELL,
+        *[before_sum[n].alias(f"_s_{n}") for n in running],
+        *[F.sum(f"_t_{n}").over(whole).alias(f"_t_{n}") for n in totals],
+        *[F.lag(f"_l_{n}").over(along).alias(f"_l_{n}") for n in lags],
+        *[F.lead(f"_f_{n}").over(along).alias(f"_f_{n}") for n in leads],
+        *[F.last(f"_c_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in carry],
+        *[(before_sum[r] + F.col(f"_p_{n}")).alias(f"_p_{n}") for n, r in peaks.items()])
+    if peaks:
+        cells = cells.withColumns({f"_p_{n}": F.max(f"_p_{n}").over(whole) for n in peaks})
+
+    return inside.join(cells, _CELL, "left").select(
+        *df.columns,
         *[(F.col(f"_s_{n}") + F.col(f"_w_s_{n}")).alias(n) for n in running],
         *[F.col(f"_t_{n}").alias(n) for n in totals],
         *[F.coalesce(f"_w_l_{n}", f"_l_{n}")["v"].alias(n) for n in lags],
         *[F.coalesce(f"_w_f_{n}", f"_f_{n}")["v"].alias(n) for n in leads],
-        *[F.coalesce(f"_w_c_{n}", f"_c_{n}").alias(n) for n in carry])
-    if not peaks:
-        return out
-    tops = (out.groupBy(_CELL).agg(*[F.max(r).alias(f"_p_{n}") for n, r in peaks.items()])
-            .select(_CELL, *[F.max(f"_p_{n}").over(whole).alias(n) for n in peaks]))
-    return out.join(tops, _CELL, "left").drop(_CELL)
+        *[F.coalesce(f"_w_c_{n}", f"_c_{n}").alias(n) for n in carry],
+        *[F.col(f"_p_{n}").alias(n) for n in peaks])
+
+
+def ordered_steps(df: DataFrame, by: list[str], order_by: list[str], value: Column,
+                  test: Callable[[Column], Column], uses: list[str], *, slot: Column | None = None,
+                  flag: str | None = None, count: str | None = None, carry: str | None = None) -> DataFrame:
+    """Mark steps between consecutive rows of a group and accumulate them.
+
+    ``test(prev)`` says whether a row starts something new, given the previous row's
+    ``value`` (NULL before the first row) and the row's own columns listed in ``uses``.
+    Outputs, each optional: ``flag`` the mark itself, ``count`` the marks so far, ``carry``
+    the previous-row value at the latest mark.
+    """
+    slot = minute_slot(order_by[0]) if slot is None else slot
+    base = df.withColumn(_CELL, F.struct(*[F.col(b).alias(f"k{i}") for i, b in enumerate(by)],
+                                         slot.alias(_SLOT))).withColumn("_v", F.struct(value.alias("v")))
+    fine = W.partitionBy(_CELL).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
+    upto = fine.rowsBetween(W.unboundedPreceding, W.currentRow)
+    position = F.struct(*order_by)
+    mark = lambda prev: F.coalesce(test(prev["v"]), F.lit(False))
+
+    # inside a cell every row but the first knows its predecessor
+    inside = base.withColumn("_prev", F.lag("_v").over(fine))
+    inside = inside.withColumn("_first", F.col("_prev").isNull())
+    inside = inside.withColumn("_mark", ~F.col("_first") & mark(F.col("_prev")))
+
+    key_cols = [F.col(f"{_CELL}.k{i}") for i in range(len(by))]
+    along = W.partitionBy(*key_cols).orderBy(F.col(f"{_CELL}.{_SLOT}").asc_nulls_last())
+    before = along.rowsBetween(W.unboundedPreceding, -1)
+    cells = (inside.groupBy(_CELL)
+             .agg(F.count_if("_mark").alias("_inner"), F.max_by("_v", position).alias("_last"),
+                  F.max_by("_prev", F.when(F.col("_mark"), position)).alias("_held"),
+                  F.min_by(F.struct(*uses), position).alias("_head"))
+             .withColumn("_cprev", F.lag("_last").over(along))
+             .select(_CELL, "_inner", "_held", "_cprev", "_head.*")
+             .withColumn("_cmark", mark(F.col("_cprev")))
+             .withColumn("_held", F.coalesce("_held", F.when(F.col("_cmark"), F.col("_cprev"))))
+             .select(_CELL, "_cprev", "_cmark",
+                     F.coalesce(F.sum(F.col("_inner") + F.col("_cmark").cast("long")).over(before),
+                                F.lit(0)).alias("_before"),
+                     F.last("_held", ignorenulls=True).over(before).alias("_cheld")))
+    rows = inside.join(cells, _CELL, "left")
+    own = F.when(F.col("_first"), F.col("_cmark")).otherwise(F.col("_mark"))
+    outs = []
+    if flag:
+        outs.append(own.alias(flag))
+    if count:
+        outs.append((F.col("_before") + F.col("_cmark").cast("long") + F.col("_inside")).alias(count))
+        rows = rows.withColumn("_inside", F.sum(F.col("_mark").cast("long")).over(upto))
+    if carry:
+        rows = rows.withColumn("_kept", F.last(F.when(F.col("_mark"), F.col("_prev")), ignorenulls=True).over(upto))
+        outs.append(F.coalesce("_kept", F.when(F.col("_cmark"), F.col("_cprev")), "_cheld")["v"].alias(carry))
+    return rows.select(*df.columns, *outs)

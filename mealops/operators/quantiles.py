@@ -22,16 +22,17 @@ def _bin(value: Column) -> Column:
 
 
 def counted_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(group, value, n) over the non-NULL values: the map-side pre-aggregation."""
-    return (df.filter(F.col(value).isNotNull())
-            .groupBy(*by, F.col(value).cast("double").alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_n")))
+    """(group, value) with ``_n`` non-NULL values and ``_rows`` rows: the map-side
+    pre-aggregation. NULLs stay as a row with ``_n`` 0, so that everything computed from
+    these counts shares one shuffle."""
+    return (df.groupBy(*by, F.col(value).cast("double").alias("_v"))
+            .agg(F.count(value).alias("_n"), F.count(F.lit(1)).alias("_rows")))
 
 
 def quantiles_of_counts(counts: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
     """``probs`` maps output name to probability; interpolation is linear between the two
     closest ranks. Input columns are ``by, _v, _n``."""
-    binned = counts.withColumn("_b", _bin(F.col("_v")))
+    binned = counts.filter(F.col("_n") > 0).withColumn("_b", _bin(F.col("_v")))
     whole = W.partitionBy(*by)
     along = whole.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     coarse = (binned.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timing import decimal_hour, epoch_seconds, seconds_between, seconds_of_day
 from .joins import attach_stats, join_null_safe, left_lookup
-from .ordered import ordered
+from .ordered import ordered, ordered_steps
 
 
 def experience(df: DataFrame, key: str, time: str, id: str = "id", out: str = "exp") -> DataFrame:
@@ -37,6 +37,16 @@ def lag_orders(df: DataFrame, by: list[str], cols: list[str], time: str = "place
     return out.filter(F.col(f"{cols[0]}_lag1").isNotNull()) if drop_first else out
 
 
+def experiences(df: DataFrame, keys: dict[str, tuple[str, str]], id: str = "id") -> DataFrame:
+    """Several experience columns at once, ``{out: (key, time)}``: each is computed from the
+    input on the three columns it needs and they meet on the id."""
+    out = None
+    for name, (key, time) in keys.items():
+        one = experience(df.select(id, key, time), key, time, id, name).select(id, name)
+        out = one if out is None else out.join(one, id)
+    return out
+
+
 # --- shifts ------------------------------------------------------------------------------
 
 def shifts(df: DataFrame, rider: str = "rider_id", read_tm: str = "read_tm",
@@ -44,11 +54,9 @@ def shifts(df: DataFrame, rider: str = "rider_id", read_tm: str = "read_tm",
     """``read_date``, ``r_new_shift`` and ``r_shift``: within a rider's day a new shift starts
     when an order is read more than ``gap_h`` hours after the previous one was finished."""
     dated = df.withColumn("read_date", F.to_date(read_tm))
-    by, order = [rider, "read_date"], [read_tm, id]
-    lagged = ordered(dated, by, order, lags={"_prev": F.col(finish_tm)})
-    flagged = lagged.withColumn("r_new_shift", F.coalesce(
-        seconds_between("_prev", read_tm) > gap_h * 3600, F.lit(False))).drop("_prev")
-    return ordered(flagged, by, order, running={"r_shift": F.col("r_new_shift").cast("int")})
+    return ordered_steps(dated, [rider, "read_date"], [read_tm, id], F.col(finish_tm),
+                         lambda prev: seconds_between(prev, read_tm) > gap_h * 3600, [read_tm],
+                         flag="r_new_shift", count="r_shift")
 
 
 def shift_rollup(df: DataFrame, rider: str = "rider_id") -> DataFrame:

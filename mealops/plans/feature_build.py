@@ -9,7 +9,7 @@ from ..functions.numeric import safe_ratio
 from ..functions.timing import durations_min, half_hour_slot
 from ..operators.aggregates import orders_per_slot, user_profile
 from ..operators.joins import active_at_ticks, left_lookup
-from ..operators.windows import (avg_on_hand, cumulative_shift_orders, experience, shift_rollup, shifts)
+from ..operators.windows import (avg_on_hand, cumulative_shift_orders, experiences, shift_rollup, shifts)
 
 
 def add_slots(df: DataFrame) -> DataFrame:
@@ -33,19 +33,18 @@ def add_work_ratio(df: DataFrame, roster: DataFrame | None = None) -> DataFrame:
 def feature_build(orders: DataFrame, roster: DataFrame | None = None) -> DataFrame:
     """Durations, slots, work ratio, experience, load on hand, shifts and user profile.
 
-    The experience, shift and load columns are each computed on the few columns they need
-    and meet again on the order id, so wide rows are not carried through every sort.
+    The experience, shift and load columns are each computed from the stored orders on the
+    few columns they need and meet again on the order id, so wide rows are not carried
+    through every sort. Give a stored ``roster`` at scale: it is a table per day and half
+    hour that need not be derived again.
     """
-    timed = add_slots(durations_min(orders))
-    df = add_work_ratio(timed, roster)
-    keys = orders.select("id", "user_id", "rider_id", "sup_id", "place_tm", "read_tm", "finish_tm")
-    history = experience(keys, "user_id", "place_tm", out="user_exp")
-    history = experience(history, "sup_id", "read_tm", out="sup_exp")
-    history = experience(history, "rider_id", "read_tm", out="rider_exp")
-    shifted = shifts(history)
+    df = add_work_ratio(add_slots(durations_min(orders)), roster)
+    history = experiences(orders, {"user_exp": ("user_id", "place_tm"), "rider_exp": ("rider_id", "read_tm"),
+                                   "sup_exp": ("sup_id", "read_tm")})
+    shifted = shifts(orders.select("id", "rider_id", "read_tm", "finish_tm"))
     table = cumulative_shift_orders(shift_rollup(shifted)).drop("begin", "end")
-    shifted = left_lookup(shifted, table, ["rider_id", "read_date", "r_shift"], null_safe=True)
-    derived = shifted.select("id", "user_exp", "sup_exp", "rider_exp", "read_date", "r_new_shift",
-                             "r_shift", "r_inshift_n", "r_exp_n")
-    df = left_lookup(left_lookup(df, derived, "id"), avg_on_hand(orders), "id")
+    shifted = (left_lookup(shifted, table, ["rider_id", "read_date", "r_shift"], null_safe=True)
+               .select("id", "read_date", "r_new_shift", "r_shift", "r_inshift_n", "r_exp_n"))
+    for derived in (history, shifted, avg_on_hand(orders)):
+        df = left_lookup(df, derived, "id")
     return left_lookup(df, user_profile(orders), "user_id")

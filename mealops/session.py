@@ -29,6 +29,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the shared folder the session names; only an unset session gets its own."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="mealops-ckpt-"))
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   memory: str = "8g", app: str = "mealops") -> SparkSession:
     """Single-JVM session for tests and the bench."""
@@ -38,7 +45,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                .config("spark.driver.memory", memory)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     spark = builder.getOrCreate()
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mealops-ckpt-"))
+    ensure_checkpoint_dir(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
