@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _assembled(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
+def _assembled(df: DataFrame, cols: list[str], out: str) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(df)
 
 
@@ -49,9 +49,9 @@ def pca(df: DataFrame, cols: list[str], k: int | None = None) -> DataFrame:
     """Principal components of centred and scaled columns: (component, prop_var, column,
     loading). A component is oriented so that its largest loading is positive."""
     cols = list(cols)
-    data = _assembled(df.select([F.col(c).cast("double").alias(c) for c in cols]), cols)
-    scaled = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="z").fit(data).transform(data)
-    model = PCA(k=k or len(cols), inputCol="z", outputCol="pc").fit(scaled)
+    data = _assembled(df.select([F.col(c).cast("double").alias(c) for c in cols]), cols, "_features")
+    scaled = StandardScaler(withMean=True, withStd=True, inputCol="_features", outputCol="_scaled").fit(data).transform(data)
+    model = PCA(k=k or len(cols), inputCol="_scaled", outputCol="_pc").fit(scaled)
     loadings, var = model.pc.toArray(), model.explainedVariance.toArray()
     rows = []
     for j in range(loadings.shape[1]):

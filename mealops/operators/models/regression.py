@@ -20,14 +20,15 @@ INTERCEPT = "(Intercept)"
 def design_columns(df: DataFrame, factors: dict[str, list] = (), interactions: list[str] = (),
                    complete: list[str] = ()) -> tuple[DataFrame, list[str]]:
     """Model columns: 0/1 dummies for every factor level but the first (levels given in
-    order, named ``<factor><level>``) and products for ``a:b``; optionally complete cases.
+    order, named ``<factor><level>``, dots as underscores) and products for ``a:b``; optionally complete cases.
     Returns the frame and the names it added."""
     added: list[str] = []
     for name, levels in dict(factors).items():
         c = F.col(name)
         for level in list(levels)[1:]:
-            df = df.withColumn(f"{name}{level}", F.when(c.isNotNull(), (c == F.lit(level)).cast("int")))
-            added.append(f"{name}{level}")
+            dummy = f"{name}{level}".replace(".", "_")
+            df = df.withColumn(dummy, F.when(c.isNotNull(), (c == F.lit(level)).cast("int")))
+            added.append(dummy)
     for term in interactions:
         out = None
         for part in term.split(":"):

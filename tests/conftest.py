@@ -25,10 +25,10 @@ def data_dir():
 
 @pytest.fixture
 def make(spark):
-    """``make("a int, b string", [(1, "x"), ...])``; timestamps as text cast to naive."""
+    """``make("a int, b string", [(1, "x"), ...])``; dates and stamps given as text."""
     def build(schema: str, rows):
         fields = [f.strip().split(" ") for f in schema.split(",")]
-        raw = ", ".join(f"{n} {'string' if t == 'timestamp_ntz' else t}" for n, t in fields)
+        raw = ", ".join(f"{n} {'string' if t in ('timestamp_ntz', 'date') else t}" for n, t in fields)
         df = spark.createDataFrame(rows, raw)
         return df.select([df[n].cast(t).alias(n) for n, t in fields])
     return build
