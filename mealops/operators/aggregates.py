@@ -191,7 +191,7 @@ def proportions(df: DataFrame, by: list[str], within: list[str] | None = None) -
     if within:
         return attach_stats(counts, list(within), _t=F.sum("n")).withColumn(
             "prop", F.col("n") / F.col("_t")).drop("_t")
-    return counts.withColumn("prop", F.col("n") / df.agg(_rows()).scalar())
+    return counts.withColumn("prop", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def null_counts(df: DataFrame, cols: list[str]) -> DataFrame:

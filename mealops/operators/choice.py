@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.readers import append_frames
@@ -11,8 +12,9 @@ from ..sources.readers import append_frames
 def choice_set(chosen: DataFrame, alternatives: DataFrame, required_cols: list[str],
                id: str = "id") -> DataFrame:
     """Chosen (1) and alternative (0) rows with complete attributes; ids left with a single
-    row are dropped. Sets are counted by a map-side aggregate and kept by a semi-join."""
+    row are dropped. An order has one chosen row and its few alternatives, so the window
+    that counts them is small whatever the data size."""
     both = append_frames(chosen.withColumn("chosen", F.lit(1)),
-                         alternatives.withColumn("chosen", F.lit(0))).dropna(subset=required_cols)
-    full = both.groupBy(id).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(id)
-    return both.join(full, id, "left_semi")
+                         alternatives.withColumn("chosen", F.lit(0))).dropna(subset=[id, *required_cols])
+    return (both.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(id)))
+            .filter(F.col("_n") > 1).drop("_n"))

@@ -11,8 +11,8 @@ into *cells* along its order column (by default the minute of a timestamp):
 * the coarse result joins back on the cell. The rows are already partitioned and sorted on
   it by the fine window, so wide rows are shuffled once.
 
-The cell is a struct of the keys and the cell value, and structs compare NULL fields as
-equal, so NULL keys form a group of their own.
+NULL keys form a group of their own: a key travels as a NULL flag and a filled value, so
+that plain equality joins it and the join can use the partitioning and sort of the window.
 
 The input is evaluated twice (the coarse branch reads only the columns it needs), so it
 should be a stored table or a cheap projection of one. Independent columns over different
@@ -26,9 +26,9 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_CELL = "_cell"
-_SLOT = "_slot"
+_SLOT = ["_slot_null", "_slot"]
 
 
 def minute_slot(ts: str | Column) -> Column:
@@ -40,6 +40,31 @@ def id_slot(key: str | Column, width: int = 65536) -> Column:
     return F.floor((F.col(key) if isinstance(key, str) else key) / width)
 
 
+def _filled(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        default = F.lit("")
+    elif isinstance(kind, T.NumericType):
+        default = F.lit(0).cast(kind)
+    elif isinstance(kind, T.BooleanType):
+        default = F.lit(False)
+    else:
+        default = F.lit("1970-01-01").cast(kind)
+    return F.coalesce(c, default)
+
+
+def _celled(df: DataFrame, by: list[str], slot: Column) -> tuple[DataFrame, list[str]]:
+    """Add key and slot columns that are never NULL; returns the names of the keys."""
+    kinds = {b: df.schema[b].dataType for b in by}
+    slot_kind = df.select(slot.alias("s")).schema["s"].dataType
+    cols, keys = {}, []
+    for i, b in enumerate(by):
+        cols[f"_k{i}"] = _filled(F.col(b), kinds[b])
+        cols[f"_k{i}_null"] = F.col(b).isNull()
+        keys += [f"_k{i}", f"_k{i}_null"]
+    cols[_SLOT[0]], cols[_SLOT[1]] = slot.isNull(), _filled(slot, slot_kind)
+    return df.withColumns(cols), keys
+
+
 def ordered(df: DataFrame, by: list[str], order_by: list[str], *, slot: Column | None = None,
             running: Mapping[str, Column] | None = None,
             lags: Mapping[str, Column] | None = None,
@@ -62,10 +87,10 @@ def ordered(df: DataFrame, by: list[str], order_by: list[str], *, slot: Column |
     carry, totals, peaks = dict(carry or {}), dict(totals or {}), dict(peaks or {})
     slot = minute_slot(order_by[0]) if slot is None else slot
 
-    base = df.withColumn(_CELL, F.struct(*[F.col(b).alias(f"k{i}") for i, b in enumerate(by)],
-                                         slot.alias(_SLOT)))
+    base, keys = _celled(df, by, slot)
+    cell = [*keys, *_SLOT]
     sort_keys = [F.col(c).asc_nulls_last() for c in order_by]
-    fine = W.partitionBy(_CELL).orderBy(*sort_keys)
+    fine = W.partitionBy(*cell).orderBy(*sort_keys)
     upto = fine.rowsBetween(W.unboundedPreceding, W.currentRow)
     position = F.struct(*order_by)
 
@@ -82,9 +107,8 @@ def ordered(df: DataFrame, by: list[str], order_by: list[str], *, slot: Column |
     for name, expr in carry.items():
         per_cell.append(F.max_by(expr, F.when(expr.isNotNull(), position)).alias(f"_c_{name}"))
 
-    key_cols = [F.col(f"{_CELL}.k{i}") for i in range(len(by))]
-    whole = W.partitionBy(*key_cols)
-    along = whole.orderBy(F.col(f"{_CELL}.{_SLOT}").asc_nulls_last())
+    whole = W.partitionBy(*keys)
+    along = whole.orderBy(*_SLOT)
     before = along.rowsBetween(W.unboundedPreceding, -1)
     inside = base.select(
         "*",
@@ -95,8 +119,8 @@ def ordered(df: DataFrame, by: list[str], order_by: list[str], *, slot: Column |
 
     per_cell += [F.max(f"_w_s_{r}").alias(f"_p_{n}") for n, r in peaks.items()]
     before_sum = {n: F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)) for n in running}
-    cells = (inside if peaks else base).groupBy(_CELL).agg(*per_cell).select(
-        _CELL,
+    cells = (inside if peaks else base).groupBy(*cell).agg(*per_cell).select(
+        *cell,
         *[before_sum[n].alias(f"_s_{n}") for n in running],
         *[F.sum(f"_t_{n}").over(whole).alias(f"_t_{n}") for n in totals],
         *[F.lag(f"_l_{n}").over(along).alias(f"_l_{n}") for n in lags],
@@ -106,7 +130,7 @@ def ordered(df: DataFrame, by: list[str], order_by: list[str], *, slot: Column |
     if peaks:
         cells = cells.withColumns({f"_p_{n}": F.max(f"_p_{n}").over(whole) for n in peaks})
 
-    return inside.join(cells, _CELL, "left").select(
+    return inside.join(cells, cell, "left").select(
         *df.columns,
         *[(F.col(f"_s_{n}") + F.col(f"_w_s_{n}")).alias(n) for n in running],
         *[F.col(f"_t_{n}").alias(n) for n in totals],
@@ -127,9 +151,10 @@ def ordered_steps(df: DataFrame, by: list[str], order_by: list[str], value: Colu
     the previous-row value at the latest mark.
     """
     slot = minute_slot(order_by[0]) if slot is None else slot
-    base = df.withColumn(_CELL, F.struct(*[F.col(b).alias(f"k{i}") for i, b in enumerate(by)],
-                                         slot.alias(_SLOT))).withColumn("_v", F.struct(value.alias("v")))
-    fine = W.partitionBy(_CELL).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
+    base, keys = _celled(df, by, slot)
+    cell = [*keys, *_SLOT]
+    base = base.withColumn("_v", F.struct(value.alias("v")))
+    fine = W.partitionBy(*cell).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
     upto = fine.rowsBetween(W.unboundedPreceding, W.currentRow)
     position = F.struct(*order_by)
     mark = lambda prev: F.coalesce(test(prev["v"]), F.lit(False))
@@ -139,22 +164,21 @@ def ordered_steps(df: DataFrame, by: list[str], order_by: list[str], value: Colu
     inside = inside.withColumn("_first", F.col("_prev").isNull())
     inside = inside.withColumn("_mark", ~F.col("_first") & mark(F.col("_prev")))
 
-    key_cols = [F.col(f"{_CELL}.k{i}") for i in range(len(by))]
-    along = W.partitionBy(*key_cols).orderBy(F.col(f"{_CELL}.{_SLOT}").asc_nulls_last())
+    along = W.partitionBy(*keys).orderBy(*_SLOT)
     before = along.rowsBetween(W.unboundedPreceding, -1)
-    cells = (inside.groupBy(_CELL)
-             .agg(F.count_if("_mark").alias("_inner"), F.max_by("_v", position).alias("_last"),
-                  F.max_by("_prev", F.when(F.col("_mark"), position)).alias("_held"),
-                  F.min_by(F.struct(*uses), position).alias("_head"))
-             .withColumn("_cprev", F.lag("_last").over(along))
-             .select(_CELL, "_inner", "_held", "_cprev", "_head.*")
+    per_cell = inside.groupBy(*cell).agg(
+        F.count_if("_mark").alias("_inner"), F.max_by("_v", position).alias("_last"),
+        F.max_by("_prev", F.when(F.col("_mark"), position)).alias("_held"),
+        F.min_by(F.struct(*uses), position).alias("_head"))
+    cells = (per_cell.withColumn("_cprev", F.lag("_last").over(along))
+             .select(*cell, "_inner", "_held", "_cprev", "_head.*")
              .withColumn("_cmark", mark(F.col("_cprev")))
              .withColumn("_held", F.coalesce("_held", F.when(F.col("_cmark"), F.col("_cprev"))))
-             .select(_CELL, "_cprev", "_cmark",
+             .select(*cell, "_cprev", "_cmark",
                      F.coalesce(F.sum(F.col("_inner") + F.col("_cmark").cast("long")).over(before),
                                 F.lit(0)).alias("_before"),
                      F.last("_held", ignorenulls=True).over(before).alias("_cheld")))
-    rows = inside.join(cells, _CELL, "left")
+    rows = inside.join(cells, cell, "left")
     own = F.when(F.col("_first"), F.col("_cmark")).otherwise(F.col("_mark"))
     outs = []
     if flag:

@@ -84,14 +84,15 @@ def to_events(df: DataFrame, ids: list[str], ts_cols: list[str], name: str = "ac
 def _hand_events(df: DataFrame, rider: str, start: str, end: str, id: str) -> DataFrame:
     picked = df.filter(F.col(start).isNotNull())
     events = to_events(picked, [rider, id], [start, end])
-    return events.withColumn("delta", F.when(F.col("action") == start, 1).otherwise(-1))
+    return (events.withColumn("delta", F.when(F.col("action") == start, 1).otherwise(-1))
+            .withColumn("_end", F.col("action") == end))
 
 
 def on_hand(df: DataFrame, rider: str = "rider_id", start: str = "arrive_tm",
             end: str = "finish_tm", id: str = "id") -> DataFrame:
     """Event rows with the number of orders the rider holds right after each event."""
-    return ordered(_hand_events(df, rider, start, end, id), [rider], ["tm", "action", id],
-                   running={"onhand": F.col("delta")})
+    return ordered(_hand_events(df, rider, start, end, id), [rider], ["tm", "_end", id],
+                   running={"onhand": F.col("delta")}).drop("_end")
 
 
 def avg_on_hand(df: DataFrame, rider: str = "rider_id", start: str = "arrive_tm",
@@ -104,7 +105,7 @@ def avg_on_hand(df: DataFrame, rider: str = "rider_id", start: str = "arrive_tm"
     the difference between its two own events; no overlap join.
     """
     events = _hand_events(df, rider, start, end, id).withColumn("_t", epoch_seconds("tm"))
-    held = ordered(events, [rider], ["tm", "action", id],
+    held = ordered(events, [rider], ["tm", "_end", id],
                    running={"_d": F.col("delta"), "_m": F.col("delta") * F.col("_t")})
     area = F.col("_t") * F.col("_d") - F.col("_m")
     at = lambda e, col: F.max(F.when(F.col("action") == e, col))
