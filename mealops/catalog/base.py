@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.timing import daypart, durations_min, half_hour_slot
 from ..operators.windows import avg_on_hand
 from ..operators.joins import left_lookup
+from ..session import configure
 from ..sources.fixtures import meal_orders, route_lookup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,8 +163,7 @@ def query(name: str, oracle: str | None = None, digits: int = 6):
     """Register a query (results rounded) and its oracle SQL."""
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return rounded(fn(spark, sf_dir), digits)
+            return rounded(fn(configure(spark), sf_dir), digits)
 
         run.__name__, run.__doc__ = name, fn.__doc__
         if name in QUERIES:

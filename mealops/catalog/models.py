@@ -140,7 +140,7 @@ def _(spark, d):
 def _(spark, d):
     o = timed(spark, d).withColumn("treat", threshold_flag("left1", 8))
     return causal.match_att(o, "delay", "treat", ["ride", "menu_num"], weights={"menu_num": 2.0},
-                            blocks=["tmref_cat"], start=0.02)
+                            blocks=["tmref_cat"])
 
 
 def _bal(x: str) -> str:

@@ -38,16 +38,39 @@ def _profiles(df: DataFrame, keys: list[str], y: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(y).cast("double")).alias("_sy"))
 
 
+_RADII = [2.0 ** j for j in range(6, -16, -1)]  # in sample deviations
+
+
+def _affordable_radius(treated: DataFrame, controls: DataFrame, z: list[str], blocks: list[str],
+                       per_row: int = 8) -> float:
+    """Largest radius whose cells hold at most ``per_row`` candidate pairs per profile on
+    average. Pairs are counted from cell sizes, never formed; one number per radius comes
+    to the driver."""
+    def sizes(side: DataFrame, prefix: str, out: str) -> DataFrame:
+        at = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.array(
+            *[F.floor(F.col(prefix + zi) / (2 * r)) for zi in z]).alias("cell")) for r in _RADII]))
+        return (side.select(*blocks, at.alias("_a")).select(*blocks, "_a.*")
+                .groupBy(*blocks, "r", "cell").agg(F.count(F.lit(1)).cast("double").alias(out)))
+
+    t, c = sizes(treated, "", "nt"), sizes(controls, "_c", "nc")
+    pairs = {row["r"]: row["p"] for row in t.join(c, [*blocks, "r", "cell"]).groupBy("r")
+             .agg(F.sum(F.col("nt") * F.col("nc")).alias("p")).collect()}
+    budget = per_row * (treated.count() + controls.count())
+    return next((r for r in _RADII if pairs.get(r, 0.0) <= budget), _RADII[-1])
+
+
 def match_pairs(df: DataFrame, y: str, treat: str, xs: list[str], weights: dict[str, float] | None = None,
-                blocks: list[str] = (), start: float = 0.05, tolerance: float = 1e-9,
-                max_levels: int = 60) -> DataFrame:
+                blocks: list[str] = (), start: float | None = None, tolerance: float = 1e-9,
+                max_levels: int = 80) -> DataFrame:
     """Nearest control profiles of each treated profile, ties kept, controls reusable.
 
     Distance is Euclidean over columns divided by their sample deviation, times an optional
     weight per column; ``blocks`` must agree exactly. Rows with equal covariates are one
     profile (count and outcome sum), so copies never multiply.
 
-    Search radius r starts at ``start`` and doubles: space is cut in cells of side 2r, a
+    Search radius r starts at ``start`` (by default the largest one at which the cells give
+    only a few candidates per row) and at least doubles, jumping further when few profiles
+    are left: space is cut in cells of side 2r, a
     treated profile meets only the controls in the (at most 2 per column) cells its r-ball
     touches, and whatever is found within r is exactly the nearest. Profiles with nothing
     within r go on to the next level; profiles whose block has no control stay unmatched
@@ -71,7 +94,7 @@ def match_pairs(df: DataFrame, y: str, treat: str, xs: list[str], weights: dict[
     treated = treated.checkpoint()
     if blocks:
         reachable = controls.select(*blocks).distinct()
-        todo = treated.join(reachable, blocks, "left_semi")
+        todo = treated.join(reachable, blocks, "left_semi").checkpoint()
         done = [treated.join(reachable, blocks, "left_anti")]
     else:
         todo, done = treated, []
@@ -79,10 +102,12 @@ def match_pairs(df: DataFrame, y: str, treat: str, xs: list[str], weights: dict[
     def cells(point: str, r: float, shift: float) -> Column:
         return F.floor((F.col(point) + shift) / (2 * r))
 
-    r, has_controls = float(start), not controls.isEmpty()
+    has_controls = not controls.isEmpty()
+    r = 0.0
     for _ in range(max_levels):
         if not has_controls or todo.isEmpty():
             break
+        r = float(start) if start and not r else max(2 * r, _affordable_radius(todo, controls, z, blocks))
         homed = controls.withColumn("_cell", F.array(*[cells(f"_c{zi}", r, 0.0) for zi in z]))
         corners = [F.array(*[cells(zi, r, s) for zi, s in zip(z, signs)])
                    for signs in itertools.product((-r, r), repeat=len(z))]
@@ -98,7 +123,6 @@ def match_pairs(df: DataFrame, y: str, treat: str, xs: list[str], weights: dict[
         level = todo.join(best, "_tid", "left").checkpoint()
         done.append(level.filter(F.col("_b").isNotNull()).select(*treated.columns, "_b.*"))
         todo = level.filter(F.col("_b").isNull()).select(treated.columns)
-        r *= 2
     done.append(todo)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
 

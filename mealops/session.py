@@ -18,6 +18,7 @@ RUNTIME_CONF = {
     # hot keys in joins are split at run time; hot keys in ordered windows are
     # split by operators.ordered
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

@@ -145,7 +145,7 @@ def test_even_weights_equal_plain_ols(df):
     assert a["t"]["estimate"] == pytest.approx(b["t"]["estimate"])
 
 
-@pytest.mark.parametrize("start", [0.01, 0.5])
+@pytest.mark.parametrize("start", [0.25, None])
 def test_matching_equals_brute_force(spark, start):
     rnd = np.random.default_rng(5)
     n = 240
