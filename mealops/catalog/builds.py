@@ -9,6 +9,7 @@ from ..plans.feature_build import feature_build
 from ..plans.model_table import model_table, sample
 from ..plans.weather_slots import weather_slots
 from ..sources.fixtures import meal_orders, restaurants, station_weather
+from ..sources.sinks import stage_shared
 from .aggregates import _USER
 from .base import dist_of, query, sql
 
@@ -32,7 +33,8 @@ _COLS = ("id", "delay", "prereq", "prepare", "ride", "left1", "avai_n30", "order
 @query("build_features", sql(f"SELECT {', '.join(_COLS)} FROM feat", "timed roster onhand", _FEAT,
                              rounds="delay prereq prepare ride left1 ow_ratio onhand u_price_avg u_delay_avg"))
 def _(spark, d):
-    return feature_build(meal_orders(spark, d)).select(*_COLS)
+    # the build reads its orders in many branches: store them first
+    return feature_build(stage_shared(meal_orders(spark, d), "orders")).select(*_COLS)
 
 
 _MODEL = """, mt AS (SELECT f.*, d.dist, d.time/60e0 AS time, sup.taste, a.temp AS temp_hqp, b.temp AS temp_pdp,
@@ -47,7 +49,7 @@ _MODEL = """, mt AS (SELECT f.*, d.dist, d.time/60e0 AS time, sup.taste, a.temp
 
 
 def _model_sample(spark, d):
-    feats = feature_build(meal_orders(spark, d))
+    feats = feature_build(stage_shared(meal_orders(spark, d), "orders"))
     return sample(model_table(feats, dist_of(spark, d), restaurants(spark, d), weather_slots(station_weather(spark, d))))
 
 

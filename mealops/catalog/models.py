@@ -11,6 +11,7 @@ from ..operators.models import causal, learners
 from ..operators.models import regression as reg
 from ..operators.windows import rider_month_running
 from ..sources.fixtures import meal_orders, restaurants
+from ..sources.sinks import stage_shared
 from .base import dist_of, moving, query, sql, timed
 
 c = F.col
@@ -188,7 +189,7 @@ def _(spark, d):
 def incomes(spark, d):
     """Moving orders with running month income and days left."""
     lunch, dinner = meal_hours("require_tm")
-    return (rider_month_running(moving(spark, d), threshold=3000)
+    return (rider_month_running(stage_shared(moving(spark, d), "moving"), threshold=3000)
             .withColumn("remain_days", days_left("finish_tm"))
             .withColumn("lunch_hr", lunch).withColumn("dinner_hr", dinner))
 
@@ -244,5 +245,5 @@ def _(spark, d):
   max(speed) AS max, count(*)-count(speed) AS nulls FROM inc GROUP BY 1,2""", "moving", _INC,
                                      rounds="min p25 median mean p75 max"))
 def _(spark, d):
-    df = rider_month_running(moving(spark, d), threshold=2600)
+    df = rider_month_running(stage_shared(moving(spark, d), "moving"), threshold=2600)
     return causal.threshold_contrast(df, "speed", cut=2600)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
+from ..session import ensure_checkpoint_dir
+
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
                 fmt: str = "parquet", mode: str = "overwrite") -> str:
@@ -26,3 +30,12 @@ def stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> Da
     """Cut lineage at a stage boundary through a written table in shared storage."""
     spark = df.sparkSession
     return spark.read.schema(df.schema).parquet(write_table(df, path, partition_by))
+
+
+def stage_shared(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Stage under the shared checkpoint folder of the session, for an intermediate that
+    several branches of one job read: columnar, so each branch reads only its columns, and
+    not recomputed when an executor is lost."""
+    ensure_checkpoint_dir(df.sparkSession)
+    folder = df.sparkSession.sparkContext.getCheckpointDir()
+    return stage(df, f"{folder}/{label}-{uuid.uuid4().hex}")
