@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import configure
+
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -20,6 +22,7 @@ _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def session(spark: SparkSession) -> SparkSession:
     """Arrow batches bounded in rows and bytes, so that long texts cannot fill a worker."""
+    configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import target_ratio
-from .common import table
+from . import language, mil_quality, packing, target_ratio, token_lengths, toxicity
+from .common import is_held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,43 @@ def op4_target_ratio(spark: SparkSession, d: str) -> DataFrame:
     judged = target_ratio.judge(table(spark, d, "documents"), table(spark, d, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                          "n_repeat_words", "base_failed", "kept", "log_ratio")
+
+
+def _scored(docs: DataFrame, score, least: float) -> DataFrame:
+    return (docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+            .withColumn("predicted", (F.col("score") >= least).cast("int")))
+
+
+@query
+def op1_mil_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Attention-weighted passage score of every document."""
+    docs = table(spark, d, "documents")
+    return _scored(docs, mil_quality.quality_score(docs, table(spark, d, "labels")), 0.3)
+
+
+@query
+def op5_token_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Totals, quantiles and truncated totals for every encoded length as a context limit."""
+    return token_lengths.suffix_sums(token_lengths.length_histogram(table(spark, d, "documents")))
+
+
+@query
+def op7_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, d, "documents")
+    return _scored(docs, toxicity.toxicity_score(docs, table(spark, d, "labels")), 0.5)
+
+
+@query
+def op8_language(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every document by rank-order profiles."""
+    docs = table(spark, d, "documents")
+    found = language.predict(F.col("text"), language.profiles(docs))
+    return docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), found.alias("f")).select(
+        "doc_id", "held_out", F.col("f.lang").alias("lang_pred"), F.col("f.score").alias("score"))
+
+
+@query
+def op9_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return packing.pack(table(spark, d, "documents"))
