@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mil_quality, packing, target_ratio, token_lengths, toxicity
+from . import (language, mil_quality, mixing, near_dups, packing, paragraph_sketch, target_ratio,
+               token_lengths, toxicity, url_trust)
 from .common import is_held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +66,30 @@ def op8_language(spark: SparkSession, d: str) -> DataFrame:
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every document with its sequence and offset."""
     return packing.pack(table(spark, d, "documents"))
+
+
+@query
+def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
+    """Words the mix takes of every document."""
+    return mixing.mix(table(spark, d, "documents")).drop("fingerprint", "source")
+
+
+@query
+def op3_url_trust(spark: SparkSession, d: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return url_trust.judge(table(spark, d, "pages"))
+
+
+@query
+def op6_paragraph_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return paragraph_sketch.fingerprints(table(spark, d, "documents"))
+
+
+@query
+def op10_near_dups(spark: SparkSession, d: str) -> DataFrame:
+    """Near-duplicate group of every document."""
+    return near_dups.near_duplicates(table(spark, d, "documents"))
+
+
+ORACLES["op2_mixing"] = mixing.ORACLE

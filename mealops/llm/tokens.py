@@ -2,19 +2,23 @@
 
 White space never lies inside a token of this vocabulary, so the ids of a text are the ids of
 its white-space-bounded chunks in order. Chunks repeat, so a task remembers the ids of the
-chunks it has met (a bounded number) and asks the tokenizer for new ones only, many at a
-time. Texts with special-token strings or with control characters that Python and the
-tokenizer class differently go to the tokenizer whole.
+chunks, and of the pieces inside them, that it has met (a bounded number). A new chunk of
+Latin letters is cut with the file's own pattern and only its new pieces go to the file's
+merge model; any other chunk goes to the tokenizer whole. Texts with special-token strings or
+with control characters that Python and the tokenizer class differently go there whole too.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
+import regex
 
 _WHOLE = re.compile("<\\||[\x1c-\x1f]")
-_MARK, _MARK_ID = "<|endoftext|>", 49407
+#: Characters that composition leaves alone and lower-casing treats one by one.
+_LATIN = re.compile("[\x21-ɏ]+")
 
 
 def default_tokenizer() -> str:
@@ -22,38 +26,74 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The printable stand-in of every byte: itself where it is visible in Latin-1, else the
+    next free code point from 256."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: 256 + n for n, b in enumerate(rest)}
+
+
+class _Pieces(dict):
+    """Lower-cased piece -> ids, by the merge model."""
+
+    def __init__(self, model, limit: int):
+        self.tokenize, self.limit, self.letters = model.tokenize, limit, _byte_letters()
+        self.packed: dict[int, bytes] = {}  # one entry an id of the vocabulary
+
+    def __missing__(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        packed = self.packed
+        try:
+            out = b"".join([packed[t.id] for t in self.tokenize(shown)])
+        except KeyError:
+            ids = [t.id for t in self.tokenize(shown)]
+            packed.update((i, i.to_bytes(4, "little")) for i in ids)
+            out = b"".join([packed[i] for i in ids])
+        if len(self) < self.limit:
+            self[piece] = out
+        return out
+
+
+class _Chunks(dict):
+    """Chunk -> ids."""
+
+    def __init__(self, owner: TokenIds, limit: int):
+        self.owner, self.limit = owner, limit
+
+    def __missing__(self, chunk: str) -> bytes:
+        out = self.owner.chunk(chunk)
+        if len(self) < self.limit:
+            self[chunk] = out
+        return out
+
+
 class TokenIds:
     """Text to little-endian unsigned 32-bit ids, as bytes."""
 
     def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
-        self.tokenizer, self.limit, self.memo = Tokenizer.from_file(path), limit, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:  # a library's own file, beside the code on every machine
+            pre = json.load(f)["pre_tokenizer"]["pretokenizers"]
+        self.pattern = regex.compile(pre[0]["pattern"]["Regex"])
+        self.pieces = _Pieces(self.tokenizer.model, limit)
+        self.chunks = _Chunks(self, limit)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks: one call, cut at a mark that no chunk contains."""
-        ids = np.asarray(self.tokenizer.encode(_MARK.join(chunks), add_special_tokens=False).ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == _MARK_ID), len(ids))
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        raw = ids.tobytes()
-        found = {c: raw[4 * a:4 * b] for c, a, b in zip(chunks, starts.tolist(), ends.tolist())}
-        room = self.limit - len(self.memo)
-        if room >= len(found):
-            self.memo.update(found)
-        elif room > 0:
-            self.memo.update(list(found.items())[:room])
-        return found
+    def chunk(self, chunk: str) -> bytes:
+        if not chunk.isascii() and not _LATIN.fullmatch(chunk):
+            return self.whole(chunk)
+        # letters only, or letters and one closing mark, need no pattern
+        if chunk.isalpha():
+            return self.pieces[chunk.lower()]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return self.pieces[chunk[:-1].lower()] + self.pieces[chunk[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk.lower())))
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; NULL has none."""
-        cut = [None if t is None or _WHOLE.search(t) else t.split() for t in texts]
-        new = {c for chunks in cut if chunks for c in chunks if c not in self.memo}
-        get = self.memo.get
-        if new:
-            learned = self._learn(sorted(new))
-            memo = self.memo
-            get = lambda c: memo.get(c) or learned.get(c, b"")
-        return [b"" if t is None else self.whole(t) if chunks is None else b"".join(map(get, chunks))
-                for t, chunks in zip(texts, cut)]
+        get = self.chunks.__getitem__
+        return [b"" if t is None else self.whole(t) if _WHOLE.search(t) else b"".join(map(get, t.split())) for t in texts]
