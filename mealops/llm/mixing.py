@@ -29,7 +29,7 @@ from .common import WORD
 
 WEIGHTS = (5, 2, 1)
 BUDGET, REPEATS = 1.5, 2
-_ROWS_A_CELL = 50_000
+_ROWS_A_CELL = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET,
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     entry = entry.withColumn("_part", F.explode(F.array(
         F.struct(first.alias("words"), (F.col("_from") + first).alias("end")),
         F.struct((F.col("size") - first).alias("words"), (F.col("_from") + F.col("size")).alias("end")))))
-    entry = entry.filter("_part.words > 0").withColumn("_finish", F.col("_part.end") / F.col("target"))
+    entry = entry.filter("_part.words > 0").withColumn("_finish", F.try_divide("_part.end", "target"))
     entry = entry.filter(F.col("_finish").isNotNull())
     # merged by finish time: slices of virtual time hold about equal shares, for queues are shuffled
     slices = max(16, 4 * cells)
@@ -138,7 +138,7 @@ ORACLE = r"""WITH b AS (SELECT doc_id, source, md5('mix-' || coalesce(CAST(doc_i
   t AS (SELECT source, source_size, CASE WHEN is_full OR level IS NULL THEN lim::DOUBLE
     ELSE least(level * w, lim::DOUBLE) END AS target FROM f, l),
   q AS (SELECT b.doc_id, b.source, b.size, t.source_size, t.target,
-    sum(b.size) OVER (PARTITION BY b.source ORDER BY b.k, b.doc_id, b.size ROWS UNBOUNDED PRECEDING) - b.size AS at
+    sum(b.size) OVER (PARTITION BY b.source ORDER BY b.k, b.doc_id, b.size ROWS UNBOUNDED PRECEDING) - b.size AS pos
     FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, floor(target) - at)) + greatest(0, least(size, floor(target) - source_size - at)) AS BIGINT) AS taken FROM q"""
+  CAST(greatest(0, least(size, floor(target) - pos)) + greatest(0, least(size, floor(target) - source_size - pos)) AS BIGINT) AS taken FROM q"""
