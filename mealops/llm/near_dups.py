@@ -43,9 +43,9 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 SHARE = 75  # percent
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Bins of the late sketch, and how many of its 4-bit values must agree: 4.5 standard
-#: deviations under the mean of 0.7656 * FINE at similarity 0.75.
-FINE, LEAST_AGREE = 512, 348
+#: Bins of the late sketch, and how many of its 2-bit values must agree: 4.5 standard
+#: deviations under the mean of 0.8125 * FINE at similarity 0.75.
+FINE, LEAST_AGREE = 512, 376
 SIFT_BITS = 1 << 23
 _SIGNATURE = "struct<n:bigint,k1:bigint,k2:bigint,bands:array<bigint>>"
 
@@ -141,12 +141,12 @@ def _shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def _fine(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Sketches of non-empty sets, sixteen 4-bit values a number."""
-    hashes, each = WordHashes(), FINE // 16
-    shift = (4 * np.arange(16)).astype(np.uint64)
+    """Sketches of non-empty sets, thirty-two 2-bit values a number."""
+    hashes, each = WordHashes(), FINE // 32
+    shift = (2 * np.arange(32)).astype(np.uint64)
     for batch in batches:
         rows = sketches([word_set(hashes, t) for t in batch.cast(pa.binary()).to_pylist()], FINE)
-        packed = ((rows & 15).astype(np.uint64).reshape(-1, each, 16) << shift).sum(2, dtype=np.uint64).view(np.int64)
+        packed = ((rows & 3).astype(np.uint64).reshape(-1, each, 32) << shift).sum(2, dtype=np.uint64).view(np.int64)
         yield pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * each), pa.array(packed.ravel()))
 
 
@@ -186,11 +186,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _agreeing(a: str, b: str) -> Column:
-    """How many of sixteen four-bit values are equal."""
+    """How many of thirty-two 2-bit values are equal."""
     z = F.col(a).bitwiseXOR(F.col(b))
-    z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-    z = z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111))
-    return 16 - F.bit_count(z)
+    return 32 - F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -200,7 +198,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     own = stage_shared(full.join(reps, ["k1", "k2"]).filter("doc_id = rep").select("rep", "n", "bands"), "representatives")
     banded = own.select("rep", F.posexplode("bands").alias("i", "band")).select(
-        "rep", F.xxhash64("i", "band").alias("key"))
+        "rep", "i", F.xxhash64("i", "band").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("met"), F.min("rep").alias("_lo"), F.max("rep").alias("_hi"))
     members = stage_shared(banded.join(shared.filter("_lo < _hi").select("key", "met"), "key"), "members")
     known = members.groupBy("rep").agg(F.sum("met").alias("fame"))
@@ -212,28 +210,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = _confirmed(star, docs)
     found = components(first)
     named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("label", "rep").alias("label"))
+        "key", "i", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi")
     late = stage_shared(named.join(mixed.select("key"), "key", "left_semi"), "late")
     reps_late = late.select("rep").distinct()
     alone = _lonely(docs, reps_late)
     # what a member can share at most; members that cannot reach the threshold with anyone go
-    able = (own.select("rep", "n").join(reps_late, "rep", "left_semi").join(alone, "rep", "left")
-            .select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    able = (own.join(reps_late, "rep", "left_semi").join(alone, "rep", "left")
+            .select("rep", "n", "bands", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
             .filter(f"100 * most >= {SHARE} * n").dropDuplicates(["rep"]))
     able = stage_shared(able, "able")
     text = _sifted(docs, able.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
     fine = F.arrow_udf(_fine, "array<bigint>")("text").alias("f")
-    able = stage_shared(text.join(able, "rep").select("rep", "n", "most", fine), "able")
-    parts = [f"f{i}" for i in range(FINE // 16)]
-    late = stage_shared(late.join(able, "rep").select(
-        "key", "rep", "label", "n", "most", *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(parts)]), "late")
-    side = lambda x: late.select(*[F.col(c).alias(f"{c}_{x}") for c in ("key", "rep", "label", "n", "most", *parts)])
+    able = stage_shared(text.join(able, "rep").select("rep", "n", "bands", "most", fine), "able")
+    parts = [f"f{i}" for i in range(FINE // 32)]
+    late = late.join(able, "rep").select(
+        "key", "i", "rep", "label", "n", "most", "bands", *[F.coalesce(F.get("f", F.lit(i)), F.lit(0).cast("long")).alias(c) for i, c in enumerate(parts)])
+    side = lambda x: late.select(*[F.col(c).alias(f"{c}_{x}") for c in late.columns])
     agree = sum((_agreeing(f"{c}_x", f"{c}_y") for c in parts), F.lit(0))
     shared_most = F.least("most_x", "most_y")
+    # a pair that meets in several buckets comes out of the first
+    first_met = F.array_position(F.zip_with("bands_x", "bands_y", lambda x, y: x == y), F.lit(True)) == F.col("i_x") + 1
     close = ((F.col("key_x") == F.col("key_y")) & (F.col("label_x") < F.col("label_y"))
              & (100 * shared_most >= SHARE * (F.col("n_x") + F.col("n_y") - shared_most)) & (agree >= LEAST_AGREE))
-    pairs = side("x").join(side("y"), close).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+    pairs = side("x").join(side("y"), close & first_met).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
     tried = star.select("a", "b").unionAll(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = _confirmed(stage_shared(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), docs)
     if not second.isEmpty():
