@@ -74,6 +74,11 @@ CTES = {
     CASE WHEN sup_id%9<>0 THEN (60+(sup_id*3)%30)/10e0 END AS taste,
     (60+(sup_id*7)%30)/10e0 AS envir, (60+(sup_id*11)%30)/10e0 AS service
     FROM (SELECT DISTINCT sup_id FROM meal_orders))""",
+    "branch": """branch AS (SELECT sup_id, CASE WHEN sup_id%7<>0 THEN '021-' || (5000+sup_id+100*b) END AS from_tel,
+    'road ' || sup_id || CASE WHEN b=1 THEN ' b' ELSE '' END AS from_addr,
+    CASE WHEN b=1 THEN (60+(sup_id*13)%30)/10e0 ELSE taste END AS taste, envir, service, avgexp_up,
+    CASE WHEN NOT (b=1 AND sup_id%3=0) THEN avgexp_lo END AS avgexp_lo
+    FROM sup, unnest(CASE WHEN sup_id%5=0 THEN [0,1] ELSE [0] END) AS t(b))""",
     "onhand": """ev AS (SELECT rider_id, id, 'arrive_tm' AS action, arrive_tm AS tm, 1 AS delta FROM meal_orders
     UNION ALL SELECT rider_id, id, 'finish_tm', finish_tm, -1 FROM meal_orders),
   ev2 AS (SELECT *, CAST(sum(delta) OVER w AS BIGINT) AS onhand, lead(tm) OVER w0 AS nxt,
@@ -113,7 +118,7 @@ CTES = {
 }
 
 NEEDS = {"timed": ["meal_orders"], "weather_flagged": ["weather"], "dist": ["meal_orders"],
-         "sup": ["meal_orders"], "onhand": ["meal_orders"], "moving": ["timed", "dist", "onhand"],
+         "sup": ["meal_orders"], "branch": ["sup"], "onhand": ["meal_orders"], "moving": ["timed", "dist", "onhand"],
          "shifted": ["meal_orders"], "roster": ["shifted"], "lagged": ["timed"],
          "prev_store": ["meal_orders"]}
 
@@ -191,11 +196,12 @@ def dist_of(spark: SparkSession, d: str) -> DataFrame:
     return route_lookup(spark, d).distinct()
 
 
-def moving(spark: SparkSession, d: str) -> DataFrame:
-    """Timed orders with route, load and speed columns after the validity filter."""
+def moving(spark: SparkSession, d: str, orders: DataFrame | None = None) -> DataFrame:
+    """Timed orders (or ``orders``, with at least their columns) with route, load and speed
+    columns after the validity filter."""
     from ..functions.numeric import speed_columns
     from ..functions.timing import seconds_between
-    o = timed(spark, d)
+    o = timed(spark, d) if orders is None else orders
     routes = dist_of(spark, d).select("id", "dist", (F.col("time") / 60.0).alias("time"))
     load = avg_on_hand(o).select("id", "onhand")
     df = o.join(routes, "id").join(load, "id")

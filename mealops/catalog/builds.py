@@ -8,7 +8,7 @@ from ..plans import results
 from ..plans.feature_build import feature_build
 from ..plans.model_table import model_table, sample
 from ..plans.weather_slots import weather_slots
-from ..sources.fixtures import meal_orders, restaurants, station_weather
+from ..sources.fixtures import branches, meal_orders, station_weather, with_branch
 from ..sources.sinks import stage_shared
 from .aggregates import _USER
 from .base import dist_of, query, sql
@@ -39,7 +39,8 @@ def _(spark, d):
 
 _MODEL = """, mt AS (SELECT f.*, d.dist, d.time/60e0 AS time, sup.taste, a.temp AS temp_hqp, b.temp AS temp_pdp,
     e.pcp_begin AS pcp_begin_hqr, prereq-(prepare+d.time/60e0) AS left2, CAST(split_part(o_cords,',',1) AS DOUBLE) AS o_lat
-    FROM feat f LEFT JOIN dist d ON d.id=f.id LEFT JOIN sup ON sup.sup_id=f.sup_id
+    FROM feat f LEFT JOIN dist d ON d.id=f.id LEFT JOIN branch sup ON sup.sup_id=f.sup_id
+      AND sup.from_addr='road ' || f.sup_id || CASE WHEN f.sup_id%5=0 AND f.k%2=1 THEN ' b' ELSE '' END
     LEFT JOIN weather_slots a ON a.station=1 AND CAST(a.tm AS DATE)=f.place_date AND hour(a.tm)+minute(a.tm)/60e0=f.place_tmref
     LEFT JOIN weather_slots b ON b.station=2 AND CAST(b.tm AS DATE)=f.place_date AND hour(b.tm)+minute(b.tm)/60e0=f.place_tmref
     LEFT JOIN weather_slots e ON e.station=1 AND CAST(e.tm AS DATE)=f.require_date AND hour(e.tm)+minute(e.tm)/60e0=f.require_tmref
@@ -49,14 +50,14 @@ _MODEL = """, mt AS (SELECT f.*, d.dist, d.time/60e0 AS time, sup.taste, a.temp
 
 
 def _model_sample(spark, d):
-    feats = feature_build(stage_shared(meal_orders(spark, d), "orders"))
-    return sample(model_table(feats, dist_of(spark, d), restaurants(spark, d), weather_slots(station_weather(spark, d))))
+    feats = feature_build(stage_shared(with_branch(meal_orders(spark, d)), "orders"))
+    return sample(model_table(feats, dist_of(spark, d), branches(spark, d), weather_slots(station_weather(spark, d))))
 
 
 @query("build_model_sample", sql("""SELECT id, dist, time, taste, temp_hqp, temp_pdp, pcp_begin_hqr, left2,
   CASE WHEN left2>=20 THEN 1 WHEN left2<20 THEN 0 END AS left2_20, tmref_cat,
   CASE WHEN o_lat BETWEEN 31.1e0 AND 31.5e0 THEN o_lat END AS o_lat FROM mt""",
-                                 "timed roster onhand dist sup weather weather_flagged", _FEAT + _MODEL,
+                                 "timed roster onhand dist branch weather weather_flagged", _FEAT + _MODEL,
                                  rounds="time taste left2 o_lat"))
 def _(spark, d):
     return _model_sample(spark, d).select("id", "dist", "time", "taste", "temp_hqp", "temp_pdp", "pcp_begin_hqr",
@@ -64,7 +65,7 @@ def _(spark, d):
 
 
 @query("build_delay_regression", sql("""SELECT 'prereq' AS term, regr_slope(delay, prereq) AS estimate, count(*) AS n FROM mt""",
-                                     "timed roster onhand dist sup weather weather_flagged", _FEAT + _MODEL, rounds="estimate"))
+                                     "timed roster onhand dist branch weather weather_flagged", _FEAT + _MODEL, rounds="estimate"))
 def _(spark, d):
     from ..operators.models.regression import ols
     return ols(_model_sample(spark, d), "delay", ["prereq"]).filter(F.col("term") == "prereq").select("term", "estimate", "n")

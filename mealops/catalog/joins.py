@@ -16,7 +16,7 @@ from ..operators.windows import shift_rollup, shifts, to_events
 from ..functions.timing import half_hour_slot
 from ..functions.numeric import safe_ratio
 from ..plans.weather_slots import weather_slots
-from ..sources.fixtures import meal_orders, restaurants, route_lookup, station_weather, table
+from ..sources.fixtures import branches, with_branch, meal_orders, restaurants, route_lookup, station_weather, table
 from ..sources.readers import append_frames
 from .base import dist_of, query, sql, timed
 
@@ -188,15 +188,20 @@ def _(spark, d):
                          o.filter(c("id") % 3 == 0).select("price", "id"), strict=True)
 
 
-@query("u03_choice_set", sql("""SELECT id, sup_id, chosen, taste, u_n_tt FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n
-  FROM b WHERE taste IS NOT NULL) WHERE n>1""", "prev_store sup", """un AS (SELECT user_id, count(*) AS u_n_tt FROM meal_orders GROUP BY 1),
-  b AS (SELECT p.id, p.sup_id, 1 AS chosen, s.taste, u_n_tt FROM prev_store p JOIN un USING (user_id)
-    LEFT JOIN sup s ON s.sup_id=p.sup_id WHERE u_n_tt>1
-  UNION ALL SELECT p.id, p.alt_id_store, 0, s.taste, u_n_tt FROM prev_store p JOIN un USING (user_id)
-    LEFT JOIN sup s ON s.sup_id=p.alt_id_store WHERE u_n_tt>1)""", rounds="taste"))
+@query("u03_choice_set", sql("""SELECT id, sup_id, from_addr, chosen, taste, avgexp, u_n_tt FROM (
+  SELECT *, max(chosen) OVER (PARTITION BY id) AS hi, min(chosen) OVER (PARTITION BY id) AS lo
+  FROM b WHERE taste IS NOT NULL AND avgexp IS NOT NULL) WHERE hi=1 AND lo=0""", "prev_store branch", """un AS (SELECT user_id, count(*) AS u_n_tt FROM meal_orders GROUP BY 1),
+  br AS (SELECT *, sup_id AS s, (avgexp_lo+avgexp_up)/2 AS avgexp FROM branch),
+  here AS (SELECT *, CASE WHEN sup_id%7<>0 THEN '021-' || (5000+sup_id+100*CASE WHEN sup_id%5=0 THEN k%2 ELSE 0 END) END AS from_tel,
+    'road ' || sup_id || CASE WHEN sup_id%5=0 AND k%2=1 THEN ' b' ELSE '' END AS from_addr FROM prev_store),
+  b AS (SELECT p.id, p.sup_id, p.from_addr, 1 AS chosen, s.taste, s.avgexp, u_n_tt FROM here p JOIN un USING (user_id)
+    LEFT JOIN br s ON s.s=p.sup_id AND s.from_tel IS NOT DISTINCT FROM p.from_tel AND s.from_addr=p.from_addr WHERE u_n_tt>1
+  UNION ALL SELECT p.id, q.sup_id, q.from_addr, 0, s.taste, s.avgexp, u_n_tt FROM here p JOIN un USING (user_id) JOIN here q ON q.id=p.alt_id
+    LEFT JOIN br s ON s.s=q.sup_id AND s.from_tel IS NOT DISTINCT FROM q.from_tel AND s.from_addr=q.from_addr WHERE u_n_tt>1)""", rounds="taste avgexp"))
 def _(spark, d):
     from ..plans.choices import store_choices
-    return store_choices(meal_orders(spark, d), restaurants(spark, d)).select("id", "sup_id", "chosen", "taste", "u_n_tt")
+    return store_choices(with_branch(meal_orders(spark, d)), branches(spark, d)).select(
+        "id", "sup_id", "from_addr", "chosen", "taste", "avgexp", "u_n_tt")
 
 
 @query("u04_to_events", sql("""SELECT rider_id, id, 'arrive_tm' AS action, arrive_tm AS tm FROM meal_orders

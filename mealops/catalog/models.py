@@ -186,19 +186,25 @@ def _(spark, d):
     return learners.k_selection(users, cols, [2, 5, 9], seed=715)
 
 
-def incomes(spark, d):
-    """Moving orders with running month income and days left."""
+def incomes(spark, d, threshold=2600):
+    """Moving orders with the month's running income of all orders and days left."""
     lunch, dinner = meal_hours("require_tm")
-    return (rider_month_running(stage_shared(moving(spark, d), "moving"), threshold=3000)
+    every = stage_shared(rider_month_running(stage_shared(timed(spark, d), "timed"), threshold=threshold), "incomes")
+    return (stage_shared(moving(spark, d, every), "moving")
             .withColumn("remain_days", days_left("finish_tm"))
             .withColumn("lunch_hr", lunch).withColumn("dinner_hr", dinner))
 
 
-_INC = """inc0 AS (SELECT *, CAST(sum(rider_income) OVER w AS BIGINT) AS inc_atm, month(finish_tm) AS month,
-  day(last_day(CAST(finish_tm AS DATE)))-day(finish_tm) AS remain_days, speed*onhand AS speed_wt,
-  hour(require_tm) BETWEEN 10 AND 13 AS lunch_hr, hour(require_tm) BETWEEN 17 AND 19 AS dinner_hr
-  FROM moving WINDOW w AS (PARTITION BY rider_id, year(finish_tm), month(finish_tm) ORDER BY finish_tm, id ROWS UNBOUNDED PRECEDING)),
-  inc AS (SELECT *, max(inc_atm) OVER (PARTITION BY rider_id, year(finish_tm), month)/100e0>2600 AS excel_month FROM inc0),
+# income, rank and month flags of all orders come first, the validity filter after
+_INC = """inc0 AS (SELECT id AS oid, CAST(sum(rider_income) OVER w AS BIGINT) AS inc_atm,
+  CAST(sum(rider_income+300) OVER w AS BIGINT) AS sinc_atm, rider_id AS r, year(finish_tm) AS y, month(finish_tm) AS month
+  FROM timed WINDOW w AS (PARTITION BY rider_id, year(finish_tm), month(finish_tm) ORDER BY finish_tm, id ROWS UNBOUNDED PRECEDING)),
+  inc1 AS (SELECT *, max(inc_atm) OVER (PARTITION BY r, y, month)/100e0>2600 AS excel_month,
+    max(sinc_atm) OVER (PARTITION BY r, y, month)/100e0>2600 AS sexcel_month FROM inc0),
+  inc AS (SELECT m.*, inc_atm, sinc_atm, month, excel_month, sexcel_month,
+    day(last_day(CAST(finish_tm AS DATE)))-day(finish_tm) AS remain_days, speed*onhand AS speed_wt,
+    hour(require_tm) BETWEEN 10 AND 13 AS lunch_hr, hour(require_tm) BETWEEN 17 AND 19 AS dinner_hr
+    FROM moving m JOIN inc1 ON inc1.oid=m.id),
   thr AS (SELECT i.*, w.w AS "window", inc_atm/100e0>=2600 AS over FROM inc i, (VALUES (3),(5),(7)) AS w(w)
   WHERE remain_days<=w.w AND inc_atm/100e0>=2600-100*w.w AND inc_atm/100e0<2600+100*w.w
   AND rider_id IN (SELECT rider_id FROM inc WHERE inc_atm/100e0>=2600))"""
@@ -240,10 +246,29 @@ def _(spark, d):
     return reg.ols(timed(spark, d).withColumn("hour", F.hour("require_tm")), "delay", ["prereq"], by=["hour"]).drop("p_value")
 
 
-@query("m17_threshold_contrast", sql("""SELECT excel_month, inc_atm/100e0>=2600 AS past, count(*) AS n, min(speed) AS min,
-  quantile_cont(speed,0.25) AS p25, quantile_cont(speed,0.5) AS median, avg(speed) AS mean, quantile_cont(speed,0.75) AS p75,
-  max(speed) AS max, count(*)-count(speed) AS nulls FROM inc GROUP BY 1,2""", "moving", _INC,
-                                     rounds="min p25 median mean p75 max"))
-def _(spark, d):
-    df = rider_month_running(stage_shared(moving(spark, d), "moving"), threshold=2600)
-    return causal.threshold_contrast(df, "speed", cut=2600)
+_CONTRAST = """SELECT {flag}, {inc}/100e0>=2600 AS past, count(*) AS n, min({v}) AS min,
+  quantile_cont({v},0.25) AS p25, quantile_cont({v},0.5) AS median, avg({v}) AS mean, quantile_cont({v},0.75) AS p75,
+  max({v}) AS max, count(*)-count({v}) AS nulls FROM inc GROUP BY 1,2"""
+
+
+def _contrast(name, value, running, flag):
+    @query(name, sql(_CONTRAST.format(flag=flag, inc=running, v=value), "moving", _INC,
+                     rounds="min p25 median mean p75 max"))
+    def _(spark, d):
+        return causal.threshold_contrast(incomes(spark, d), value, running=running, month_flag=flag, cut=2600)
+
+
+_contrast("m17_threshold_contrast", "speed", "inc_atm", "excel_month")
+_contrast("m17_contrast_subsidised", "speed", "sinc_atm", "sexcel_month")
+_contrast("m17_contrast_bdunexp", "bdunexp", "inc_atm", "excel_month")
+_contrast("m17_contrast_bdunexp_subsidised", "bdunexp", "sinc_atm", "sexcel_month")
+
+
+def _two_way(name, running, flag):
+    @query(name, sql(f"SELECT {flag}, {running}/100e0>=2600 AS past, count(*) AS n FROM inc GROUP BY 1,2", "moving", _INC))
+    def _(spark, d):
+        return causal.threshold_table(incomes(spark, d), running=running, month_flag=flag, cut=2600)
+
+
+_two_way("m17_table", "inc_atm", "excel_month")
+_two_way("m17_table_subsidised", "sinc_atm", "sexcel_month")

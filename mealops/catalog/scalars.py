@@ -333,12 +333,14 @@ def _(spark, d):
     return flt.complete_cases(o, ["taste", "from_tel"]).select("id", "taste")
 
 
-@query("p09_sample_rows")
+@query("p09_sample_rows", sql("""SELECT id, user_id, price FROM meal_orders
+  ORDER BY md5(CAST(id AS VARCHAR) || '|715'), id LIMIT 1000""", "meal_orders"))
 def _(spark, d):
     return flt.sample_rows(meal_orders(spark, d), 1000, seed=715).select("id", "user_id", "price")
 
 
-@query("p10_sample_entities")
+@query("p10_sample_entities", sql("""SELECT id, sup_id, price FROM meal_orders WHERE sup_id IN (SELECT sup_id FROM
+  (SELECT DISTINCT sup_id FROM meal_orders) ORDER BY md5(CAST(sup_id AS VARCHAR) || '|715'), sup_id LIMIT 10)""", "meal_orders"))
 def _(spark, d):
     return flt.sample_entities(meal_orders(spark, d), "sup_id", 10, seed=715).select("id", "sup_id", "price")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timing import seconds_between
@@ -111,25 +111,33 @@ def complete_cases(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.dropna(subset=cols or df.columns)
 
 
-def _shuffled(key: str, seed: int) -> list[Column]:
-    return [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+def _first_by_hash(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """The n rows that come first by md5 of ``key|seed``: 65,536 hash ranges are counted, whole
+    ranges are kept up to the n-th row and only the range it falls in is cut by rank, so no
+    task sorts n rows."""
+    digest = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f"|{seed}")).cast("binary"))
+    rows = df.withColumn("_h", digest).withColumn("_range", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a fixed number of ranges
+    ranges = (rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_k"))
+              .select("_range", F.coalesce(F.sum("_k").over(upto), F.lit(0)).alias("_before")).filter(F.col("_before") < n))
+    inside = Window.partitionBy("_range").orderBy("_h", key)
+    return (rows.join(ranges, "_range").withColumn("_i", F.row_number().over(inside))
+            .filter(F.col("_before") + F.col("_i") <= n).select(df.columns))
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
     """n rows in hash order of a unique key: repeatable whatever the partitioning."""
-    return df.orderBy(*_shuffled(key, seed)).limit(n)
+    return _first_by_hash(df, key, n, seed)
 
 
 def sample_entities(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """All rows of n hash-chosen keys."""
-    keys = df.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(*_shuffled(key, seed)).limit(n)
+    keys = _first_by_hash(df.select(key).filter(F.col(key).isNotNull()).distinct(), key, n, seed)
     return df.join(keys, key, "left_semi")
 
 
 def row_slice(df: DataFrame, start: int, stop: int, order_by: str = "id") -> DataFrame:
-    """Rows ``start..stop`` (1-based, both included) along a unique whole-number column."""
-    if start == 1:
-        return df.orderBy(order_by).limit(stop)
+    """Rows ``start..stop`` (1-based, both included) along a unique column, NULL last."""
     return numbered(df, order_by, "_pos").filter(F.col("_pos").between(start, stop)).drop("_pos")
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timing import half_hour_slot
-from .ordered import id_slot, ordered, ordered_steps
+from .ordered import ordered_steps
+from .running import running_totals
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: list[str] | dict[str, str],
@@ -176,10 +177,9 @@ def previous_distinct(df: DataFrame, user: str = "user_id", store: str = "sup_id
 
 # --- positional --------------------------------------------------------------------------
 
-def numbered(df: DataFrame, order_by: str, out: str = "position", slot: Column | None = None) -> DataFrame:
-    """Global 1-based position along a unique whole-number column."""
-    return ordered(df, [], [order_by], slot=id_slot(order_by) if slot is None else slot,
-                   running={out: F.lit(1)})
+def numbered(df: DataFrame, order_by: str, out: str = "position") -> DataFrame:
+    """Global 1-based position along a unique column, NULL last."""
+    return running_totals(df, [F.col(order_by).asc_nulls_last()], {}, number=out)
 
 
 def bind_by_position(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...sources.sinks import stage_shared
+
 
 def _assembled(df: DataFrame, cols: list[str], out: str) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(df)
@@ -28,19 +30,21 @@ def _with_products(df: DataFrame, xs: list[str]) -> tuple[DataFrame, list[str]]:
     return df, names
 
 
-def logit(df: DataFrame, y: str, xs: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Binomial regression: (coefficient table, rows with the fitted probability ``fit``)."""
+def logit(df: DataFrame, y: str, xs: list[str], max_iter: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Binomial regression: (coefficient table, rows with the fitted probability ``fit``).
+    ``iterations`` and ``converged`` say whether ``max_iter`` rounds were enough."""
     data, names = _with_products(df, list(xs))
     data = _assembled(data.withColumn("_y", F.col(y).cast("double")).dropna(subset=["_y"]), names, "_features")
     model = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_features",
-                                        labelCol="_y", predictionCol="fit", maxIter=50, tol=1e-9).fit(data)
+                                        labelCol="_y", predictionCol="fit", maxIter=max_iter, tol=1e-9).fit(data)
     s = model.summary
     terms = [*xs, "(Intercept)"]
     est = [*map(float, model.coefficients), float(model.intercept)]
-    rows = [(t, b, float(se), float(z), float(p)) for t, b, se, z, p in
+    rounds = int(s.numIterations)
+    rows = [(t, b, float(se), float(z), float(p), rounds, rounds < max_iter) for t, b, se, z, p in
             zip(terms, est, s.coefficientStandardErrors, s.tValues, s.pValues)]
     coefs = df.sparkSession.createDataFrame(
-        rows, "term string, estimate double, std_error double, z_value double, p_value double")
+        rows, "term string, estimate double, std_error double, z_value double, p_value double, iterations int, converged boolean")
     drop = ["_features", "_y", *[n for n, x in zip(names, xs) if ":" in x]]
     return coefs, model.transform(data).drop(*drop)
 
@@ -61,10 +65,13 @@ def pca(df: DataFrame, cols: list[str], k: int | None = None) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "component int, prop_var double, column string, loading double")
 
 
-def kmeans(df: DataFrame, cols: list[str], k: int, seed: int = 715, out: str = "cluster") -> DataFrame:
-    """Rows with their cluster number."""
+def kmeans(df: DataFrame, cols: list[str], k: int, seed: int = 715, out: str = "cluster",
+           max_iter: int = 100) -> DataFrame:
+    """Rows with their cluster number; a fit that ``max_iter`` rounds do not end raises."""
     data = _assembled(df, cols, "_features")
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol=out).fit(data)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol=out).fit(data)
+    if model.summary.numIter >= max_iter:
+        raise RuntimeError(f"k-means did not settle in {max_iter} rounds")
     return model.transform(data).drop("_features")
 
 
@@ -72,17 +79,17 @@ def cluster_sizes(clustered: DataFrame, cluster: str = "cluster") -> DataFrame:
     return clustered.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
 
 
-def k_selection(df: DataFrame, cols: list[str], ks: list[int], seed: int = 715) -> DataFrame:
+def k_selection(df: DataFrame, cols: list[str], ks: list[int], seed: int = 715,
+                max_iter: int = 100) -> DataFrame:
     """Within-cluster sum of squares and silhouette per k. The silhouette uses squared
     distances (computed from cluster sums, no pairwise distances), so its values are not
     those of the plain-distance definition."""
-    data = _assembled(df.select(*cols), cols, "_features").persist()
+    data = _assembled(stage_shared(df.select(*cols), "points"), cols, "_features")
     rows = []
-    try:
-        for k in ks:
-            model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(data)
-            sil = ClusteringEvaluator(featuresCol="_features", predictionCol="cluster").evaluate(model.transform(data))
-            rows.append((k, float(model.summary.trainingCost), float(sil)))
-    finally:
-        data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, within_ss double, silhouette double")
+    for k in ks:
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cluster").fit(data)
+        sil = ClusteringEvaluator(featuresCol="_features", predictionCol="cluster").evaluate(model.transform(data))
+        rounds = int(model.summary.numIter)
+        rows.append((k, float(model.summary.trainingCost), float(sil), rounds, rounds < max_iter))
+    return df.sparkSession.createDataFrame(
+        rows, "k int, within_ss double, silhouette double, iterations int, converged boolean")

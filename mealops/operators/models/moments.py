@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_COLUMNS = 40
 _TOL = 1e-10
 
 COEF_FIELDS = [("term", T.StringType()), ("estimate", T.DoubleType()), ("std_error", T.DoubleType()),
@@ -30,9 +29,6 @@ def _pairs(k: int) -> list[tuple[int, int]]:
 
 def _doubles(df: DataFrame, by: list[str], cols: list[str], weight: str | None) -> DataFrame:
     """Complete cases of the needed columns as ``_x0.._xk`` doubles (``:`` is a product)."""
-    if len(cols) > MAX_COLUMNS:
-        raise ValueError(f"at most {MAX_COLUMNS} columns, got {len(cols)}")
-
     def value(name: str) -> Column:
         out = None
         for part in name.split(":"):
@@ -56,15 +52,18 @@ def moments(df: DataFrame, cols: list[str], by: list[str] = (), weight: str | No
         return rows.groupBy(*by).agg(
             n.alias("_n"), n.cast("double").alias("_sw"), F.array(*[F.avg(v) for v in x]).alias("_mean"),
             F.array(*[F.covar_pop(x[i], x[j]) * n for i, j in _pairs(k)]).alias("_cross"))
-    # weighted: scatter of sqrt(w)*x, brought back to weighted centred products
+    # weighted: scatter of sqrt(w)*(x - centre), brought back to weighted centred products; the
+    # centre is the overall mean, without which large means cancel all digits
     root = F.sqrt("_w")
-    rows = rows.filter(F.col("_w") > 0).select(*by, "_w", root.alias("_r"),
-                                               *[(v * root).alias(f"_x{i}") for i, v in enumerate(x)])
+    rows = rows.filter(F.col("_w") > 0)
+    centre = rows.agg(F.struct(*[F.avg(v).alias(f"c{i}") for i, v in enumerate(x)]).alias("c"))
+    rows = rows.withColumn("_c", centre.scalar()).select(
+        *by, "_w", "_c", root.alias("_r"), *[((v - F.col(f"_c.c{i}")) * root).alias(f"_x{i}") for i, v in enumerate(x)])
     sw = F.sum("_w")
     second = lambda a, b: (F.covar_pop(a, b) + F.avg(a) * F.avg(b)) * n
     first = [second("_r", f"_x{i}") for i in range(k)]
     return rows.groupBy(*by).agg(
-        n.alias("_n"), sw.alias("_sw"), F.array(*[f / sw for f in first]).alias("_mean"),
+        n.alias("_n"), sw.alias("_sw"), F.array(*[f / sw + F.max(F.col("_c")[f"c{i}"]) for i, f in enumerate(first)]).alias("_mean"),
         F.array(*[second(f"_x{i}", f"_x{j}") - first[i] * first[j] / sw for i, j in _pairs(k)]).alias("_cross"))
 
 

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...sources.sinks import stage_shared
 from ..quantiles import exact_quantiles
 from .moments import coef_rows, invert, moments, solve_rows, square, within_moments
 
@@ -144,28 +144,27 @@ def _index(coefs: dict[str, float], xs: list[str]):
 def huber(df: DataFrame, y: str, xs: list[str], k: float = 1.345, max_iter: int = 20,
           tol: float = 1e-4) -> DataFrame:
     """Huber M-estimation by reweighted least squares with the scale from the median
-    absolute residual. Each round is one quantile job and one moment pass over the cached
-    narrow columns; only the k coefficients come to the driver."""
+    absolute residual. Each round is one quantile job and one moment pass over the staged
+    narrow columns; only the k coefficients come to the driver. ``iterations`` and
+    ``converged`` say whether ``max_iter`` rounds were enough."""
     xs = list(xs)
     parts = list(dict.fromkeys(p for x in xs for p in x.split(":")))
-    data = df.select(F.col(y).cast("double").alias(y), *parts).dropna().persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        coefs = {r["term"]: r["estimate"] for r in ols(data, y, xs).collect()}
-        scale = 0.0
-        for _ in range(max_iter):
-            resid = data.withColumn("_e", F.col(y) - _index(coefs, xs))
-            mad = exact_quantiles(resid.withColumn("_a", F.abs("_e")), [], "_a", {"m": 0.5}).first()["m"]
-            scale = mad / 0.6745
-            if scale == 0:
-                break
-            weighted = resid.withColumn("_hw", F.least(F.lit(1.0), F.try_divide(F.lit(k * scale), F.abs("_e"))))
-            rows = ols(weighted.withColumn("_hw", F.coalesce("_hw", F.lit(1.0))), y, xs, weight="_hw").collect()
-            new = {r["term"]: r["estimate"] for r in rows}
-            moved = max(abs((new[t] or 0) - (coefs[t] or 0)) / (abs(coefs[t] or 0) + 1e-12) for t in coefs)
-            coefs = new
-            if moved < tol:
-                break
-        out = [(t, b, float(scale)) for t, b in coefs.items()]
-    finally:
-        data.unpersist()
-    return df.sparkSession.createDataFrame(out, "term string, estimate double, scale double")
+    data = df.select(F.col(y).cast("double").alias(y), *parts).dropna()
+    data = stage_shared(data, "huber")
+    coefs = {r["term"]: r["estimate"] for r in ols(data, y, xs).collect()}
+    scale, rounds, converged = 0.0, 0, False
+    while rounds < max_iter and not converged:
+        resid = data.withColumn("_e", F.col(y) - _index(coefs, xs))
+        mad = exact_quantiles(resid.withColumn("_a", F.abs("_e")), [], "_a", {"m": 0.5}).first()["m"]
+        scale = mad / 0.6745
+        if scale == 0:
+            converged = True
+            break
+        weighted = resid.withColumn("_hw", F.least(F.lit(1.0), F.try_divide(F.lit(k * scale), F.abs("_e"))))
+        rows = ols(weighted.withColumn("_hw", F.coalesce("_hw", F.lit(1.0))), y, xs, weight="_hw").collect()
+        new = {r["term"]: r["estimate"] for r in rows}
+        moved = max(abs((new[t] or 0) - (coefs[t] or 0)) / (abs(coefs[t] or 0) + 1e-12) for t in coefs)
+        coefs, rounds, converged = new, rounds + 1, moved < tol
+    out = [(t, b, float(scale), rounds, converged) for t, b in coefs.items()]
+    return df.sparkSession.createDataFrame(
+        out, "term string, estimate double, scale double, iterations int, converged boolean")

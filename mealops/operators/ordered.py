@@ -28,7 +28,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SLOT = ["_slot_null", "_slot"]
+_SLOT = ["_slot_null", "_slot", "_slot_id"]
+_IDS_A_CELL = 65536
 
 
 def minute_slot(ts: str | Column) -> Column:
@@ -52,8 +53,9 @@ def _filled(c: Column, kind: T.DataType) -> Column:
     return F.coalesce(c, default)
 
 
-def _celled(df: DataFrame, by: list[str], slot: Column) -> tuple[DataFrame, list[str]]:
-    """Add key and slot columns that are never NULL; returns the names of the keys."""
+def _celled(df: DataFrame, by: list[str], slot: Column, order_by: list[str]) -> tuple[DataFrame, list[str]]:
+    """Add key and slot columns that are never NULL; returns the names of the keys. Rows
+    without a slot are ordered by the last column alone, so whole-number ids cut them further."""
     kinds = {b: df.schema[b].dataType for b in by}
     slot_kind = df.select(slot.alias("s")).schema["s"].dataType
     cols, keys = {}, []
@@ -62,6 +64,10 @@ def _celled(df: DataFrame, by: list[str], slot: Column) -> tuple[DataFrame, list
         cols[f"_k{i}_null"] = F.col(b).isNull()
         keys += [f"_k{i}", f"_k{i}_null"]
     cols[_SLOT[0]], cols[_SLOT[1]] = slot.isNull(), _filled(slot, slot_kind)
+    cuts = len(order_by) == 2 and isinstance(df.schema[order_by[-1]].dataType, T.IntegralType)
+    block = F.floor(F.col(order_by[-1]) / _IDS_A_CELL).cast("long") if cuts else F.lit(0).cast("long")
+    # NULL ids come last
+    cols[_SLOT[2]] = F.when(slot.isNull(), F.coalesce(block, F.lit((1 << 63) - 1))).otherwise(F.lit(0).cast("long"))
     return df.withColumns(cols), keys
 
 
@@ -87,7 +93,7 @@ def ordered(df: DataFrame, by: list[str], order_by: list[str], *, slot: Column |
     carry, totals, peaks = dict(carry or {}), dict(totals or {}), dict(peaks or {})
     slot = minute_slot(order_by[0]) if slot is None else slot
 
-    base, keys = _celled(df, by, slot)
+    base, keys = _celled(df, by, slot, order_by)
     cell = [*keys, *_SLOT]
     sort_keys = [F.col(c).asc_nulls_last() for c in order_by]
     fine = W.partitionBy(*cell).orderBy(*sort_keys)
@@ -151,7 +157,7 @@ def ordered_steps(df: DataFrame, by: list[str], order_by: list[str], value: Colu
     the previous-row value at the latest mark.
     """
     slot = minute_slot(order_by[0]) if slot is None else slot
-    base, keys = _celled(df, by, slot)
+    base, keys = _celled(df, by, slot, order_by)
     cell = [*keys, *_SLOT]
     base = base.withColumn("_v", F.struct(value.alias("v")))
     fine = W.partitionBy(*cell).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])

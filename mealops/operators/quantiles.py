@@ -1,8 +1,9 @@
 """Exact interpolated quantiles without holding a group in one task.
 
-Values are first collapsed to (group, value, count). A coarse histogram (bins are an
-increasing function of the value, a few thousand at most per group) tells which bins hold
-the needed ranks; only those bins are then ranked exactly.
+Values are first collapsed to (group, value, count). A histogram of ``_BINS`` bins between a
+group's own smallest and largest value tells which bins hold the needed ranks; those bins are
+cut again between their own ends, and only the small bins that remain are ranked exactly.
+NaN counts as missing.
 """
 
 from __future__ import annotations
@@ -11,42 +12,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stage_shared
 from .joins import join_null_safe
 
-_BINS_PER_UNIT = 200
+_BINS, _LEVELS = 4096, 2
+
+
+def _curve(value: Column) -> Column:
+    """Increasing and nearly logarithmic, finite for finite values."""
+    return F.asinh(value)
 
 
 def _bin(value: Column) -> Column:
     """Increasing map of a double to a few thousand whole numbers at most."""
-    return F.floor(F.asinh(value) * _BINS_PER_UNIT)
+    return F.floor(_curve(value) * 200)
 
 
 def counted_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(group, value) with ``_n`` non-NULL values and ``_rows`` rows: the map-side
     pre-aggregation. NULLs stay as a row with ``_n`` 0, so that everything computed from
     these counts shares one shuffle."""
-    return (df.groupBy(*by, F.col(value).cast("double").alias("_v"))
-            .agg(F.count(value).alias("_n"), F.count(F.lit(1)).alias("_rows")))
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    return (df.groupBy(*by, v.alias("_v"))
+            .agg(F.count(v).alias("_n"), F.count(F.lit(1)).alias("_rows")))
 
 
 def quantiles_of_counts(counts: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
     """``probs`` maps output name to probability; interpolation is linear between the two
     closest ranks. Input columns are ``by, _v, _n``."""
-    binned = counts.filter(F.col("_n") > 0).withColumn("_b", _bin(F.col("_v")))
-    whole = W.partitionBy(*by)
-    along = whole.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    coarse = (binned.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
-              .withColumn("_before", F.coalesce(F.sum("_bn").over(along), F.lit(0)))
-              .withColumn("_total", F.sum("_bn").over(whole)))
-    ranks = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in probs.items()}
-    wanted = None
-    for h in ranks.values():
-        for rank in (F.floor(h), F.ceil(h)):
-            hit = (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_bn"))
-            wanted = hit if wanted is None else wanted | hit
-    needed = coarse.filter(wanted).select(*by, "_b", "_before", "_total")
-    hits = join_null_safe(binned, needed, [*by, "_b"], "inner")
-    fine = W.partitionBy(*by, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    rows = stage_shared(counts.filter(F.col("_n") > 0).select(*by, "_v", "_n"), "counts").withColumn("_before", F.lit(0).cast("long"))
+    total = rows.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    cell: list[str] = []
+    rank_names = {name: float(p) for name, p in probs.items()}
+    for level in range(_LEVELS):
+        finite = F.when(F.abs("_v") < float("inf"), _curve(F.col("_v")))
+        ends_ = rows.groupBy(*by, *cell).agg(F.min(finite).alias("_min"), F.max(finite).alias("_max"))
+        if by or cell:
+            rows = join_null_safe(rows, ends_, [*by, *cell], "inner")
+        else:
+            rows = (rows.withColumn("_e", ends_.select(F.struct("_min", "_max")).scalar())
+                    .withColumns({"_min": F.col("_e._min"), "_max": F.col("_e._max")}).drop("_e"))
+        share = F.coalesce(F.try_divide(_curve(F.col("_v")) - F.col("_min"), F.col("_max") - F.col("_min")), F.lit(0.0))
+        at = F.when(F.col("_v") == float("-inf"), F.lit(-1)).when(F.col("_v") == float("inf"), F.lit(_BINS + 1)).otherwise(
+            F.floor(share * _BINS).cast("int"))
+        name = f"_b{level}"
+        rows = rows.withColumn(name, at).drop("_min", "_max")
+        along = W.partitionBy(*by, *cell).orderBy(name).rowsBetween(W.unboundedPreceding, -1)
+        coarse = (rows.groupBy(*by, *cell, name).agg(F.sum("_n").alias("_bn"), F.max("_before").alias("_base"))
+                  .withColumn("_start", F.col("_base") + F.coalesce(F.sum("_bn").over(along), F.lit(0))))
+        coarse = join_null_safe(coarse, total, by, "inner") if by else coarse.withColumn("_total", total.scalar())
+        wanted = F.lit(False)
+        for p in rank_names.values():
+            h = (F.col("_total") - 1) * F.lit(p)
+            for rank in (F.floor(h), F.ceil(h)):
+                wanted = wanted | ((rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_bn")))
+        needed = coarse.filter(wanted).select(*by, *cell, name, "_start")
+        cell = [*cell, name]
+        rows = join_null_safe(rows, needed, [*by, *cell], "inner").drop("_before").withColumnRenamed("_start", "_before")
+    hits = join_null_safe(rows, total, by, "inner") if by else rows.withColumn("_total", total.scalar())
+    ranks = {name: (F.col("_total") - 1) * F.lit(p) for name, p in rank_names.items()}
+    fine = W.partitionBy(*by, *cell).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     ranked = (hits.withColumn("_lo", F.col("_before") + F.coalesce(F.sum("_n").over(fine), F.lit(0)))
               .withColumn("_hi", F.col("_lo") + F.col("_n")))
 

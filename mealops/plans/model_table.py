@@ -17,7 +17,7 @@ WEATHER_COLUMNS = ["station", "tm", "temp", "precipitating", "shower", "pcp_begi
 
 
 def model_table(features: DataFrame, routes: DataFrame, stores: DataFrame, weather: DataFrame,
-                store_keys: list[str] = ("sup_id",)) -> DataFrame:
+                store_keys: list[str] = ("sup_id", "from_tel", "from_addr")) -> DataFrame:
     """All orders with route (minutes), restaurant, features, weather at placing and required
     slots of both stations, slack and daypart.
 

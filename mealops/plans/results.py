@@ -116,11 +116,12 @@ def lead_adjustment(lagged: DataFrame, occasion: int | None = None, noon: bool =
 
 
 def rider_income_table(orders: DataFrame, threshold: float = 3000) -> DataFrame:
-    """Orders with speed, running month income, days left and meal-hour flags. Needs route
-    and load columns (``dist``, ``time`` in minutes, ``onhand``). Stage it before running
-    several threshold analyses on it."""
+    """Orders with speed, running month income, days left and meal-hour flags. Needs all
+    orders with route and load columns (``dist``, ``time`` in minutes, ``onhand``; NULL where
+    unknown): income, rank and month flags count every order, the validity filter comes
+    after. Stage it before running several threshold analyses on it."""
     lunch, dinner = meal_hours("require_tm")
-    moving = speed_columns(orders, seconds_between("leave_tm", "finish_tm"))
-    return (rider_month_running(moving, threshold=threshold)
+    run = rider_month_running(orders, threshold=threshold)
+    return (speed_columns(run, seconds_between("leave_tm", "finish_tm"))
             .withColumn("remain_days", days_left("finish_tm"))
             .withColumn("lunch_hr", lunch).withColumn("dinner_hr", dinner))

@@ -6,6 +6,7 @@ SQL options and never overrides the checkpoint folder the cluster names.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,9 +32,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; only an unset session gets its own."""
+    """Use the shared folder the session names. A single-JVM session without one gets its own;
+    on a cluster a folder of one machine would lose data, so there it is an error."""
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="mealops-ckpt-"))
 
 

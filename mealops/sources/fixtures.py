@@ -111,3 +111,28 @@ def restaurants(spark: SparkSession, sf_dir: str) -> DataFrame:
         (30 + c("sup_id")).cast("double").alias("avgexp_up"),
         F.when(c("sup_id") % 9 != 0, rating(3)).alias("taste"),
         rating(7).alias("envir"), rating(11).alias("service"))
+
+
+def _branch(sup, branch) -> list:
+    """Phone and address of a store's branch; every seventh store has no phone."""
+    text = lambda head, n: F.concat(F.lit(head), n.cast("string"))
+    return [F.when(sup % 7 != 0, text("021-", 5000 + sup + 100 * branch)).alias("from_tel"),
+            F.concat(text("road ", sup), F.when(branch == 1, F.lit(" b")).otherwise(F.lit(""))).alias("from_addr")]
+
+
+def with_branch(orders: DataFrame) -> DataFrame:
+    """Orders with the phone and address of the branch they came from: every fifth store has two."""
+    c = F.col
+    return orders.select("*", *_branch(c("sup_id"), F.when(c("sup_id") % 5 == 0, c("k") % 2).otherwise(F.lit(0))))
+
+
+def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restaurant master with one row per branch; second branches are rated on their own
+    and some have no average expense."""
+    c = F.col
+    own = restaurants(spark, sf_dir).drop("from_tel", "from_addr").withColumn(
+        "_b", F.explode(F.when(c("sup_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    second = c("_b") == 1
+    return (own.select("*", *_branch(c("sup_id"), c("_b")))
+            .withColumn("taste", F.when(second, (60 + (c("sup_id") * 13) % 30) / 10.0).otherwise(c("taste")))
+            .withColumn("avgexp_lo", F.when(~(second & (c("sup_id") % 3 == 0)), c("avgexp_lo"))).drop("_b"))

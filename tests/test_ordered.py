@@ -92,8 +92,21 @@ def test_hot_key_is_split(spark):
     out = ordered(df, ["key"], ["tm", "id"], running={"n": F.lit(1)})
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
-        assert len(sizes) > 1 and max(sizes) < 20000
+        per = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("n").alias("k"), F.max("n").alias("m"))
+        sizes = [r["k"] for r in per.collect()]
+        assert len(sizes) > 1 and sum(sizes) == 20000 and max(sizes) < 20000
+        assert out.filter(F.col("n") != F.col("id") + 1).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_rows_without_a_time_are_split(spark):
+    df = spark.range(400000).select(F.lit(1).alias("key"), "id", F.lit(None).cast("timestamp_ntz").alias("tm"))
+    out = ordered(df, ["key"], ["tm", "id"], running={"n": F.lit(1)})
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        per = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("n").alias("k"), F.max("n").alias("m")).collect()
+        assert sum(r["k"] for r in per) == 400000 and max(r["k"] for r in per) < 400000
         assert out.filter(F.col("n") != F.col("id") + 1).count() == 0
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
