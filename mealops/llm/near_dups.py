@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     sets = stage_shared(docs.select("doc_id", F.arrow_udf(_signatures, _SIGNATURE)("text").alias("s")).select("doc_id", "s.*"), "sets")
     full = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # written, so that the joins on it shuffle plainly and a set with very many copies can be split
+    reps = stage_shared(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "sets-different")
     own = stage_shared(full.join(reps, ["k1", "k2"]).filter("doc_id = rep").select("rep", "n", "bands"), "representatives")
     banded = own.select("rep", F.posexplode("bands").alias("i", "band")).select(
         "rep", "i", F.xxhash64("i", "band").alias("key"))
