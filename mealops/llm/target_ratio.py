@@ -132,6 +132,9 @@ def judge(docs: DataFrame, labels: DataFrame, min_ratio: float = MIN_RATIO,
     total = F.aggregate("_cells", F.lit(0.0), lambda s, c: s + F.get("_table", c))
     df = df.withColumn("log_ratio", F.when(F.size("_cells") > 0, total / F.size("_cells")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    # the row number, never negative, keeps a later filter on ``kept`` above this projection:
+    # pushed below, it would repeat every array expression for each use
+    here = F.monotonically_increasing_id() >= 0
     return (df.withColumn("base_failed", failed)
-            .withColumn("kept", ~failed & (F.col("log_ratio") >= min_ratio))
+            .withColumn("kept", ~failed & F.coalesce(F.col("log_ratio") >= min_ratio, F.lit(False)) & here)
             .drop("_w", "_h", "_cells", "_table"))
