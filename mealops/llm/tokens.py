@@ -71,7 +71,7 @@ class _Chunks(dict):
 class TokenIds:
     """Text to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:  # a library's own file, beside the code on every machine

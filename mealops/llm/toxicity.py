@@ -24,7 +24,7 @@ from .common import WordHashes, labelled_sample, mix64, stripped
 CELLS = 1 << 20
 #: Labelled documents the model is fitted on, those with the smallest id hashes.
 TRAIN_ROWS = 12_000
-PASSES, ALPHA, BETA, L1, L2 = 3, 0.1, 1.0, 2.0, 0.0
+PASSES, ALPHA, BETA, L1, L2 = 5, 4.0, 1.0, 6.0, 0.0
 
 
 def cells(h: np.ndarray) -> np.ndarray:
@@ -77,7 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[f
            .select("doc_id", "y", to_cells("text").alias("cells")).toPandas())
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     bags = got["cells"].to_numpy()
-    return fit([np.asarray(bags[k], np.int64) for k in order], got["y"].to_numpy()[order])
+    return fit([np.asarray(bags[k]) for k in order], got["y"].to_numpy()[order])
 
 
 def scorer(bias: float, at: np.ndarray, weight: np.ndarray):
