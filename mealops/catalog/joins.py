@@ -210,11 +210,6 @@ def _(spark, d):
     return to_events(meal_orders(spark, d), ["rider_id", "id"], ["arrive_tm", "finish_tm"])
 
 
-@query("s03_distinct_shards", sql("SELECT id, o_cords, d_cords, dist, time FROM dist", "dist"))
-def _(spark, d):
-    return route_lookup(spark, d).distinct()
-
-
 # --- T: sorts, top-k, dedupe -------------------------------------------------------------
 
 @query("t01_order_by", sql("""SELECT sup_id, taste, n FROM (SELECT sup_id, count(*) AS n FROM meal_orders GROUP BY 1)

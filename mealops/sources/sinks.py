@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
@@ -32,10 +32,14 @@ def stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(write_table(df, path, partition_by))
 
 
+def shared_path(spark: SparkSession, label: str = "stage") -> str:
+    """A fresh folder name under the shared checkpoint folder of the session."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+
+
 def stage_shared(df: DataFrame, label: str = "stage") -> DataFrame:
     """Stage under the shared checkpoint folder of the session, for an intermediate that
     several branches of one job read: columnar, so each branch reads only its columns, and
     not recomputed when an executor is lost."""
-    ensure_checkpoint_dir(df.sparkSession)
-    folder = df.sparkSession.sparkContext.getCheckpointDir()
-    return stage(df, f"{folder}/{label}-{uuid.uuid4().hex}")
+    return stage(df, shared_path(df.sparkSession, label))

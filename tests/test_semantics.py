@@ -162,11 +162,12 @@ def test_choice_set_needs_both_sides(make):
 
 
 def test_single_store_user_has_no_alternative(make):
-    o = make("id int, user_id int, sup_id int, price int, rider_income int, place_tm timestamp_ntz, finish_tm timestamp_ntz",
-             [(i, 1, 5, 10, 1, f"2024-01-0{i} 10:00:00", f"2024-01-0{i} 11:00:00") for i in (1, 2, 3)])
+    o = make("id int, user_id int, sup_id int, from_tel string, from_addr string, price int, rider_income int, place_tm timestamp_ntz, finish_tm timestamp_ntz",
+             [(i, 1, 5, None, "r", 10, 1, f"2024-01-0{i} 10:00:00", f"2024-01-0{i} 11:00:00") for i in (1, 2, 3)])
     assert col(jn.previous_distinct(o), "alt_id") == [None] * 3
-    stores = make("sup_id int, name string, taste double, envir double, service double, avgexp_lo double, avgexp_up double, tag1 string",
-                  [(5, "S", 1.0, 1.0, 1.0, 1.0, 2.0, "t")])
+    # two master rows of the store would make two chosen rows, but no alternative
+    stores = make("sup_id int, from_tel string, from_addr string, name string, taste double, envir double, service double, avgexp_lo double, avgexp_up double, tag1 string",
+                  [(5, None, "r", "S", 1.0, 1.0, 1.0, 1.0, 2.0, "t"), (5, None, "r", "S", 2.0, 1.0, 1.0, 1.0, 2.0, "t")])
     assert store_choices(o, stores).count() == 0
 
 
