@@ -31,9 +31,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the passage classifier, fitted on what is left, does not reject."""
-    session(spark)
-    score = mil_quality.quality_score(docs, table(spark, sf_dir, "labels"))
+    """Documents that the passage classifier does not reject. It is fitted on labelled rows of
+    the raw table: of those that passed the rules hardly any is labelled bad."""
+    score = mil_quality.scorer(mil_quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))(F.col("text"))
     scored = docs.select(F.struct("*").alias("row"), score.alias("score"))
     return scored.filter(F.col("score") >= LEAST_QUALITY).select("row.*")
 
