@@ -27,7 +27,7 @@ from .common import WORD
 PARTS, PRINT_WIDTH = 3, 4
 #: Widths of a part, tried in turn; a table is dealt ``LOAD`` differing digests on average.
 WIDTHS, LOAD = (8, 16, 32), 6
-_ROWS_A_CELL = 10_000
+_ROWS_A_CELL = 5_000
 
 
 def digests(text: Column) -> Column:
@@ -144,11 +144,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), digests(text).alias("d")).withColumn("_b", bounds.scalar())
     last = F.greatest(F.size("_b") - 1, F.lit(0))
-    home = F.when(F.col("doc_id").isNull(), last).otherwise(
-        F.greatest(F.size(F.filter("_b", lambda b: b >= F.col("doc_id"))) - 1, F.lit(0)))
+    # the bounds in about as many runs as a run has bounds: two short searches find the cell
+    step = F.greatest(F.ceil(F.sqrt(F.size("_b").cast("double"))).cast("int"), F.lit(1))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("_b") / step).cast("int") - 1, F.lit(0))),
+                       lambda j: F.slice("_b", j * step + 1, step))
+    rows = rows.withColumn("_step", step).withColumn("_runs", runs)
+    run = F.size(F.filter("_runs", lambda r: F.get(r, F.lit(0)) >= F.col("doc_id"))) - 1
+    rows = rows.withColumn("_run", F.greatest(run, F.lit(0)))
+    inside = F.size(F.filter(F.get("_runs", F.col("_run")), lambda b: b >= F.col("doc_id"))) - 1
+    home = F.when(F.col("doc_id").isNull(), last).otherwise(F.greatest(F.col("_run") * F.col("_step") + inside, F.lit(0)))
     rows = rows.withColumn("_home", home)
     first = F.col("doc_id").eqNullSafe(F.get("_b", F.lit(0)))
-    guest = F.when(first, last).when(F.array_contains("_b", F.col("doc_id")), F.col("_home") - 1)
+    guest = F.when(first, last).when(F.get("_b", F.col("_home")) == F.col("doc_id"), F.col("_home") - 1)
     spot = lambda c, g: F.struct(c.alias("cell"), F.lit(g).alias("guest"))
     rows = rows.select("doc_id", "text", "d", F.explode(F.filter(
         F.array(spot(F.col("_home"), 0), spot(guest, 1)), lambda s: s["cell"].isNotNull())).alias("s"))
@@ -173,6 +180,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), "d", digests(F.col("e")).alias("ed"), "next_d"), "digests")
     apart = lambda df, k: df.withColumn("apart", differing(F.col("d"), F.col("ed"), k)).withColumn(
         "apart_next", differing(F.col("d"), F.col("next_d"), k))
+    # comparing costs far more than reading: dealt evenly, whatever the sizes of the files
+    rows = rows.repartition(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell", "i")
     tried, attempt, done = stage_shared(apart(rows, 0), "compared"), 0, None
     while True:
         good = tried.filter("apart IS NOT NULL AND apart_next IS NOT NULL")
