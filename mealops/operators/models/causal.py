@@ -60,8 +60,8 @@ def _affordable_radius(treated: DataFrame, controls: DataFrame, z: list[str], bl
 
 
 def match_pairs(df: DataFrame, y: str, treat: str, xs: list[str], weights: dict[str, float] | None = None,
-                blocks: list[str] = (), start: float | None = None, tolerance: float = 1e-9,
-                max_levels: int = 80) -> DataFrame:
+                blocks: list[str] = (), start: float | None = None,
+                tolerance: float = 1e-9) -> DataFrame:
     """Nearest control profiles of each treated profile, ties kept, controls reusable.
 
     Distance is Euclidean over columns divided by their sample deviation, times an optional
@@ -104,9 +104,8 @@ def match_pairs(df: DataFrame, y: str, treat: str, xs: list[str], weights: dict[
 
     has_controls = not controls.isEmpty()
     r = 0.0
-    for _ in range(max_levels):
-        if not has_controls or todo.isEmpty():
-            break
+    # the radius at least doubles, so every finite profile with a reachable control is matched
+    while has_controls and r < float("inf") and not todo.isEmpty():
         r = float(start) if start and not r else max(2 * r, _affordable_radius(todo, controls, z, blocks))
         homed = controls.withColumn("_cell", F.array(*[cells(f"_c{zi}", r, 0.0) for zi in z]))
         corners = [F.array(*[cells(zi, r, s) for zi, s in zip(z, signs)])
