@@ -14,11 +14,11 @@ Defined results: a NULL text, one without letters, or any text when nothing was
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,14 +26,14 @@ from .common import is_held_out
 
 TOP = 400
 MAX_LANGS = 500
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 _PART = 1 << 20  # letters counted at once
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Different n-grams of lower-cased letter runs, as 21 bits a character, and their counts."""
     letters = " ".join(_NOT_LETTERS.split((text or "").lower())).strip()
-    if not letters:
+    if not _LETTER.search(letters):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     c = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.int64)
     two = c[:-1] << 21 | c[1:]

@@ -12,6 +12,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from mealops.llm import (language, mil_quality, mixing, near_dups, packing, paragraph_sketch, queries,
@@ -176,7 +177,7 @@ def test_ftrl_learns_and_stays_sparse():
 # --- language ----------------------------------------------------------------------------
 
 def _ngrams(text):
-    words = [w for w in re.split(r"[\W\d_]+", (text or "").lower()) if w]
+    words = [w for w in regex.split(r"[^\p{L}\p{M}]+", (text or "").lower()) if w]
     n = Counter()
     if words:
         s = " " + " ".join(words) + " "
@@ -213,6 +214,7 @@ def test_language_profiles_and_distance(spark, edge, empty):
         away = {k: sum(abs(v.index(g) - i) if g in v else 20 for i, g in enumerate(own)) for k, v in sorted(want.items())}
         best = min(away, key=away.get)
         assert compare(r[1]) == (best, pytest.approx(1 - away[best] / (20 * len(own))))
+    assert [compare(t) for t in (None, "", "12 \u00b2 _!", "\u0307")] == [("und", 0.0)] * 4
     assert language.profiles(empty) == {}
     assert {r["f"]["lang"] for r in edge.select(language.predict(F.col("text"), {}).alias("f")).collect()} == {"und"}
     with pytest.raises(ValueError):
