@@ -34,35 +34,32 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + n for n, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """Lower-cased piece -> ids, by the merge model."""
+class _Chunks(dict):
+    """Chunk -> ids. Lower-case letter runs and single marks are chunks as well, so the pieces
+    of longer chunks are remembered here too."""
 
-    def __init__(self, model, limit: int):
-        self.tokenize, self.limit, self.letters = model.tokenize, limit, _byte_letters()
-        self.packed: dict[int, bytes] = {}  # one entry an id of the vocabulary
+    def __init__(self, owner: TokenIds, limit: int):
+        self.tokenize, self.whole, self.pattern = owner.tokenizer.model.tokenize, owner.whole, owner.pattern
+        self.limit, self.letters = limit, _byte_letters()
+        self.packed = [i.to_bytes(4, "little") for i in range(owner.tokenizer.get_vocab_size())]
 
-    def __missing__(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
         packed = self.packed
-        try:
-            out = b"".join([packed[t.id] for t in self.tokenize(shown)])
-        except KeyError:
-            ids = [t.id for t in self.tokenize(shown)]
-            packed.update((i, i.to_bytes(4, "little")) for i in ids)
-            out = b"".join([packed[i] for i in ids])
-        if len(self) < self.limit:
-            self[piece] = out
-        return out
-
-
-class _Chunks(dict):
-    """Chunk -> ids."""
-
-    def __init__(self, owner: TokenIds, limit: int):
-        self.owner, self.limit = owner, limit
+        return b"".join([packed[t.id] for t in self.tokenize(shown)])
 
     def __missing__(self, chunk: str) -> bytes:
-        out = self.owner.chunk(chunk)
+        if not chunk.isascii() and not _LATIN.fullmatch(chunk):
+            out = self.whole(chunk)
+        else:
+            low = chunk.lower()
+            # letters only, or letters and one closing mark, need no pattern
+            if low.isalpha():
+                out = self.piece(low) if low == chunk else self[low]
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                out = self[low[:-1]] + self.piece(low[-1])
+            else:
+                out = b"".join(map(self.piece, self.pattern.findall(low)))
         if len(self) < self.limit:
             self[chunk] = out
         return out
@@ -71,28 +68,17 @@ class _Chunks(dict):
 class TokenIds:
     """Text to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:  # a library's own file, beside the code on every machine
             pre = json.load(f)["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(pre[0]["pattern"]["Regex"])
-        self.pieces = _Pieces(self.tokenizer.model, limit)
         self.chunks = _Chunks(self, limit)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def chunk(self, chunk: str) -> bytes:
-        if not chunk.isascii() and not _LATIN.fullmatch(chunk):
-            return self.whole(chunk)
-        # letters only, or letters and one closing mark, need no pattern
-        if chunk.isalpha():
-            return self.pieces[chunk.lower()]
-        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-            return self.pieces[chunk[:-1].lower()] + self.pieces[chunk[-1]]
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk.lower())))
-
     def many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; NULL has none."""
         get = self.chunks.__getitem__
