@@ -7,7 +7,8 @@ linking to blocked ones becomes suspect. Both are scaled to sum to one, and a ho
 where distrust is at least ``BLOCK_SHARE`` of the two. Rules come before the host's verdict.
 
 Defined results: a NULL url, or one without ``://``, has an empty host and path and belongs to
-the empty host, which no link reaches; hosts that neither reaches are allowed; repeated rows
+the empty host, which no link reaches; hosts that neither reaches (scores below the smallest
+double count as none, some thousand links from a seed) are allowed; repeated rows
 are judged alike (a page counts as often as it occurs); a NULL html has no links.
 """
 
@@ -75,9 +76,13 @@ def seeds(pages: DataFrame) -> DataFrame:
 
 def spread(edges: DataFrame, start: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, score), each kind summing to one: personalised PageRank of the seeds, along
-    the links for trust and against them for distrust, until a round moves less than
-    ``tolerance`` of the mass. Mass of hosts without links returns to the seeds, which only
-    scales the scores."""
+    the links for trust and against them for distrust. Mass of hosts without links returns to
+    the seeds, which only scales the scores.
+
+    Scores start at the seeds' own part and only grow, so rounds go on until no host's score
+    grows by more than ``tolerance`` of itself: a host just reached has grown from nothing, and
+    once no host grows more, none does later. Only hosts with links take part in the rounds;
+    a seed without any has its own part for good."""
     out_n = edges.groupBy("src").agg(F.sum("n").alias("t"))
     in_n = edges.groupBy("dst").agg(F.sum("n").alias("t"))
     along = edges.join(out_n, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"),
@@ -85,19 +90,25 @@ def spread(edges: DataFrame, start: DataFrame, damping: float = DAMPING, toleran
     against = edges.join(in_n, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"),
                                              (F.col("n") / F.col("t")).alias("w"))
     walk = stage_shared(along.unionAll(against), "walk")
-    start = stage_shared(start, "seeds")
-    rank = start.withColumnRenamed("seed", "score")
-    moved, mass = (1.0, 1.0) if not walk.isEmpty() else (0.0, 1.0)
-    while moved > tolerance * mass:
+    linked = edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
+    start = stage_shared(start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("own"))
+                         .join(linked.withColumn("_in", F.lit(True)), "host", "left")
+                         .select("kind", "host", "own", F.col("_in").isNotNull().alias("linked")), "seeds")
+    alone = start.filter("NOT linked").select("kind", "host", F.col("own").alias("score"))
+    start = start.filter("linked").select("kind", "host", "own")
+    rank = start.withColumnRenamed("own", "score")
+    moved = 1.0 if not walk.isEmpty() else 0.0
+    while moved > tolerance:
         flow = rank.join(walk, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg(
             (damping * F.sum(F.col("score") * F.col("w"))).alias("add"))
-        parts = (start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("new"), F.lit(0.0).alias("old"))
+        parts = (start.select("kind", "host", F.col("own").alias("new"), F.lit(0.0).alias("old"))
                  .unionAll(flow.select("kind", "host", F.col("add").alias("new"), F.lit(0.0).alias("old")))
                  .unionAll(rank.select("kind", "host", F.lit(0.0).alias("new"), F.col("score").alias("old"))))
-        both = stage_shared(parts.groupBy("kind", "host").agg(F.sum("new").alias("score"), F.sum("old").alias("old")), "ranks")
-        change = both.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.sum("score")).first()
-        moved, mass = change[0] or 0.0, change[1] or 0.0
-        rank = both.select("kind", "host", "score").filter("score > 0")
+        both = stage_shared(parts.groupBy("kind", "host").agg(F.sum("new").alias("score"), F.sum("old").alias("old"))
+                            .filter("score > 0"), "ranks")
+        moved = both.agg(F.max(F.abs(F.col("score") - F.col("old")) / F.col("score"))).first()[0] or 0.0
+        rank = both.select("kind", "host", "score")
+    rank = rank.unionAll(alone)
     total = rank.groupBy("kind").agg(F.sum("score").alias("_t"))  # two rows
     return rank.join(total, "kind").select("kind", "host", (F.col("score") / F.col("_t")).alias("score"))
 

@@ -458,6 +458,20 @@ def test_url_trust_by_hand(spark):
     assert none.count() == 0
 
 
+def test_url_trust_reaches_far_beside_unlinked_hosts(spark):
+    hops = 12
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(hops)], "src string, dst string, n bigint")
+    start = spark.createDataFrame([("distrust", f"h{hops}", 1.0)], "kind string, host string, seed double")
+    many = spark.range(200_000).select(F.lit("trust").alias("kind"), F.concat(F.lit("u"), "id").alias("host"), F.lit(1.0).alias("seed"))
+    scores = url_trust.spread(edges, start.unionAll(many))
+    got = {r["host"]: r["score"] for r in scores.filter("kind = 'distrust'").collect()}
+    want = [0.85 ** (hops - i) for i in range(hops + 1)]
+    assert len(got) == hops + 1
+    for i, w in enumerate(want):
+        assert got[f"h{i}"] == pytest.approx(w / sum(want), rel=1e-6)
+    assert scores.filter("kind = 'trust'").count() == 200_000
+
+
 # --- fingerprints ------------------------------------------------------------------------
 
 def _paragraphs(text):
