@@ -3,8 +3,10 @@
 A page's host and path are matched with a short list of rules. Hosts whose pages the rules
 allow seed trust, hosts whose pages they block seed distrust, each by the share of its pages.
 Trust follows links by personalised PageRank; distrust follows them backwards, so that a host
-linking to blocked ones becomes suspect. Both are scaled to sum to one, and a host is blocked
-where distrust is at least ``BLOCK_SHARE`` of the two. Rules come before the host's verdict.
+linking to blocked ones becomes suspect. A host is blocked where distrust is at least
+``BLOCK_SHARE`` of the two; a host without links is judged by its own pages alone. Both are
+returned scaled to sum to one. Rules come before the host's verdict, and hosts that differ in
+user part or port only are one host of the graph.
 
 Defined results: a NULL url, or one without ``://``, has an empty host and path and belongs to
 the empty host, which no link reaches; hosts that neither reaches (scores below the smallest
@@ -38,6 +40,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def node(host: Column) -> Column:
+    """The host's place in the link graph: without user part and port."""
+    return F.regexp_replace(host, r"^.*@|:\d*$", "")
+
+
 def _match(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """struct(rule, verdict) of the longest rule that fits, or NULL."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -48,36 +55,38 @@ def _match(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Col
 
 
 def parsed(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """(page_id, host, path, rule, ruled, links) staged: the html is read once."""
+    """(page_id, host, node, path, rule, ruled, links) staged: the html is read once."""
     host, path = host_and_path(F.col("url"))
     df = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html").alias("_html"))
     links = F.transform(F.regexp_extract_all(F.coalesce("_html", F.lit("")), F.lit(_LINK), 1),
-                        lambda x: F.regexp_replace(ascii_lower(x), r"^.*@|:\d*$", ""))
+                        lambda x: node(ascii_lower(x)))
     hit = _match(F.col("host"), F.col("path"), rules)
-    return stage_shared(df.select("page_id", "host", "path", hit.alias("_m"), F.array_remove(links, F.col("host")).alias("links"))
-                        .select("page_id", "host", "path", F.col("_m.rule").alias("rule"), F.col("_m.verdict").alias("ruled"), "links"),
+    df = df.withColumn("node", node(F.col("host")))
+    return stage_shared(df.select("page_id", "host", "node", "path", hit.alias("_m"), F.array_remove(links, F.col("node")).alias("links"))
+                        .select("page_id", "host", "node", "path", F.col("_m.rule").alias("rule"), F.col("_m.verdict").alias("ruled"), "links"),
                         "pages")
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n) links between different hosts."""
-    return (pages.select(F.col("host").alias("src"), F.explode("links").alias("dst"))
+    return (pages.select(F.col("node").alias("src"), F.explode("links").alias("dst"))
             .filter("src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n")))
 
 
 def seeds(pages: DataFrame) -> DataFrame:
     """(kind, host, seed): the share of a host's pages that rules allow and block."""
     share = lambda v: F.avg(F.when(F.col("ruled") == v, 1.0).otherwise(0.0))
-    per = pages.filter("host <> ''").groupBy("host").agg(share("allow").alias("a"), share("block").alias("b"))
+    per = pages.filter("node <> ''").groupBy(F.col("node").alias("host")).agg(share("allow").alias("a"), share("block").alias("b"))
     both = F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("a").alias("seed")),
                              F.struct(F.lit("distrust").alias("kind"), F.col("b").alias("seed"))))
     return per.select("host", both.alias("s")).select("s.kind", "host", "s.seed").filter("seed > 0")
 
 
 def spread(edges: DataFrame, start: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """(kind, host, score), each kind summing to one: personalised PageRank of the seeds, along
-    the links for trust and against them for distrust. Mass of hosts without links returns to
-    the seeds, which only scales the scores.
+    """(kind, host, score): personalised PageRank of the seeds, along the links for trust and
+    against them for distrust. Mass of hosts without links returns to the seeds, which only
+    scales the scores; here it is left out, so a score does not depend on how many seeds there
+    are elsewhere.
 
     Scores start at the seeds' own part and only grow, so rounds go on until no host's score
     grows by more than ``tolerance`` of itself: a host just reached has grown from nothing, and
@@ -108,24 +117,27 @@ def spread(edges: DataFrame, start: DataFrame, damping: float = DAMPING, toleran
                             .filter("score > 0"), "ranks")
         moved = both.agg(F.max(F.abs(F.col("score") - F.col("old")) / F.col("score"))).first()[0] or 0.0
         rank = both.select("kind", "host", "score")
-    rank = rank.unionAll(alone)
-    total = rank.groupBy("kind").agg(F.sum("score").alias("_t"))  # two rows
-    return rank.join(total, "kind").select("kind", "host", (F.col("score") / F.col("_t")).alias("score"))
+    return rank.unionAll(alone)
 
 
 def host_verdicts(scores: DataFrame, block_share: float = BLOCK_SHARE) -> DataFrame:
-    """(host, trust, distrust, host_verdict) of the hosts that a seed reaches."""
+    """(host, trust, distrust, host_verdict) of the hosts that a seed reaches: the verdict by
+    the scores as they are, and each kind scaled to sum to one."""
     part = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0))
-    per = scores.groupBy("host").agg(part("trust").alias("trust"), part("distrust").alias("distrust"))
-    suspect = F.col("distrust") >= block_share * (F.col("trust") + F.col("distrust"))
-    return per.withColumn("host_verdict", F.when(suspect, "block").otherwise("allow"))
+    per = scores.groupBy("host").agg(part("trust").alias("_t"), part("distrust").alias("_d"))
+    suspect = F.col("_d") >= block_share * (F.col("_t") + F.col("_d"))
+    total = part("trust").alias("t"), part("distrust").alias("d")
+    per = per.withColumn("_all", scores.agg(*total).select(F.struct("t", "d")).scalar())
+    share = lambda k: F.coalesce(F.try_divide(f"_{k}", F.col("_all")[k]), F.lit(0.0))
+    return per.select("host", share("t").alias("trust"), share("d").alias("distrust"),
+                      F.when(suspect, "block").otherwise("allow").alias("host_verdict"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, block_share: float = BLOCK_SHARE) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every page."""
     read = parsed(pages, rules)
-    hosts = host_verdicts(spread(host_edges(read), seeds(read)), block_share)
-    return (read.join(hosts, "host", "left")
+    hosts = host_verdicts(stage_shared(spread(host_edges(read), seeds(read)), "scores"), block_share)
+    return (read.join(hosts.withColumnRenamed("host", "node"), "node", "left")
             .select("page_id", "host", "path", "rule",
                     F.coalesce("ruled", "host_verdict", F.lit("allow")).alias("verdict"),
                     F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))

@@ -468,10 +468,32 @@ def test_url_trust_reaches_far_beside_unlinked_hosts(spark):
     want = [0.85 ** (hops - i) for i in range(hops + 1)]
     assert len(got) == hops + 1
     for i, w in enumerate(want):
-        assert got[f"h{i}"] == pytest.approx(w / sum(want), rel=1e-6)
+        assert got[f"h{i}"] / sum(got.values()) == pytest.approx(w / sum(want), rel=1e-6)
     assert scores.filter("kind = 'trust'").count() == 200_000
 
 
+def test_url_trust_one_host_for_all_ports(spark):
+    link = lambda h: f"<a href='http://{h}/p'>x</a>"
+    pages = [(1, "http://bad.com/de/1", None), (2, "http://bad.com:8080/x", link("bad.com")), (3, "http://u@farm.net:81/x", link("Bad.com:9")),
+             (4, "http://farm.net/", None), (5, "http://good.org/a", link("mid.net:7")), (6, "http://mid.net:9/x", None)]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    edges = {(r["src"], r["dst"]) for r in url_trust.host_edges(url_trust.parsed(df)).collect()}
+    assert edges == {("farm.net", "bad.com"), ("good.org", "mid.net")}
+    got = {r["page_id"]: r for r in url_trust.judge(df).collect()}
+    assert [got[i]["verdict"] for i in range(1, 7)] == ["block", "block", "block", "block", "allow", "allow"]
+    assert got[6]["trust"] > 0 and got[4]["distrust"] == got[3]["distrust"] > 0
+    assert got[2]["host"] == "bad.com:8080" and got[3]["host"] == "u@farm.net:81"
+
+
+def test_url_trust_verdict_without_links_is_the_hosts_own(spark):
+    pages = [(0, "http://x.com/de/1", None), (1, "http://x.com/other", None)] + [(2 + i, f"http://x.com/fr/{i}", None) for i in range(99)]
+    pages += [(1000 + i, f"http://t{i}.org/", None) for i in range(1000)]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    got = {r["page_id"]: r for r in url_trust.judge(df).collect()}
+    assert [got[i]["verdict"] for i in (0, 1, 2, 1000)] == ["block", "allow", "allow", "allow"]
+    assert sum({r["host"]: r["trust"] for r in got.values()}.values()) == pytest.approx(1)
+
+
 # --- fingerprints ------------------------------------------------------------------------
 
 def _paragraphs(text):
