@@ -94,19 +94,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
         F.struct((F.col("size") - first).alias("words"), (F.col("_from") + F.col("size")).alias("end")))))
     entry = entry.filter("_part.words > 0").withColumn("_finish", F.try_divide("_part.end", "target"))
     entry = entry.filter(F.col("_finish").isNotNull())
-    # merged by finish time: slices of virtual time hold about equal shares, for queues are shuffled
+    # merged by finish time: slices of virtual time hold about equal shares, for queues are
+    # shuffled; they go on as far as the queues do, and those behind the budget take nothing
     slices = max(16, 4 * cells)
-    entry = entry.withColumn("_slice", F.least(F.floor(F.col("_finish") * slices), F.lit(2 * slices)))
+    entry = entry.withColumn("_slice", F.floor(F.col("_finish") * slices))
     per = entry.groupBy("_slice").agg(F.sum("_part.words").alias("_s"))
-    over = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * slices + 1 rows
-    offsets = per.select("_slice", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_before"))
+    offsets = running_totals(per, [F.col("_slice")], {"_upto": F.col("_s")}).select("_slice", (F.col("_upto") - F.col("_s")).alias("_before"))
     total = targets.agg(F.sum(F.floor("target")).alias("b"))
+    offsets = offsets.withColumn("_budget", total.scalar()).filter("_before < _budget")
     line = Window.partitionBy("_slice").orderBy("_finish", F.col("source").asc_nulls_last(), "_key", "doc_id", "_from")
-    merged = (entry.withColumn("_run", F.sum("_part.words").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-              .join(offsets, "_slice").withColumn("_budget", total.scalar()))
+    merged = entry.join(offsets, "_slice").withColumn("_run", F.sum("_part.words").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     got = F.greatest(F.lit(0), F.least(F.col("_part.words"), F.col("_budget") - F.col("_before") - F.col("_run") + F.col("_part.words")))
     place = ["source", "_cell", "_i"]
-    taken = merged.filter(F.col("_before") < F.col("_budget")).groupBy(*place).agg(F.sum(got).alias("taken"))
+    taken = merged.groupBy(*place).agg(F.sum(got).alias("taken"))
     taken = taken.select(F.col("source").alias("_src"), F.col("_cell").alias("_c"), F.col("_i").alias("_j"), "taken")
     return (queued.join(taken, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_cell") == F.col("_c")) & (F.col("_i") == F.col("_j")), "left")
             .select("doc_id", "fingerprint", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))

@@ -174,28 +174,6 @@ def test_ftrl_learns_and_stays_sparse():
     assert np.mean(right) > 0.97 and len(at) < 0.5 * len(np.unique(np.concatenate(bags)))
 
 
-# --- language ----------------------------------------------------------------------------
-
-def _ngrams(text):
-    words = [w for w in regex.split(r"[^\p{L}\p{M}]+", (text or "").lower()) if w]
-    n = Counter()
-    if words:
-        s = " " + " ".join(words) + " "
-        for k in (1, 2, 3):
-            for i in range(len(s) - k + 1):
-                g = s[i:i + k]
-                if g != " " and not (k == 3 and g[1] == " "):
-                    n[g] += 1
-    return n
-
-
-def _code(g):
-    v = 0
-    for ch in g:
-        v = v << 21 | ord(ch)
-    return v
-
-
 def test_language_profiles_and_distance(spark, edge, empty):
     known = language.profiles(edge, top_n=20)
     held = {r[0]: r[1] for r in edge.select("doc_id", is_held_out(F.col("doc_id"))).collect()}
@@ -415,6 +393,25 @@ def test_mixed_rows(spark, data_dir):
         assert copies[r["doc_id"]] == (math.floor(r["taken"] / r["size"] + 0.5) if r["size"] else 0)
 
 
+def test_mixing_slices_behind_the_budget_are_not_sorted(spark, monkeypatch):
+    docs = spark.createDataFrame([_row(i, "a b c d e", "en", "aaaaaaaaaaabbccccccc"[i % 20]) for i in range(2700)], SCHEMA)
+    kind, seen = type(docs), []
+    plain = kind.withColumn
+
+    def spy(self, name, col):
+        if name == "_run":
+            seen.extend(r["count"] for r in self.groupBy("_slice").count().collect())
+        return plain(self, name, col)
+
+    monkeypatch.setattr(kind, "withColumn", spy)
+    rows = mixing.mix(docs).collect()
+    for source in "abc":
+        own = [r for r in rows if r["source"] == source]
+        assert sum(r["taken"] for r in own) == math.floor(own[0]["target"])
+    assert min(r["target"] / r["source_size"] for r in rows) < 0.65  # finish times above 3
+    assert max(seen) <= 400
+
+
 # --- url filters -------------------------------------------------------------------------
 
 def test_host_and_path(spark):
