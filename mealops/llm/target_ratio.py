@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from .common import WORD, words
 
 BUCKETS = 1 << 15
-#: At most so many trusted documents make the target; the corpus side counts every document.
-TRUSTED_ROWS = 20_000
 #: Weight of the corpus shares in the target's, in words and pairs.
 PRIOR = 200_000.0
 #: Documents below this mean log ratio (nats a word) are unlike the target.
@@ -51,20 +49,18 @@ def _cells(df: DataFrame, buckets: int) -> DataFrame:
     return df.withColumn("_cells", F.concat(F.transform("_w", lambda w: _cell(buckets, w)), pair))
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most ``rows`` ids of documents labelled good, those with the smallest id hashes."""
-    return (labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull())
-            .select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all documents labelled good."""
+    return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def cell_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
                 prior: float = PRIOR) -> DataFrame:
     """One row, ``ratios``: the log ratio of target to corpus in every cell.
 
-    ``trusted`` is bounded by :func:`trusted_ids` and may be broadcast. Counts are summed
-    where the texts are read; only (cell, counts) is shuffled."""
-    marked = docs.select("doc_id", "text").join(
-        F.broadcast(trusted.withColumn("_t", F.lit(1))), "doc_id", "left")
+    Adaptive execution decides by the measured size of ``trusted`` whether the texts meet it
+    where they are read, so that only (cell, counts) is shuffled, or by a join on ids."""
+    marked = docs.select("doc_id", "text").join(trusted.withColumn("_t", F.lit(1)), "doc_id", "left")
     # exploded before hashing: generated code all the way to the partial sums
     neighbours = F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))).alias("b"))
     pairs = marked.withColumn("_w", words(F.col("text"))).select("_t", F.explode(neighbours).alias("p"))
@@ -123,11 +119,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, min_ratio: float = MIN_RATIO,
-          buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+          buckets: int = BUCKETS) -> DataFrame:
     """Every document with its counts, ``base_failed``, ``log_ratio`` and ``kept``; the
     columns of ``docs`` stay. Base rules: fewer than 50 words, or more than half of them
     repeated."""
-    ratios = cell_ratios(docs, trusted_ids(labels, trusted_rows), buckets)
+    ratios = cell_ratios(docs, trusted_ids(labels), buckets)
     df = _cells(base_counts(docs), buckets).withColumn("_table", ratios.scalar())
     total = F.aggregate("_cells", F.lit(0.0), lambda s, c: s + F.get("_table", c))
     df = df.withColumn("log_ratio", F.when(F.size("_cells") > 0, total / F.size("_cells")))

@@ -174,6 +174,37 @@ def test_ftrl_learns_and_stays_sparse():
     assert np.mean(right) > 0.97 and len(at) < 0.5 * len(np.unique(np.concatenate(bags)))
 
 
+def test_every_trusted_document_counts(spark):
+    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    ratio = target_ratio.cell_ratios(docs, target_ratio.trusted_ids(labels), buckets=2).first()[0]
+    raw = np.sort((np.array([30_000, 0]) + 1) / 30_002)
+    want = np.log((np.array([0, 30_000]) + target_ratio.PRIOR * raw) / (30_000 + target_ratio.PRIOR)) - np.log(raw)
+    assert sorted(ratio) == pytest.approx(sorted(want))
+
+
+# --- language ----------------------------------------------------------------------------
+
+def _ngrams(text):
+    words = [w for w in regex.split(r"[^\p{L}\p{M}]+", (text or "").lower()) if w]
+    n = Counter()
+    if words:
+        s = " " + " ".join(words) + " "
+        for k in (1, 2, 3):
+            for i in range(len(s) - k + 1):
+                g = s[i:i + k]
+                if g != " " and not (k == 3 and g[1] == " "):
+                    n[g] += 1
+    return n
+
+
+def _code(g):
+    v = 0
+    for ch in g:
+        v = v << 21 | ord(ch)
+    return v
+
+
 def test_language_profiles_and_distance(spark, edge, empty):
     known = language.profiles(edge, top_n=20)
     held = {r[0]: r[1] for r in edge.select("doc_id", is_held_out(F.col("doc_id"))).collect()}
