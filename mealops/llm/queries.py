@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (language, mil_quality, mixing, near_dups, packing, paragraph_sketch, target_ratio,
-               token_lengths, toxicity, url_trust)
+from . import (collocations, conversations, language, mil_quality, mixing, near_dups, packing, paragraph_sketch,
+               target_ratio, token_files, token_lengths, toxicity, url_trust)
 from .common import is_held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,4 +92,33 @@ def op10_near_dups(spark: SparkSession, d: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, d, "documents"))
 
 
+@query
+def op11_collocations(spark: SparkSession, d: str) -> DataFrame:
+    """Each language's first phrases of two to four words."""
+    return collocations.collocations(table(spark, d, "documents"))
+
+
+@query
+def op12_token_files(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of every document's ids, read back from Huffman-coded files."""
+    return token_files.round_trip(table(spark, d, "documents"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after the contract's damage."""
+    original = table(spark, d, "conversations")
+    rows = conversations.damaged(original)
+    found = conversations.repairs(rows)
+    digests = conversations.repaired_digests(rows, found)
+    every = original.select("conv_id").distinct()
+    same = lambda a, b: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
+    zero = lambda c: F.coalesce(f"f.{c}", F.lit(0).cast("long")).alias(c)
+    return (every.alias("e").join(found.alias("f"), same("e", "f"), "left").join(digests.alias("d"), same("e", "d"), "left")
+            .select("e.conv_id", *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+                    F.coalesce("f.audit", F.lit("")).alias("audit"),
+                    F.coalesce("d.repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")))
+
+
 ORACLES["op2_mixing"] = mixing.ORACLE
+ORACLES["op11_collocations"] = collocations.ORACLE
