@@ -24,6 +24,7 @@ phrase; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,14 +34,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.sinks import stage_shared
+from ..sources.sinks import shared_path, stage_shared
 from .common import WordHashes, mix64
 
 LONGEST, MIN_COUNT, TOP, INSIDE = 4, 30, 2000, 80
-SHARDS = 8
+SHARDS = 4
 BITS = 1 << 27
 _BUCKET = 1 << 20  # words of the corpus a bucket
 _HELD, _PHRASES = 1 << 22, 400_000  # runs and different phrases a task holds before it emits them
+_HIGH = 0xFFFFFFFF00000000
 _STOP, _END = b".", bytes(4)
 _FORM = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -79,7 +81,9 @@ def _written(docs: DataFrame) -> DataFrame:
                                               pa.array([r.tobytes() for r in rows], pa.binary())], ["n", "words"])
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"),
                        F.pmod(F.spark_partition_id(), F.lit(SHARDS)).alias("shard"), hashed("text").alias("w"))
-    return stage_shared(rows.select("lang", "shard", "w.n", "w.words"), "phrase-words")
+    path = shared_path(docs.sparkSession, "phrase-words")
+    rows.select("lang", "shard", "w.n", "w.words").write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema("lang string, shard int, n bigint, words binary").parquet(path)
 
 
 def _salt(lang: str, shard: int = -1) -> np.uint64:
@@ -96,6 +100,12 @@ def _levels(h: np.ndarray, longest: int) -> Iterator[np.ndarray]:
         yield np.where(inside, out | np.uint64(1), np.uint64(0))
 
 
+def _keys(runs: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each run (by the higher half of its hash) and the lower half; 0 stays 0."""
+    top = (runs >> np.uint64(32)) * np.uint64(buckets) & np.uint64(_HIGH)
+    return np.where(runs != 0, top | (runs & np.uint64(0xFFFFFFFF)), np.uint64(0))
+
+
 def _spot(runs: np.ndarray, salt: np.uint64) -> np.ndarray:
     return (mix64(runs ^ salt, 5) & np.uint64(BITS - 1)).astype(np.int64)
 
@@ -112,16 +122,16 @@ def _summed(rows: DataFrame, k: int, buckets: int, known) -> DataFrame:
     """(lang, shard, bucket, runs, counts): runs of ``k`` words, summed inside a task; ``known``
     is the broadcast bitmap of locally frequent runs of ``k - 1``."""
     def emit(lang: str, shard: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-        runs, counts = np.unique(np.concatenate(parts), return_counts=True)
-        # sorted by hash, so a bucket (the highest bits) is a slice
-        top = (runs >> np.uint64(32)).astype(np.int64) * buckets >> 32
+        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+        top = (keys >> np.uint64(32)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
-        ends = np.r_[first[1:], len(runs)]
-        low, many = runs.tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()  # far above any support
+        ends = np.r_[first[1:], len(keys)]
+        # what the bucket does not say; counts are kept far above any support
+        low, many = (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()
         return pa.record_batch([
             pa.array([lang] * len(first), pa.string()), pa.array([shard] * len(first), pa.int32()),
             pa.array(top[first], pa.int64()),
-            pa.array([low[8 * a:8 * b] for a, b in zip(first, ends)], pa.binary()),
+            pa.array([low[4 * a:4 * b] for a, b in zip(first, ends)], pa.binary()),
             pa.array([many[a:b] for a, b in zip(first, ends)], pa.binary())],
             ["lang", "shard", "bucket", "runs", "counts"])
 
@@ -134,7 +144,8 @@ def _summed(rows: DataFrame, k: int, buckets: int, known) -> DataFrame:
             for lang, shard, words in zip(*(batch.column(c).to_pylist() for c in ("lang", "shard", "words"))):
                 own.setdefault((lang, shard), []).append(words)
             for key, texts in own.items():
-                *_, shorter, runs = [np.zeros(0, np.uint64), *_levels(np.frombuffer(_END.join(texts), np.uint32).astype(np.uint64), k)]
+                h = np.frombuffer(_END.join(texts), np.uint32).astype(np.uint64)
+                *_, shorter, runs = [np.zeros(0, np.uint64), *(_keys(r, buckets) for r in _levels(h, k))]
                 keep = runs != 0
                 if bitmap is not None:
                     often = _often(bitmap, shorter, _salt(*key))
@@ -156,10 +167,10 @@ def _frequent(counted: DataFrame, least: DataFrame) -> DataFrame:
     def group(key: tuple, table: pa.Table) -> pa.Table:
         lang, shard = key[0].as_py(), key[1].as_py()
         support = table.column("least")[0].as_py()
-        runs = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("runs").to_pylist()])
+        runs = np.concatenate([np.frombuffer(b, "<u4") for b in table.column("runs").to_pylist()])
         counts = np.concatenate([np.frombuffer(b, np.uint8) for b in table.column("counts").to_pylist()])
         different, at = np.unique(runs, return_inverse=True)
-        often = different[np.bincount(at, counts) >= support]
+        often = different[np.bincount(at, counts) >= support] | np.uint64(key[2].as_py() << 32)
         spots = [_spot(often, _salt(lang, shard)), _spot(often, _salt(lang))]
         return pa.table({"level": pa.array(np.repeat([0, 1], len(often)).astype(np.int32)), "spot": pa.array(np.concatenate(spots))})
     return counted.join(least, ["lang", "shard"]).groupBy("lang", "shard", "bucket").applyInArrow(group, "level int, spot bigint")
@@ -179,7 +190,8 @@ def _bitmaps(spots: DataFrame) -> list[bytes]:
 
 
 def candidates(docs: DataFrame, min_count: int = MIN_COUNT):
-    """Broadcast bitmaps of the locally frequent runs of 1, 2, .. ``LONGEST`` words by language."""
+    """Broadcast bitmaps of the locally frequent runs of 1, 2, .. ``LONGEST`` words by language, and
+    the number of buckets."""
     spark = docs.sparkSession
     rows = _written(docs)
     # one row a language and shard: the support in proportion to its words, rounded up
@@ -194,60 +206,80 @@ def candidates(docs: DataFrame, min_count: int = MIN_COUNT):
         local, union = _bitmaps(_frequent(_summed(rows, k, buckets, known), least))
         known = spark.sparkContext.broadcast(local)
         out.append(spark.sparkContext.broadcast(union))
-    return out
+    return out, buckets
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """(lang, phrase, k, f, n) staged: exact counts of every run of 1 to ``LONGEST`` words that
-    occurs ``min_count`` times in its language, and the language's words."""
-    found = candidates(docs, min_count)
+    """(lang, phrase, k, f) staged: exact counts of every run of 1 to ``LONGEST`` words that
+    occurs ``min_count`` times in its language; of no word (k = 0): the language's words."""
+    found, buckets = candidates(docs, min_count)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Words32()
         bitmaps = [np.frombuffer(b.value, np.uint8) for b in found]
-        words: dict[str, Counter] = {}
-        phrases: dict[str, Counter] = {}
+        held: dict[str, Counter] = {}  # phrases, and words that may prove frequent or not
+        n: Counter = Counter()
         size = 0
 
+        def prune() -> int:
+            """Words that no shard found frequent go."""
+            for lang, own in held.items():
+                single = [p for p in own if b" " not in p]
+                often = _often(bitmaps[0], _keys(next(_levels(hashes.of_tokens(single).astype(np.uint64), 1)), buckets), _salt(lang))
+                for i in np.flatnonzero(~often).tolist():
+                    del own[single[i]]
+            return sum(map(len, held.values()))
+
         def emit() -> Iterator[pa.RecordBatch]:
-            for lang, own in words.items():
-                own.pop(_STOP, None)
-                n, every = sum(own.values()), list(own)
-                known = _often(bitmaps[0], next(_levels(hashes.of_tokens(every).astype(np.uint64), 1)), _salt(lang))
-                every = [every[i] for i in np.flatnonzero(known).tolist()]
-                # the words of the language travel as the run of no word
-                keys = [b"", *every, *phrases[lang]]
-                counts = [n, *map(own.__getitem__, every), *phrases[lang].values()]
-                yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.binary()).cast(pa.string()),
-                                       pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
+            prune()
+            for lang, own in held.items():
+                dealt: dict[int, list[bytes]] = {}
+                for p in own:
+                    dealt.setdefault(zlib.crc32(p) % buckets, []).append(p)
+                rows = [(lang, k, b"\n".join(ps), np.fromiter(map(own.__getitem__, ps), "<u8", len(ps)).tobytes()) for k, ps in dealt.items()]
+                # the words of the language travel as the phrase of no word
+                rows.append((lang, -1, b"", np.array([n[lang]], "<u8").tobytes()))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary(), pa.binary()))],
+                                      ["lang", "bucket", "phrases", "counts"])
 
         for batch in batches:
             texts: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 texts.setdefault(lang, []).append(text or b"")
-            for lang, own in texts.items():
-                got = tokens(_STOP.join(own))
-                mine, longer = words.setdefault(lang, Counter()), phrases.setdefault(lang, Counter())
-                size -= len(mine) + len(longer)
-                mine.update(got)
+            for lang, parts in texts.items():
+                got = tokens(_STOP.join(parts))
+                own = held.setdefault(lang, Counter())
+                size -= len(own)
+                own.update(got)
+                del own[_STOP]
+                n[lang] += len(got) - got.count(_STOP)
                 before = None
                 for k, runs in enumerate(_levels(hashes.of_tokens(got).astype(np.uint64), LONGEST), 1):
-                    known = _often(bitmaps[k - 1], runs, _salt(lang))
+                    known = _often(bitmaps[k - 1], _keys(runs, buckets), _salt(lang))
                     if before is not None:  # both shorter runs must be there too
                         known &= before[:-1] & before[1:]
-                        longer.update([b" ".join(got[i:i + k]) for i in np.flatnonzero(known).tolist()])
+                        own.update([b" ".join(got[i:i + k]) for i in np.flatnonzero(known).tolist()])
                     before = known
-                size += len(mine) + len(longer)
-            if size >= _PHRASES:
+                size += len(own)
+            if size >= _PHRASES and (size := prune()) >= _PHRASES // 2:
                 yield from emit()
-                words, phrases, size = {}, {}, 0
+                held, n, size = {}, Counter(), 0
         yield from emit()
 
+    def group(key: tuple, table: pa.Table) -> pa.Table:
+        phrases = [p for b in table.column("phrases").to_pylist() for p in b.split(b"\n")]
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u8").astype(np.int64)
+        got = pa.table({"p": pa.array(phrases, pa.binary()), "f": pa.array(counts)}).group_by("p").aggregate([("f", "sum")])
+        phrase, f = got.column("p").combine_chunks(), got.column("f_sum").to_numpy()
+        kept = np.flatnonzero((f >= min_count) | (key[1].as_py() < 0))
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(kept), pa.string()), "phrase": phrase.take(pa.array(kept)).cast(pa.string()),
+                         "f": pa.array(f[kept], pa.int64())})
+
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    counted = rows.mapInArrow(count, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    counted = rows.mapInArrow(count, "lang string, bucket bigint, phrases binary, counts binary")
+    counted = counted.groupBy("lang", "bucket").applyInArrow(group, "lang string, phrase string, f bigint")
     words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    return stage_shared(counted.filter((F.col("f") >= min_count) | (F.col("phrase") == ""))
-                        .select("lang", "phrase", words.cast("int").alias("k"), "f"), "phrase-counts")
+    return stage_shared(counted.select("lang", "phrase", words.cast("int").alias("k"), "f"), "phrase-counts")
 
 
 def _part(start: Column, length: Column) -> Column:

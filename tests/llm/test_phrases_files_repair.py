@@ -90,11 +90,11 @@ def test_phrases_of_many_shards(spark):
 
 def test_local_support_loses_nothing(edge):
     """Every phrase that reaches the support is in the union of the shards' own."""
-    found = collocations.candidates(edge, 3)
+    found, buckets = collocations.candidates(edge, 3)
     for lang, phrase, there in [("en", b"of the one", True), ("und", b"a a a", True), ("fr", b"of the one", False)]:
         h = collocations._Words32().of_tokens(phrase.split()).astype(np.uint64)
         *_, runs = collocations._levels(h, len(h))
-        assert collocations._often(np.frombuffer(found[len(h) - 1].value, np.uint8), runs, collocations._salt(lang)).all() == there
+        assert collocations._often(np.frombuffer(found[len(h) - 1].value, np.uint8), collocations._keys(runs, buckets), collocations._salt(lang)).all() == there
 
 
 def test_phrases_empty_and_sql(spark, empty, data_dir):
