@@ -261,42 +261,48 @@ def _code(spark, path: str) -> np.ndarray:
     return out
 
 
-def read_pieces(spark, path: str) -> DataFrame:
-    """(part, doc_id, doc_start, piece, doc_tokens, ids): every piece of every document, decoded
-    block by block; ``doc_start`` counts from the file's first id."""
+_PIECE = "part int, doc_id bigint, doc_start bigint, piece bigint, doc_tokens bigint, "
+
+
+def _decoded(spark, path: str, last: pa.Field, value, ddl: str) -> DataFrame:
+    """One row a piece of a document, decoded block by block, with ``value(ids, ids after it)``."""
     lengths = _code(spark, path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(lengths)
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = decoder(row["bits"], np.array(row["checkpoints"]), row["n"]).astype("<u4").tobytes()
-                ends = np.cumsum([0, *row["length"]]) * 4
-                k = len(row["length"])
-                yield pa.record_batch([
-                    pa.array([row["part"]] * k, pa.int32()), *[pa.array(row[c], pa.int64()) for c in ("doc_id", "doc_start", "piece", "doc_tokens")],
-                    pa.array([ids[a:b] for a, b in zip(ends, ends[1:])], pa.binary())], ["part", "doc_id", "doc_start", "piece", "doc_tokens", "ids"])
-    blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
-    return blocks.mapInArrow(decode, "part int, doc_id bigint, doc_start bigint, piece bigint, doc_tokens bigint, ids binary")
+            bits, points = batch.column("bits").to_pylist(), batch.column("checkpoints")
+            for k, (n, part, raw) in enumerate(zip(batch.column("n").to_pylist(), batch.column("part").to_pylist(), bits)):
+                ids = decoder(raw, points[k].values.to_numpy(), n).astype("<u4").tobytes()
+                docs, starts, at, total, length = (batch.column(c)[k].values for c in ("doc_id", "doc_start", "piece", "doc_tokens", "length"))
+                ends = np.cumsum([0, *length.to_pylist()]) * 4
+                left = total.to_numpy() - at.to_numpy() - length.to_numpy()
+                out = [value(ids[a:b], m) for a, b, m in zip(ends.tolist(), ends[1:].tolist(), left.tolist())]
+                yield pa.record_batch([pa.array(np.full(len(left), part, np.int32)), docs, starts, at, total, pa.array(out, last.type)],
+                                      ["part", "doc_id", "doc_start", "piece", "doc_tokens", last.name])
+    return spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").mapInArrow(decode, _PIECE + ddl)
+
+
+def read_pieces(spark, path: str) -> DataFrame:
+    """(part, doc_id, doc_start, piece, doc_tokens, ids): every piece of every document;
+    ``doc_start`` counts from the file's first id."""
+    return _decoded(spark, path, pa.field("ids", pa.binary()), lambda ids, left: ids, "ids binary")
 
 
 def read_digests(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files. The checksum of a
     document that several blocks share is the XOR of its pieces' shares."""
-    @F.arrow_udf("bigint")
-    def share(ids: pa.Array, left: pa.Array) -> pa.Array:
-        crcs = map(zlib.crc32, ids.to_pylist())
-        return pa.array([crc_share(c, n) if n else c for c, n in zip(crcs, left.to_pylist())], pa.int64())
-
-    size = F.octet_length("ids") / 4
-    left = ((F.col("doc_tokens") - F.col("piece") - size) * 4).cast("long")
-    rows = read_pieces(spark, path).select("part", "doc_id", "doc_start", "doc_tokens", share("ids", left).alias("crc"))
+    def share(ids: bytes, left: int) -> int:
+        crc = zlib.crc32(ids)
+        return crc_share(crc, 4 * left) if left else crc
+
+    rows = _decoded(spark, path, pa.field("crc", pa.int64()), share, "crc bigint")
     per = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
     files = per.select("part", F.coalesce(before, F.lit(0)).alias("_before"))
-    whole = rows.groupBy("part", "doc_start", "doc_id", "doc_tokens").agg(F.bit_xor("crc").alias("ids_crc32"))
-    return whole.join(files, "part").select(
-        "doc_id", (F.col("_before") + F.col("doc_start")).alias("start"), F.col("doc_tokens").alias("n_tokens"), "ids_crc32")
+    whole = rows.groupBy("part", "doc_start").agg(F.bit_xor("crc").alias("ids_crc32"), F.first("doc_id").alias("doc_id"),
+                                                  F.first("doc_tokens").alias("n_tokens"))
+    return whole.join(files, "part").select("doc_id", (F.col("_before") + F.col("doc_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
