@@ -144,6 +144,69 @@ def _(spark, d):
                             blocks=["tmref_cat"])
 
 
+_MATCH = """x AS (SELECT *, CAST(left1>=8 AS INT) AS treat, CAST(tmref_cat='lunch' AS INT) AS catlunch,
+    CAST(tmref_cat='other' AS INT) AS catother FROM timed JOIN dist d USING (id) WHERE d.dist IS NOT NULL),
+  sd AS (SELECT {sds} FROM x),
+  z AS (SELECT row_number() OVER (ORDER BY id) AS i, {block} AS blk, treat, delay, {raw}, {zs} FROM x, sd),
+  pr AS (SELECT t.i, u.i AS j, u.delay AS dj, sqrt({apart}) AS dist FROM z t JOIN z u ON t.blk=u.blk WHERE t.treat=1 AND u.treat=0),
+  mt AS (SELECT i, j, dj, dist, 1e0/count(*) OVER (PARTITION BY i) AS w FROM (
+    SELECT *, min(dist) OVER (PARTITION BY i) AS md FROM pr) WHERE dist<=md+1e-9),
+  ef AS (SELECT z.i, any_value(delay)-sum(w*dj) AS e, min(mt.dist) AS dist FROM z JOIN mt USING (i) GROUP BY 1),
+  us AS (SELECT j, sum(w) AS k, sum(w*w) AS kk FROM mt GROUP BY 1)"""
+
+
+def _matching(xs: list[str], block: str = "0", weights: dict[str, float] = {}) -> str:  # noqa: B006
+    """CTEs of matching by all pairs inside a block."""
+    return _MATCH.format(
+        sds=", ".join(f"stddev_samp({x}::DOUBLE) AS s{k}" for k, x in enumerate(xs)), block=block,
+        raw=", ".join(f"{x}::DOUBLE AS {x}" for x in xs),
+        zs=", ".join(f"{x}::DOUBLE/s{k}*sqrt({weights.get(x, 1.0)}e0) AS z{k}" for k, x in enumerate(xs)),
+        apart="+".join(f"(t.z{k}-u.z{k})*(t.z{k}-u.z{k})" for k in range(len(xs))))
+
+
+def _sides(spark, d):
+    return routed(spark, d).filter(c("dist").isNotNull())
+
+
+@query("m09_match_se", sql("""SELECT avg(e) AS att, (sqrt(sum((e-m)*(e-m)) + any_value(v))/count(*)) AS std_error,
+  avg(e)/(sqrt(sum((e-m)*(e-m)) + any_value(v))/count(*)) AS t_value, count(*) AS matched
+  FROM (SELECT *, avg(e) OVER () AS m FROM ef), (SELECT sum((k*k-kk)*s2) AS v FROM us JOIN cv USING (j))""", "timed dist",
+                           _matching(["ride", "menu_num"], "tmref_cat", {"menu_num": 2.0}) + """,
+  cp AS (SELECT t.i AS j, t.delay, u.delay AS dj, sqrt((t.z0-u.z0)*(t.z0-u.z0)+(t.z1-u.z1)*(t.z1-u.z1)) AS dist
+    FROM (SELECT * FROM z WHERE i IN (SELECT j FROM us)) t JOIN z u ON t.blk=u.blk AND t.i<>u.i WHERE u.treat=0),
+  cv AS (SELECT j, count(*)/(count(*)+1e0)*pow(any_value(delay)-avg(dj), 2) AS s2 FROM (
+    SELECT *, min(dist) OVER (PARTITION BY j) AS md FROM cp) WHERE dist<=md+1e-9 GROUP BY 1)""", rounds="att std_error t_value"))
+def _(spark, d):
+    return causal.match_error(_sides(spark, d), "delay", "treat", ["ride", "menu_num"], {"menu_num": 2.0}, ["tmref_cat"])
+
+
+_NINE = ["prepare", "price", "catlunch", "catother", "prereq", "ride", "rider_income", "menu_num", "dist"]
+
+
+@query("m09_match_nine", sql("""SELECT avg(e) AS att, count(*) AS matched, 0::BIGINT AS unmatched, avg(dist) AS mean_dist FROM ef""",
+                             "timed dist", _matching(_NINE), rounds="att mean_dist"))
+def _(spark, d):
+    o, _ = reg.design_columns(_sides(spark, d), {"tmref_cat": ["dinner", "lunch", "other"]})
+    return causal.match_att(o.withColumnsRenamed({"tmref_catlunch": "catlunch", "tmref_catother": "catother"}), "delay", "treat", _NINE)
+
+
+_MOVED = """SELECT '{s}' AS "sample", '{x}' AS "column", avg(v) FILTER (treat=1) AS mean_treated, m0 AS mean_control,
+  avg(v) FILTER (treat=1)-m0 AS mean_diff, (avg(v) FILTER (treat=1)-m0)/stddev_samp(v) FILTER (treat=1) AS std_diff,
+  var_samp(v) FILTER (treat=1)/(sum(w*(v-m0)*(v-m0)) FILTER (treat=0)/(sum(w) FILTER (treat=0)-1)) AS var_ratio, any_value(ks) AS ks
+  FROM (SELECT *, (sum(w*v) FILTER (treat=0) OVER ())/(sum(w) FILTER (treat=0) OVER ()) AS m0 FROM (SELECT treat, {x} AS v, {w} AS w FROM {t}) WHERE w>0),
+  (SELECT max(abs(c1-c0)) AS ks FROM (SELECT sum(n1) OVER (ORDER BY v)/sum(n1) OVER () AS c1, sum(n0) OVER (ORDER BY v)/sum(n0) OVER () AS c0
+   FROM (SELECT {x} AS v, coalesce(sum({w}) FILTER (treat=1), 0) AS n1, coalesce(sum({w}) FILTER (treat=0), 0) AS n0 FROM {t} GROUP BY 1))) GROUP BY m0"""
+_USED = "(SELECT z.*, coalesce(k, 0e0) AS k FROM z LEFT JOIN us ON us.j=z.i)"
+
+
+@query("m10_balance_matched", sql(" UNION ALL ".join(
+    f"({_MOVED.format(s=s, x=x, w=w, t=t)})" for x in ("ride", "menu_num")
+    for s, w, t in (("before", "1e0", "z"), ("after", "CASE WHEN treat=1 THEN 1e0 ELSE k END", _USED))),
+    "timed dist", _matching(["ride", "menu_num"], "tmref_cat"), rounds="mean_treated mean_control mean_diff std_diff var_ratio ks"))
+def _(spark, d):
+    return causal.balance_matched(_sides(spark, d), "delay", "treat", ["ride", "menu_num"], blocks=["tmref_cat"])
+
+
 def _bal(x: str) -> str:
     return f"""SELECT '{x}' AS "column", avg({x}) FILTER (treat=1) AS mean_treated, avg({x}) FILTER (treat=0) AS mean_control,
   avg({x}) FILTER (treat=1)-avg({x}) FILTER (treat=0) AS mean_diff,

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...session import ensure_checkpoint_dir
 from ..aggregates import freq, six_number
-from ..joins import attach_stats
 from ..ordered import ordered
 from ..quantiles import _bin
+from .matching import all_rows, att, att_error, match, matched_rows
 from .regression import fe_ols, ols
 
 
@@ -34,113 +30,27 @@ def ipw_ate(df: DataFrame, y: str, treat: str, p: str, xs: list[str] = ()) -> Da
 
 # --- matching ----------------------------------------------------------------------------
 
-def _profiles(df: DataFrame, keys: list[str], y: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(y).cast("double")).alias("_sy"))
-
-
-_RADII = [2.0 ** j for j in range(6, -16, -1)]  # in sample deviations
-
-
-def _affordable_radius(treated: DataFrame, controls: DataFrame, z: list[str], blocks: list[str],
-                       per_row: int = 8) -> float:
-    """Largest radius whose cells hold at most ``per_row`` candidate pairs per profile on
-    average. Pairs are counted from cell sizes, never formed; one number per radius comes
-    to the driver."""
-    def sizes(side: DataFrame, prefix: str, out: str) -> DataFrame:
-        at = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.array(
-            *[F.floor(F.col(prefix + zi) / (2 * r)) for zi in z]).alias("cell")) for r in _RADII]))
-        return (side.select(*blocks, at.alias("_a")).select(*blocks, "_a.*")
-                .groupBy(*blocks, "r", "cell").agg(F.count(F.lit(1)).cast("double").alias(out)))
-
-    t, c = sizes(treated, "", "nt"), sizes(controls, "_c", "nc")
-    pairs = {row["r"]: row["p"] for row in t.join(c, [*blocks, "r", "cell"]).groupBy("r")
-             .agg(F.sum(F.col("nt") * F.col("nc")).alias("p")).collect()}
-    budget = per_row * (treated.count() + controls.count())
-    return next((r for r in _RADII if pairs.get(r, 0.0) <= budget), _RADII[-1])
-
-
-def match_pairs(df: DataFrame, y: str, treat: str, xs: list[str], weights: dict[str, float] | None = None,
-                blocks: list[str] = (), start: float | None = None,
-                tolerance: float = 1e-9) -> DataFrame:
-    """Nearest control profiles of each treated profile, ties kept, controls reusable.
-
-    Distance is Euclidean over columns divided by their sample deviation, times an optional
-    weight per column; ``blocks`` must agree exactly. Rows with equal covariates are one
-    profile (count and outcome sum), so copies never multiply.
-
-    Search radius r starts at ``start`` (by default the largest one at which the cells give
-    only a few candidates per row) and at least doubles, jumping further when few profiles
-    are left: space is cut in cells of side 2r, a
-    treated profile meets only the controls in the (at most 2 per column) cells its r-ball
-    touches, and whatever is found within r is exactly the nearest. Profiles with nothing
-    within r go on to the next level; profiles whose block has no control stay unmatched
-    (NULL). Each level is checkpointed, so no level is recomputed when an executor is lost.
-    Result: one row per treated profile with ``_n``, ``_sy``, ``_dist``, and the number and
-    outcome sum of its nearest controls (``_cn``, ``_csy``).
-    """
-    xs, blocks = list(xs), list(blocks)
-    weights = weights or {}
-    ensure_checkpoint_dir(df.sparkSession)
-    data = df.select(*blocks, F.col(treat).cast("int").alias("_t"), F.col(y), *xs).dropna()
-    sd = data.agg(F.struct(*[F.stddev_samp(x).alias(x) for x in xs])).scalar()
-    z = [f"_z{i}" for i in range(len(xs))]
-    scaled = (data.withColumn("_sd", sd).withColumns(
-        {zi: F.coalesce(F.try_divide(F.col(x).cast("double"), F.col(f"_sd.{x}")), F.lit(0.0))
-         * (float(weights.get(x, 1.0)) ** 0.5) for zi, x in zip(z, xs)}).drop("_sd"))
-    keys = [*blocks, *z]
-    treated = _profiles(scaled.filter(F.col("_t") == 1), keys, y).withColumn("_tid", F.struct(*keys))
-    controls = (_profiles(scaled.filter(F.col("_t") == 0), keys, y)
-                .withColumnsRenamed({"_n": "_cn", "_sy": "_csy", **{zi: f"_c{zi}" for zi in z}})).checkpoint()
-    treated = treated.checkpoint()
-    if blocks:
-        reachable = controls.select(*blocks).distinct()
-        todo = treated.join(reachable, blocks, "left_semi").checkpoint()
-        done = [treated.join(reachable, blocks, "left_anti")]
-    else:
-        todo, done = treated, []
-
-    def cells(point: str, r: float, shift: float) -> Column:
-        return F.floor((F.col(point) + shift) / (2 * r))
-
-    has_controls = not controls.isEmpty()
-    r = 0.0
-    # the radius at least doubles, so every finite profile with a reachable control is matched
-    while has_controls and r < float("inf") and not todo.isEmpty():
-        r = float(start) if start and not r else max(2 * r, _affordable_radius(todo, controls, z, blocks))
-        homed = controls.withColumn("_cell", F.array(*[cells(f"_c{zi}", r, 0.0) for zi in z]))
-        corners = [F.array(*[cells(zi, r, s) for zi, s in zip(z, signs)])
-                   for signs in itertools.product((-r, r), repeat=len(z))]
-        probes = todo.withColumn("_cell", F.explode(F.array_distinct(F.array(*corners))))
-        dist = F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(zi) - F.col(f"_c{zi}"), 2) for zi in z]))
-        near = (probes.join(homed, [*blocks, "_cell"]).withColumn("_dist", dist).filter(F.col("_dist") <= r))
-        # distances within the tolerance of the smallest are ties and add up; the smallest
-        # must leave room for its ties inside r
-        closest = attach_stats(near.select("_tid", "_dist", "_cn", "_csy"), ["_tid"], _min=F.min("_dist"))
-        ties = closest.filter((F.col("_dist") <= F.col("_min") + tolerance) & (F.col("_min") + tolerance <= r))
-        best = ties.groupBy("_tid").agg(F.struct(
-            F.min("_dist").alias("_dist"), F.sum("_cn").alias("_cn"), F.sum("_csy").alias("_csy")).alias("_b"))
-        level = todo.join(best, "_tid", "left").checkpoint()
-        done.append(level.filter(F.col("_b").isNotNull()).select(*treated.columns, "_b.*"))
-        todo = level.filter(F.col("_b").isNull()).select(treated.columns)
-    done.append(todo)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
-
-
 def match_att(df: DataFrame, y: str, treat: str, xs: list[str], weights: dict[str, float] | None = None,
               blocks: list[str] = (), **kw) -> DataFrame:
     """Average effect on the treated from nearest-neighbour matching with replacement;
     tied neighbours are averaged. One row: ``att, matched, unmatched, mean_dist``."""
-    pairs = match_pairs(df, y, treat, xs, weights, blocks, **kw)
-    for c in ("_dist", "_cn", "_csy"):
-        if c not in pairs.columns:
-            pairs = pairs.withColumn(c, F.lit(None).cast("double"))
-    hit = F.col("_dist").isNotNull()
-    effect = F.col("_sy") - F.col("_n") * F.col("_csy") / F.col("_cn")
-    n = F.sum(F.when(hit, F.col("_n")))
-    return pairs.agg(
-        (F.sum(F.when(hit, effect)) / n).alias("att"), F.coalesce(n, F.lit(0)).alias("matched"),
-        F.coalesce(F.sum(F.when(~hit, F.col("_n"))), F.lit(0)).alias("unmatched"),
-        (F.sum(F.col("_dist") * F.col("_n")) / n).alias("mean_dist"))
+    return att(match(df, y, treat, xs, weights, blocks, **kw))
+
+
+def match_error(df: DataFrame, y: str, treat: str, xs: list[str], weights: dict[str, float] | None = None,
+                blocks: list[str] = (), **kw) -> DataFrame:
+    """The effect of :func:`match_att` with its standard error and t value."""
+    return att_error(match(df, y, treat, xs, weights, blocks, **kw), blocks)
+
+
+def balance_matched(df: DataFrame, y: str, treat: str, xs: list[str], weights: dict[str, float] | None = None,
+                    blocks: list[str] = (), **kw) -> DataFrame:
+    """Balance of the covariates ``before`` and ``after`` matching (column ``sample``); after, a
+    control row weighs as often as it was used. Rows with a NULL covariate are in neither."""
+    m = match(df, y, treat, xs, weights, blocks, **kw)
+    both = [balance(rows, "_t", xs, "_weight").withColumn("sample", F.lit(name))
+            for name, rows in (("before", all_rows(m, xs)), ("after", matched_rows(m, xs)))]
+    return both[0].unionByName(both[1])
 
 
 def balance(df: DataFrame, treat: str, xs: list[str], weight: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mealops.operators.models import causal, learners
+from mealops.operators.models import causal, matching, learners
 from mealops.operators.models import regression as reg
 from mealops.operators.models.moments import t_tail
 
@@ -145,8 +145,9 @@ def test_even_weights_equal_plain_ols(df):
     assert a["t"]["estimate"] == pytest.approx(b["t"]["estimate"])
 
 
-@pytest.mark.parametrize("start", [0.25, None])
-def test_matching_equals_brute_force(spark, start):
+@pytest.mark.parametrize("leaf", [7, 2000])
+def test_matching_equals_brute_force(spark, leaf, monkeypatch):
+    monkeypatch.setattr(matching, "LEAF", leaf)
     rnd = np.random.default_rng(5)
     n = 240
     t, block = (rnd.random(n) < 0.4).astype(int), rnd.integers(0, 3, n)
@@ -169,12 +170,80 @@ def test_matching_equals_brute_force(spark, start):
         near = c[d <= d.min() + 1e-9]
         effects.append(y[i] - y[near].mean())
         dists.append(d.min())
-    got = causal.match_att(df, "y", "t", ["x0", "x1", "x2"], weights={"x1": 2.0}, blocks=["b"], start=start).first()
+    got = causal.match_att(df, "y", "t", ["x0", "x1", "x2"], weights={"x1": 2.0}, blocks=["b"]).first()
     assert (got["matched"], got["unmatched"]) == (len(effects), lost)
     assert got["att"] == pytest.approx(np.mean(effects))
     assert got["mean_dist"] == pytest.approx(np.mean(dists))
 
 
+def _neighbours(Z, seek, among, tolerance=1e-9):
+    """For each row of ``seek`` the rows of ``among`` (itself left out) at the least distance."""
+    out = []
+    for i in seek:
+        c = among[among != i]
+        d = np.sqrt(((Z[c] - Z[i]) ** 2).sum(axis=1))
+        out.append(c[d <= d.min() + tolerance])
+    return out
+
+
+@pytest.mark.parametrize("width,apart,copies", [(2, 0.0, 0), (5, 0.0, 60), (9, 500.0, 30)])
+def test_matching_by_tree(spark, width, apart, copies, monkeypatch):
+    """Effect, error, matches and balance against loops, with many leaves, near and far sides."""
+    monkeypatch.setattr(matching, "LEAF", 12)
+    monkeypatch.setattr(matching, "VISITORS", 16)
+    monkeypatch.setattr(matching, "CHUNK", 50)
+    rnd, n = np.random.default_rng(width), 360
+    t = (rnd.random(n) < 0.3).astype(int)
+    X = rnd.normal(size=(n, width))
+    X[:, 0] = rnd.integers(0, 4, n)  # a column with ties
+    X[t == 1, -1] += apart
+    if copies:
+        X[:copies] = X[0]
+        X[copies:2 * copies, :] = X[copies]
+    y = rnd.normal(size=n) + 2 * t + X[:, 0]
+    xs = [f"x{k}" for k in range(width)]
+    df = spark.createDataFrame([(int(t[i]), *map(float, X[i]), float(y[i])) for i in range(n)],
+                               "t int, " + ", ".join(f"{x} double" for x in xs) + ", y double").repartition(3)
+    Z = X / X.std(axis=0, ddof=1)
+    treated, controls = np.where(t == 1)[0], np.where(t == 0)[0]
+    near = _neighbours(Z, treated, controls)
+    effect = np.array([y[i] - y[m].mean() for i, m in zip(treated, near)])
+    uses, squares = np.zeros(n), np.zeros(n)
+    for m in near:
+        uses[m] += 1 / len(m)
+        squares[m] += 1 / len(m) ** 2
+    variance = np.zeros(n)
+    for i, m in zip(controls, _neighbours(Z, controls, controls)):
+        variance[i] = len(m) / (len(m) + 1) * (y[i] - y[m].mean()) ** 2
+    error = np.sqrt(((effect - effect.mean()) ** 2).sum() + ((uses ** 2 - squares) * variance).sum()) / len(treated)
+    m = matching.match(df, "y", "t", xs)
+    got = matching.att_error(m).first()
+    assert got["att"] == pytest.approx(effect.mean()) and got["matched"] == len(treated)
+    assert got["std_error"] == pytest.approx(error) and got["t_value"] == pytest.approx(effect.mean() / error)
+    # distances are counted, and far fewer than all pairs of profiles where the sides meet
+    profiles = len(np.unique(X[t == 1], axis=0)) * len(np.unique(X[t == 0], axis=0))
+    assert 0 < m.pairs <= 3 * profiles
+    if width == 2 and not apart:
+        assert m.pairs < 0.5 * profiles
+    got = {(r["sample"], r["column"]): r for r in causal.balance_matched(df, "y", "t", xs).collect()}
+    for k, x in enumerate(xs):
+        assert got["before", x]["mean_diff"] == pytest.approx(X[treated, k].mean() - X[controls, k].mean())
+        mean = (uses * X[:, k]).sum() / uses.sum()
+        assert got["after", x]["mean_control"] == pytest.approx(mean)
+        spread = (uses * (X[:, k] - mean) ** 2).sum() / (uses.sum() - 1)
+        assert got["after", x]["var_ratio"] == pytest.approx(X[treated, k].var(ddof=1) / spread) or spread < 1e-12
+
+
+def test_partition_tree():
+    rnd = np.random.default_rng(1)
+    points = np.c_[rnd.normal(size=300), rnd.integers(0, 2, 300), np.ones(300)]
+    dims, cuts = matching.fit_tree(points, 4)
+    leaf = matching.leaf_of(points, dims, cuts)
+    assert set(leaf) <= set(range(16)) and np.bincount(leaf).max() < 60
+    assert set(matching.leaf_of(np.ones((5, 3)), *matching.fit_tree(np.ones((9, 3)), 3))) == {0}
+    assert matching.leaf_of(points, *matching.fit_tree(points[:0], 0)).tolist() == [0] * 300
+
+
 def test_matching_without_controls(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0)], "t int, x double, y double")
     got = causal.match_att(df, "y", "t", ["x"]).first()
