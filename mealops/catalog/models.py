@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import floor_bucket, threshold_flag
 from ..functions.timing import days_left, meal_hours
 from ..operators.joins import left_lookup
-from ..operators.models import causal, learners
+from ..operators.models import causal, learners, robust
 from ..operators.models import regression as reg
 from ..operators.windows import rider_month_running
 from ..sources.fixtures import meal_orders, restaurants
@@ -57,6 +57,28 @@ def _(spark, d):
     return reg.ols(timed(spark, d), "delay", ["prereq", "price"]).select("term", "estimate", "n")
 
 
+_RESID = """ft AS (SELECT regr_slope(delay,prereq) AS b, regr_intercept(delay,prereq) AS a, avg(prereq) AS mx,
+  regr_sxx(delay,prereq) AS sxx, count(*) AS n FROM timed),
+  rs AS (SELECT rider_id, delay-a-b*prereq AS e, 1e0/n-mx*(prereq-mx)/sxx AS ha, (prereq-mx)/sxx AS hb FROM timed, ft)"""
+
+
+@query("m02_ols_robust", sql("""SELECT '(Intercept)' AS term, a AS estimate, sqrt(n/(n-2e0)*va) AS std_error, n, n-2 AS df_resid
+  FROM ft, (SELECT sum(e*e*ha*ha) AS va FROM rs) UNION ALL
+  SELECT 'prereq', b, sqrt(n/(n-2e0)*vb), n, n-2 FROM ft, (SELECT sum(e*e*hb*hb) AS vb FROM rs)""", "timed", _RESID,
+                             rounds="estimate std_error"))
+def _(spark, d):
+    return robust.ols_robust(timed(spark, d), "delay", ["prereq"]).select("term", "estimate", "std_error", "n", "df_resid")
+
+
+@query("m02_ols_clustered", sql("""SELECT '(Intercept)' AS term, a AS estimate, sqrt(g/(g-1e0)*(n-1)/(n-2)*va) AS std_error, n, g-1 AS df_resid
+  FROM ft, cl UNION ALL SELECT 'prereq', b, sqrt(g/(g-1e0)*(n-1)/(n-2)*vb), n, g-1 FROM ft, cl""", "timed", _RESID + """,
+  cl AS (SELECT count(*) AS g, sum(a*a) AS va, sum(b*b) AS vb FROM (SELECT sum(e*ha) AS a, sum(e*hb) AS b FROM rs GROUP BY rider_id))""",
+                                rounds="estimate std_error"))
+def _(spark, d):
+    return robust.ols_robust(timed(spark, d), "delay", ["prereq"], cluster="rider_id").select(
+        "term", "estimate", "std_error", "n", "df_resid")
+
+
 @query("m02_ols_specs")
 def _(spark, d):
     o, _ = reg.design_columns(routed(spark, d), {"tmref_cat": ["dinner", "lunch", "other"]})
@@ -144,6 +166,40 @@ def _(spark, d):
                             blocks=["tmref_cat"])
 
 
+# treatment on daypart alone: the fitted probability is each daypart's share, and the weighted
+# regression on treatment and dayparts is one within dayparts
+_FITTED = """s AS (SELECT *, CAST(left1>=8 AS INT) AS treat, avg(CAST(left1>=8 AS INT)) OVER (PARTITION BY tmref_cat) AS p FROM timed),
+  w AS (SELECT *, CASE WHEN treat=1 THEN 1/p ELSE 1/(1-p) END AS w FROM s),
+  v AS (SELECT w, treat-sum(w*treat) OVER g/sum(w) OVER g AS t, delay-sum(w*delay) OVER g/sum(w) OVER g AS y FROM w
+    WINDOW g AS (PARTITION BY tmref_cat)),
+  q AS (SELECT sum(w*t*y)/sum(w*t*t) AS b, sum(w*t*t) AS stt, count(*) AS n FROM v)"""
+
+
+@query("m08_ipw_fitted", sql("""SELECT 'treat' AS term, any_value(b) AS estimate,
+  sqrt(any_value(n)/(any_value(n)-4e0)*sum(pow(w*t*(y-b*t), 2)))/any_value(stt) AS std_error, any_value(n) AS n FROM v, q""",
+                             "timed", _FITTED, rounds="estimate std_error"))
+def _(spark, d):
+    o, added = reg.design_columns(timed(spark, d).withColumn("treat", threshold_flag("left1", 8)), {"tmref_cat": ["dinner", "lunch", "other"]})
+    return robust.ipw_effect(o, "delay", "treat", added).filter(c("term") == "treat").select("term", "estimate", "std_error", "n")
+
+
+_CHAIN = ["prepare", "price", "ride", "rider_income", "menu_num", "dist"]
+
+
+@query("m08_propensity_scores", "SELECT unnest(['(Intercept)', 'prepare', 'price', 'ride', 'rider_income', 'menu_num', 'dist']) AS term, "
+                                "true AS solved, true AS converged, false AS separated", digits=4)
+def _(spark, d):
+    """The fit on continuous covariates solves the score equations."""
+    coefs, _ = robust.logit_irls(routed(spark, d), "treat", _CHAIN)
+    return coefs.select("term", (c("score") < 1e-6).alias("solved"), "converged", "separated")
+
+
+@query("m08_ipw_chain", digits=4)
+def _(spark, d):
+    """Covariates to fitted propensity to weighted effect with clustered errors."""
+    return robust.ipw_effect(routed(spark, d), "delay", "treat", _CHAIN, cluster="rider_id")
+
+
 _MATCH = """x AS (SELECT *, CAST(left1>=8 AS INT) AS treat, CAST(tmref_cat='lunch' AS INT) AS catlunch,
     CAST(tmref_cat='other' AS INT) AS catother FROM timed JOIN dist d USING (id) WHERE d.dist IS NOT NULL),
   sd AS (SELECT {sds} FROM x),
@@ -301,6 +357,19 @@ def _(spark, d):
         "term", "estimate", "n")
 
 
+@query("m15_discontinuity_robust", sql("""SELECT 'jump' AS term, max(a) FILTER (side=1) - max(a) FILTER (side=0) AS estimate,
+  sqrt(sum(n)/(sum(n)-4e0)*sum(v)) AS std_error, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT side, any_value(a) AS a, count(*) AS n, sum(pow(w*(delay-a-b*x)*(1/sw-mx*(x-mx)/sxx), 2)) AS v FROM r JOIN k USING (side) GROUP BY 1)""",
+                                       "timed dist", """r AS (SELECT delay, dist-2000e0 AS x, CAST(dist>=2000 AS INT) AS side,
+  1-abs(dist-2000e0)/600e0 AS w FROM timed JOIN dist USING (id) WHERE abs(dist-2000e0)<600e0),
+  k AS (SELECT *, swy/sw-b*mx AS a FROM (SELECT side, sw, swy, swx/sw AS mx, swxx-swx*swx/sw AS sxx, (swxy-swx*swy/sw)/(swxx-swx*swx/sw) AS b
+    FROM (SELECT side, sum(w) AS sw, sum(w*x) AS swx, sum(w*delay) AS swy, sum(w*x*delay) AS swxy, sum(w*x*x) AS swxx FROM r GROUP BY 1)))""",
+                                       rounds="estimate std_error"))
+def _(spark, d):
+    return reg.rd_estimate(routed(spark, d), "delay", "dist", 2000, 600, fit=robust.ols_robust).filter(c("term") == "jump").select(
+        "term", "estimate", "std_error", "n")
+
+
 @query("m16_ols_by_hour", sql(_FIT1.format(g="hour,", x="prereq", t="fit", n="n"), "timed", """fit AS (SELECT hour(require_tm) AS hour, regr_slope(delay,prereq) AS b,
   regr_intercept(delay,prereq) AS a, avg(prereq) AS mx, regr_sxx(delay,prereq) AS sxx, count(*) AS n,
   regr_syy(delay,prereq)*(1-regr_r2(delay,prereq))/(count(*)-2) AS s2, regr_r2(delay,prereq) AS r2 FROM timed GROUP BY 1)""",

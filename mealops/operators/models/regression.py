@@ -119,14 +119,15 @@ def iv_2sls(df: DataFrame, y: str, endog: list[str], exog: list[str], instrument
     return solve_rows(moments(df, cols, by), by, solve)
 
 
-def rd_estimate(df: DataFrame, y: str, running: str, cut: float, bandwidth: float) -> DataFrame:
+def rd_estimate(df: DataFrame, y: str, running: str, cut: float, bandwidth: float, fit=None, **how) -> DataFrame:
     """Sharp regression discontinuity: triangular kernel, a line on each side within the
-    given bandwidth; the ``jump`` term is the estimate. Model-based errors."""
+    given bandwidth; the ``jump`` term is the estimate. Errors are model-based by default;
+    ``fit=robust.ols_robust`` makes them robust or, with ``cluster``, clustered."""
     x = F.col(running).cast("double") - float(cut)
     side = (x >= 0).cast("int")
     local = (df.withColumn("jump", side).withColumn("slope", x).withColumn("slope_change", x * side)
              .withColumn("_kernel", 1 - F.abs(x) / float(bandwidth)).filter(F.col("_kernel") > 0))
-    return ols(local, y, ["jump", "slope", "slope_change"], weight="_kernel")
+    return (fit or ols)(local, y, ["jump", "slope", "slope_change"], weight="_kernel", **how)
 
 
 def _index(coefs: dict[str, float], xs: list[str]):

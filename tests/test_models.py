@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mealops.operators.models import causal, matching, learners
+from mealops.operators.models import causal, learners, matching, robust
 from mealops.operators.models import regression as reg
 from mealops.operators.models.moments import t_tail
 
@@ -234,6 +234,74 @@ def test_matching_by_tree(spark, width, apart, copies, monkeypatch):
         assert got["after", x]["var_ratio"] == pytest.approx(X[treated, k].var(ddof=1) / spread) or spread < 1e-12
 
 
+def _sandwich(X, y, w, groups=None):
+    bread = np.linalg.inv(X.T @ (X * w[:, None]))
+    b = bread @ (X.T @ (w * y))
+    u = X * (w * (y - X @ b))[:, None]
+    n, p = X.shape
+    if groups is None:
+        scale = n / (n - p)
+    else:
+        u = np.array([u[groups == g].sum(0) for g in np.unique(groups)])
+        scale = len(u) / (len(u) - 1) * (n - 1) / (n - p)
+    return b, np.sqrt(np.diag(scale * bread @ (u.T @ u) @ bread))
+
+
+@pytest.mark.parametrize("weight,cluster", [(None, None), ("w", None), (None, "g"), ("w", "g")])
+def test_robust_errors(spark, weight, cluster):
+    rnd, n = np.random.default_rng(4), 300
+    X = np.c_[np.ones(n), rnd.normal(size=n) + 1e5, rnd.integers(0, 3, n)]
+    g, w = rnd.integers(0, 12, n), rnd.random(n) + 0.1
+    g[:100] = 0  # a third in one cluster
+    y = X[:, 1] - 1e5 + 2 * X[:, 2] + rnd.normal(size=n) * (1 + X[:, 2]) + g / 5
+    rows = [(float(X[i, 1]), float(X[i, 2]), float(y[i]), float(w[i]), int(g[i])) for i in range(n)]
+    rows += [(None, 1.0, 1.0, 1.0, 1), (1.0, 1.0, None, 1.0, 1)] + ([(1.0, 1.0, 1.0, 0.0, 1), (1.0, 1.0, 1.0, None, 1)] if weight else [])
+    rows += [(1.0, 1.0, 1.0, 1.0, None)] if cluster else []
+    df = spark.createDataFrame(rows, "a double, b double, y double, w double, g int").withColumn("a2", 2 * F.col("a"))
+    b, se = _sandwich(X, y, w if weight else np.ones(n), g if cluster else None)
+    got = {r["term"]: r for r in robust.ols_robust(df, "y", ["a", "b", "a2"], weight, cluster).collect()}
+    assert got["a2"]["estimate"] is None and got["a"]["df_resid"] == (len(set(g)) - 1 if cluster else n - 3)
+    for k, term in enumerate(["(Intercept)", "a", "b"]):
+        assert got[term]["estimate"] == pytest.approx(b[k], rel=1e-5) and got[term]["std_error"] == pytest.approx(se[k], rel=1e-5)
+    assert robust.ols_robust(df.limit(0), "y", ["a"], weight, cluster).count() == 0
+
+
+def test_propensity_chain(spark):
+    rnd, n = np.random.default_rng(6), 400
+    X = np.c_[np.ones(n), rnd.normal(size=n), rnd.normal(size=n) * 30 + 500]
+    t = (rnd.random(n) < 1 / (1 + np.exp(-(X[:, 1] + (X[:, 2] - 500) / 30)))).astype(float)
+    y = 2 * t + X[:, 1] + rnd.normal(size=n)
+    b = np.zeros(3)
+    Z = np.c_[X[:, :2], (X[:, 2] - 500) / 30]
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-Z @ b))
+        b = b + np.linalg.solve(Z.T @ (Z * (p * (1 - p))[:, None]), Z.T @ (t - p))
+    p = 1 / (1 + np.exp(-Z @ b))
+    error = np.sqrt(np.diag(np.linalg.inv(Z.T @ (Z * (p * (1 - p))[:, None]))))
+    df = spark.createDataFrame([(int(t[i]), float(X[i, 1]), float(X[i, 2]), float(y[i])) for i in range(n)] + [(1, None, 1.0, 1.0)],
+                               "t int, a double, b double, y double")
+    coefs, fitted = robust.logit_irls(df, "t", ["a", "b"])
+    got = {r["term"]: r for r in coefs.collect()}
+    assert got["a"]["estimate"] == pytest.approx(b[1]) and got["b"]["estimate"] == pytest.approx(b[2] / 30)
+    assert got["a"]["std_error"] == pytest.approx(error[1], rel=1e-4) and got["b"]["std_error"] == pytest.approx(error[2] / 30, rel=1e-4)
+    assert all(r["converged"] and not r["separated"] and r["score"] < 1e-6 for r in got.values())
+    assert sorted(r["fit"] for r in fitted.collect()) == pytest.approx(sorted(p))
+    w = np.where(t == 1, 1 / p, 1 / (1 - p))
+    want, se = _sandwich(np.c_[np.ones(n), t, X[:, 1:]], y, w)
+    got = {r["term"]: r for r in robust.ipw_effect(df, "y", "t", ["a", "b"]).collect()}
+    assert got["t"]["estimate"] == pytest.approx(want[1], rel=1e-5) and got["t"]["std_error"] == pytest.approx(se[1], rel=1e-4)
+
+
+def test_separated_arms(spark):
+    df = spark.createDataFrame([(int(i > 20), float(i), 1.0) for i in range(40)], "t int, a double, y double")
+    coefs, _ = robust.logit_irls(df, "t", ["a"])
+    assert all(r["separated"] for r in coefs.collect())
+    with pytest.raises(ValueError):
+        robust.ipw_effect(df, "y", "t", ["a"])
+    one = robust.logit_irls(df.filter("t = 1"), "t", ["a"])[0]
+    assert all(r["separated"] for r in one.collect())
+
+
 def test_partition_tree():
     rnd = np.random.default_rng(1)
     points = np.c_[rnd.normal(size=300), rnd.integers(0, 2, 300), np.ones(300)]
