@@ -3,7 +3,7 @@
 Words and word pairs fall into ``BUCKETS`` cells. Two smoothed multinomials over the cells,
 one of trusted documents and one of the whole corpus, give each cell a log ratio; a document
 scores the mean over its words and pairs and stays when that reaches the threshold. The cell
-table has a fixed size and reaches the tasks as one array; no document is shuffled.
+table has a fixed size and reaches the tasks as one array; only trusted texts are shuffled.
 
 Defined results: a NULL or empty text has no words, fails the base rules and has no ratio;
 repeated rows are judged alike, each on its own; extra columns are ignored; with an empty
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, words
+from .near_dups import _sifted
 
 BUCKETS = 1 << 15
 #: Weight of the corpus shares in the target's, in words and pairs.
@@ -58,15 +59,19 @@ def cell_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
                 prior: float = PRIOR) -> DataFrame:
     """One row, ``ratios``: the log ratio of target to corpus in every cell.
 
-    Adaptive execution decides by the measured size of ``trusted`` whether the texts meet it
-    where they are read, so that only (cell, counts) is shuffled, or by a join on ids."""
-    marked = docs.select("doc_id", "text").join(trusted.withColumn("_t", F.lit(1)), "doc_id", "left")
-    # exploded before hashing: generated code all the way to the partial sums
-    neighbours = F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))).alias("b"))
-    pairs = marked.withColumn("_w", words(F.col("text"))).select("_t", F.explode(neighbours).alias("p"))
-    cell = F.array(_cell(buckets, "p.a"), F.when(F.col("p.b").isNotNull(), _cell(buckets, "p.a", "p.b")))
-    counted = (pairs.select("_t", F.explode(cell).alias("cell")).filter("cell IS NOT NULL")
-               .groupBy("cell").agg(F.count("*").alias("n"), F.count("_t").alias("k")))
+    Corpus cells are counted where the texts are read, with no join. Trusted texts are those that
+    pass a bitmap of trusted ids, of fixed size, where they are read, and then an exact join on
+    ids by sorting: little more than the trusted texts moves, by one plan at every size."""
+    def counts(texts: DataFrame, name: str) -> DataFrame:
+        # exploded before hashing: generated code all the way to the partial sums
+        neighbours = F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))).alias("b"))
+        pairs = texts.select(words(F.col("text")).alias("_w")).select(F.explode(neighbours).alias("p"))
+        cell = F.array(_cell(buckets, "p.a"), F.when(F.col("p.b").isNotNull(), _cell(buckets, "p.a", "p.b")))
+        return (pairs.select(F.explode(cell).alias("cell")).filter("cell IS NOT NULL")
+                .groupBy("cell").agg(F.count("*").alias(name)))
+
+    chosen = _sifted(docs, trusted).join(trusted.hint("merge"), "doc_id", "left_semi")
+    counted = counts(docs, "n").join(counts(chosen, "k"), "cell", "left")
     spark = docs.sparkSession
     full = (spark.range(buckets).select(F.col("id").cast("int").alias("cell"))
             .join(counted, "cell", "left").na.fill(0, ["n", "k"]))
