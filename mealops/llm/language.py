@@ -4,12 +4,12 @@ A profile is the ``TOP`` most frequent n-grams (one to three letters, words boun
 of a language's training documents in rank order. A document is ranked the same way and
 compared with each profile by out-of-place distance: how far each of its n-grams stands from
 its place in the profile, ``TOP`` where it is missing. N-gram counts cover every training
-document and are summed in Spark; only the profiles, languages times ``TOP`` rows, are
-gathered.
+document and are summed in Spark. The profiles are a written table; blocks of ``BLOCK``
+languages are gathered and compared in turn, and the least distance over the blocks counts, so
+any number of languages will do and a pass holds one block.
 
 Defined results: a NULL text, one without letters, or any text when nothing was learned is
-``und`` with score 0; ties go to the first language by name; equal texts agree; more than
-``MAX_LANGS`` different languages raise an error.
+``und`` with score 0; ties go to the first language by name; equal texts agree.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.running import running_totals
+from ..sources.sinks import stage_shared
 from .common import is_held_out
 
 TOP = 400
-MAX_LANGS = 500
+BLOCK = 500
 _NOT_LETTERS, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 _PART = 1 << 20  # letters counted at once
 
@@ -51,8 +53,9 @@ def top(grams: np.ndarray, counts: np.ndarray, n: int = TOP) -> np.ndarray:
     return grams[np.lexsort((grams, -counts))][:n]
 
 
-def profiles(docs: DataFrame, top_n: int = TOP, max_langs: int = MAX_LANGS) -> dict[str, np.ndarray]:
-    """Each language's profile from all its documents outside the held-out fold."""
+def profiles(docs: DataFrame, top_n: int = TOP, block: int = BLOCK) -> DataFrame:
+    """(block, lang, gram, place) staged: each language's profile from all its documents outside
+    the held-out fold; ``block`` numbers runs of that many languages by name."""
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         size = 0
@@ -83,10 +86,16 @@ def profiles(docs: DataFrame, top_n: int = TOP, max_langs: int = MAX_LANGS) -> d
     for key in (["lang", F.pmod("gram", F.lit(64))], ["lang"]):
         counted = (counted.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
                    .filter(F.col("_r") <= top_n))
-    rows = counted.select("lang", "gram", "_r").limit(max_langs * top_n + 1).toPandas()
-    if len(rows) > max_langs * top_n:
-        raise ValueError(f"more than {max_langs} languages")
-    return {lang: own.sort_values("_r")["gram"].to_numpy(np.int64) for lang, own in sorted(rows.groupby("lang"))}
+    known = stage_shared(counted.select("lang", "gram", F.col("_r").alias("place")), "profiles")
+    named = running_totals(known.select("lang").distinct(), [F.col("lang")], {}, number="_n")
+    named = named.select("lang", F.floor((F.col("_n") - 1) / block).cast("int").alias("block"))
+    return stage_shared(known.join(named, "lang"), "profile-blocks")
+
+
+def loaded(known: DataFrame) -> dict[str, np.ndarray]:
+    """The profiles of one block, languages in order of name."""
+    rows = known.select("lang", "gram", "place").toPandas()
+    return {lang: own.sort_values("place")["gram"].to_numpy(np.int64) for lang, own in sorted(rows.groupby("lang"))}
 
 
 class Comparer:
@@ -99,26 +108,45 @@ class Comparer:
         for k, own in enumerate(known.values()):
             self.place[np.searchsorted(self.grams, own), k] = np.arange(len(own))
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
+    def __call__(self, text: str | None) -> tuple[str, int, int] | None:
+        """The nearest language, its distance and the largest possible one; None without letters."""
         own = top(*ngrams(text), self.top)
         if not len(own) or not self.langs:
-            return "und", 0.0
+            return None
         at = np.searchsorted(self.grams, own)
         at[at < len(self.grams)] = np.where(self.grams[at[at < len(self.grams)]] == own[at < len(self.grams)],
                                             at[at < len(self.grams)], len(self.grams))
         place = self.place[at]
         away = np.where(place < 0, self.top, np.abs(place - np.arange(len(own))[:, None])).sum(0)
         best = int(away.argmin())
-        return self.langs[best], float(1 - away[best] / (self.top * len(own)))
+        return self.langs[best], int(away[best]), self.top * len(own)
+
 
+_NEAR = "struct<away:bigint,lang:string,most:bigint>"
 
-def predict(text: Column, known: dict[str, np.ndarray]) -> Column:
-    """(lang, score) of a whole text; the score is 1 less the share of the largest distance."""
-    @F.arrow_udf("struct<lang:string,score:double>")
+
+def nearest(text: Column, known: dict[str, np.ndarray], top_n: int = TOP) -> Column:
+    """struct(away, lang, most) of the nearest of the profiles, or NULL."""
+    @F.arrow_udf(_NEAR)
     def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        compare = Comparer(known)
+        compare = Comparer(known, top_n)
         for batch in batches:
             found = [compare(t) for t in batch.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()),
-                                              pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
+            yield pa.array([f and {"away": f[1], "lang": f[0], "most": f[2]} for f in found],
+                           pa.struct([("away", pa.int64()), ("lang", pa.string()), ("most", pa.int64())]))
     return language(text)
+
+
+def predict(docs: DataFrame, known: DataFrame, top_n: int = TOP) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``lang_score``, 1 less the share of the largest distance.
+    Each block of languages is one pass over the texts; between passes they are written."""
+    last = known.agg(F.max("block")).first()[0] or 0
+    row = docs.select(F.struct("*").alias("_row"), "text", F.lit(None).cast(_NEAR).alias("_near"))
+    for k in range(last + 1):
+        near = nearest(F.col("text"), loaded(known.filter(F.col("block") == k)), top_n)
+        # the smaller distance, then the first name
+        row = row.select("_row", "text", F.least("_near", near).alias("_near"))
+        if k < last:
+            row = stage_shared(row, "languages")
+    return row.select("_row.*", F.coalesce("_near.lang", F.lit("und")).alias("lang_pred"),
+                      F.when(F.col("_near").isNull(), 0.0).otherwise(1 - F.col("_near.away") / F.col("_near.most")).alias("lang_score"))

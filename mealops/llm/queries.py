@@ -57,9 +57,8 @@ def op7_toxicity(spark: SparkSession, d: str) -> DataFrame:
 def op8_language(spark: SparkSession, d: str) -> DataFrame:
     """Language of every document by rank-order profiles."""
     docs = table(spark, d, "documents")
-    found = language.predict(F.col("text"), language.profiles(docs))
-    return docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), found.alias("f")).select(
-        "doc_id", "held_out", F.col("f.lang").alias("lang_pred"), F.col("f.score").alias("score"))
+    found = language.predict(docs.select("doc_id", "text"), language.profiles(docs))
+    return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 @query
