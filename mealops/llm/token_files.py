@@ -28,7 +28,7 @@ from ..sources.sinks import shared_path, write_table
 from .tokens import TokenIds, default_tokenizer
 
 END = 1
-MAX_BITS, BLOCK, STRIDE = 16, 1 << 16, 128
+MAX_BITS, BLOCK, STRIDE = 16, 1 << 18, 128
 _BLOCKS = ("part int, block bigint, first bigint, n bigint, bits binary, checkpoints array<int>, doc_id array<bigint>, "
            "doc_start array<bigint>, piece array<bigint>, doc_tokens array<bigint>, length array<int>")
 

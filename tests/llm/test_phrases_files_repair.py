@@ -190,7 +190,7 @@ def test_checksum_shares():
         assert got == zlib.crc32(b"".join(pieces))
 
 
-@pytest.mark.parametrize("block", [1 << 16, 64])
+@pytest.mark.parametrize("block", [1 << 18, 64])
 def test_files_round_trip(spark, edge, data_dir, tmp_path, monkeypatch, block):
     monkeypatch.setattr(token_files, "BLOCK", block)
     docs = spark.read.parquet(f"{data_dir}/documents.parquet") if block > 64 else edge
