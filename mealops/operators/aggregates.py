@@ -278,11 +278,11 @@ def choice_conflicts(df: DataFrame, id: str, chosen: str, utility: str) -> DataF
 
 
 def slot_traffic(df: DataFrame, slot: str = "require_tmref", num: str = "ride", den: str = "time") -> DataFrame:
-    """Median ride ratio of the slot on every row. There are at most 49 slots, so the
-    lookup is broadcast by its fixed size."""
+    """Median ride ratio of the slot on every row. ``slot`` may be any column, so the measured
+    size of the medians decides how they meet the rows."""
     ratio = df.withColumn("_r", F.try_divide(F.col(num).cast("double"), F.col(den).cast("double")))
     med = exact_quantiles(ratio, [slot], "_r", {"traffic": 0.5})
-    return join_null_safe(df, F.broadcast(med), [slot])
+    return join_null_safe(df, med, [slot])
 
 
 def ratio_of_sums(df: DataFrame, num: str, den: str, out: str = "ratio") -> DataFrame:

@@ -120,8 +120,9 @@ def avg_on_hand(df: DataFrame, rider: str = "rider_id", start: str = "arrive_tm"
 
 def regimes(df: DataFrame, station: str, tm: str, flag: str, out: str) -> DataFrame:
     """Number the alternating wet/dry runs of each station. A station reports on a fixed
-    clock, so its window is bounded by the calendar."""
-    w = W.partitionBy(station).orderBy(tm)
+    clock, so its window is bounded by the calendar. Readings of one stamp are ordered by
+    their flag (NULL, dry, wet), so the numbers do not depend on the order of rows."""
+    w = W.partitionBy(station).orderBy(tm, flag)
     flip = F.coalesce((F.col(flag) != F.lag(flag).over(w)).cast("int"), F.lit(1))
     return (df.withColumn("_flip", flip)
             .withColumn(out, F.sum("_flip").over(w.rowsBetween(W.unboundedPreceding, 0)))
