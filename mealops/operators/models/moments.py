@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,16 +28,18 @@ def _pairs(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
+def _value(name: str) -> Column:
+    """A column as double, ``a:b`` as a product."""
+    out = None
+    for part in name.split(":"):
+        c = F.col(part).cast("double")
+        out = c if out is None else out * c
+    return out
+
+
 def _doubles(df: DataFrame, by: list[str], cols: list[str], weight: str | None) -> DataFrame:
     """Complete cases of the needed columns as ``_x0.._xk`` doubles (``:`` is a product)."""
-    def value(name: str) -> Column:
-        out = None
-        for part in name.split(":"):
-            c = F.col(part).cast("double")
-            out = c if out is None else out * c
-        return out
-
-    picked = df.select(*by, *[value(c).alias(f"_x{i}") for i, c in enumerate(cols)],
+    picked = df.select(*by, *[_value(c).alias(f"_x{i}") for i, c in enumerate(cols)],
                        *([F.col(weight).cast("double").alias("_w")] if weight else []))
     return picked.dropna(subset=[c for c in picked.columns if c.startswith("_")])
 
@@ -44,8 +47,11 @@ def _doubles(df: DataFrame, by: list[str], cols: list[str], weight: str | None)
 def moments(df: DataFrame, cols: list[str], by: list[str] = (), weight: str | None = None) -> DataFrame:
     """Per group: ``_n``, ``_sw``, ``_mean`` and the upper triangle ``_cross`` of the
     (weighted) centred cross products."""
-    by, k = list(by), len(cols)
-    rows = _doubles(df, by, cols, weight)
+    return _moments_of(_doubles(df, list(by), cols, weight), len(cols), by, weight)
+
+
+def _moments_of(rows: DataFrame, k: int, by: list[str], weight: str | None) -> DataFrame:
+    by = list(by)
     x = [F.col(f"_x{i}") for i in range(k)]
     n = F.count(F.lit(1))
     if weight is None:
@@ -67,6 +73,45 @@ def moments(df: DataFrame, cols: list[str], by: list[str] = (), weight: str | No
         F.array(*[second(f"_x{i}", f"_x{j}") - first[i] * first[j] / sw for i, j in _pairs(k)]).alias("_cross"))
 
 
+def moments_by_cases(df: DataFrame, cols: list[str], cases: list[list[str]], by: list[str] = (),
+                     weight: str | None = None) -> DataFrame:
+    """Moments of all columns per group, apart for every set of ``cases`` a row is complete for.
+
+    One row per group: ``_n`` and arrays over the sets met, ``_cases`` (a 0/1 letter for each of
+    ``cases``), ``_ns``, ``_sws``, ``_means``, ``_crosses``. A case's own moments are the merged
+    ones of the sets that have its letter: all its columns are present there, so numbers of
+    other columns, taken over the rows that have them, are not touched. Sets are few (nested
+    cases have one more than there are cases), whatever the number of rows."""
+    by = list(by)
+    absent = F.lit(None).cast("double")
+    rows = df.select(*by, *[F.nanvl(_value(c), absent).alias(f"_x{i}") for i, c in enumerate(cols)],
+                     *([F.nanvl(F.col(weight).cast("double"), absent).alias("_w")] if weight else []))
+    full = lambda need: reduce(lambda a, b: a & b, [F.col(f"_x{cols.index(n)}").isNotNull() for n in need])
+    rows = rows.withColumn("_cases", F.concat(*[F.when(full(need), "1").otherwise("0") for need in cases]))
+    rows = rows.filter(F.col("_cases").contains("1"))
+    if weight:
+        rows = rows.dropna(subset=["_w"])
+    sets = _moments_of(rows, len(cols), [*by, "_cases"], weight)
+    parts = F.sort_array(F.collect_list(F.struct("_cases", "_n", "_sw", "_mean", "_cross")))
+    return sets.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), parts.alias("_parts")).select(
+        *by, "_n", *[F.col("_parts")[f].alias(f"{f}s" if f != "_cases" else f) for f in ("_cases", "_n", "_sw", "_mean")],
+        F.col("_parts")["_cross"].alias("_crosses"))
+
+
+def merged_case(row: pd.Series, case: int, cols: list[str], need: list[str]) -> tuple:
+    """(cross products, means, n, sum of weights) of ``need`` over the rows complete for a case."""
+    at = [cols.index(c) for c in need]
+    n, sw, mean, cross = 0, 0.0, np.zeros(len(at)), np.zeros((len(at), len(at)))
+    for letters, pn, psw, pm, pc in zip(row["_cases"], row["_ns"], row["_sws"], row["_means"], row["_crosses"]):
+        if letters[case] == "0":
+            continue
+        part = np.array(list(pm), float)[at]
+        gap, total = part - mean, sw + psw
+        cross += square([np.nan if v is None else v for v in pc], len(cols))[np.ix_(at, at)] + np.outer(gap, gap) * (sw * psw / total)
+        mean, sw, n = mean + gap * (psw / total), total, n + int(pn)
+    return cross, mean, n, sw
+
+
 def within_moments(df: DataFrame, cols: list[str], group: str, by: list[str] = ()) -> DataFrame:
     """Moments of the deviations from group means, without materialising the deviations:
     group scatters add up. ``_groups`` counts the groups absorbed."""

@@ -9,10 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ...sources.sinks import stage_shared
 from ..quantiles import exact_quantiles
-from .moments import coef_rows, invert, moments, solve_rows, square, within_moments
+from .moments import (COEF_FIELDS, coef_rows, invert, merged_case, moments, moments_by_cases, solve_rows,
+                      square, within_moments)
 
 INTERCEPT = "(Intercept)"
 
@@ -52,27 +54,44 @@ def ols(df: DataFrame, y: str, xs: list[str], by: list[str] = (), weight: str |
     xs, k = list(xs), len(xs)
 
     def solve(row: pd.Series) -> list[tuple]:
-        s, mean, n = square(row["_cross"], k + 1), np.array(row["_mean"]), int(row["_n"])
-        inv, kept = invert(s[:k, :k])
-        beta = inv @ s[:k, k]
-        df_resid = n - int(kept.sum()) - 1
-        rss = max(s[k, k] - beta @ s[:k, k], 0.0)
-        sigma2 = rss / df_resid if df_resid > 0 else 0.0
-        r2 = 1 - rss / s[k, k] if s[k, k] > 0 else None
-        full_b = np.r_[mean[k] - beta @ mean[:k], beta]
-        full_v = sigma2 * np.r_[1 / row["_sw"] + mean[:k] @ inv @ mean[:k], np.diag(inv)]
-        return coef_rows([INTERCEPT, *xs], full_b, full_v, np.r_[True, kept], n, df_resid, r2)
+        return _least_squares(xs, square(row["_cross"], k + 1), np.array(row["_mean"]), int(row["_n"]), row["_sw"])
 
     return solve_rows(moments(df, [*xs, y], by, weight), by, solve)
 
 
-def ols_specs(df: DataFrame, y: str, specs: dict[str, list[str]], **kw) -> DataFrame:
-    """Several specifications side by side, each on its own complete cases."""
-    out = None
-    for name, xs in specs.items():
-        one = ols(df, y, xs, **kw).withColumn("spec", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+def _least_squares(xs: list[str], s: np.ndarray, mean: np.ndarray, n: int, sw: float) -> list[tuple]:
+    """Coefficient rows from the moments of the regressors and, last, the outcome."""
+    k = len(xs)
+    inv, kept = invert(s[:k, :k])
+    beta = inv @ s[:k, k]
+    df_resid = n - int(kept.sum()) - 1
+    rss = max(s[k, k] - beta @ s[:k, k], 0.0)
+    sigma2 = rss / df_resid if df_resid > 0 else 0.0
+    r2 = 1 - rss / s[k, k] if s[k, k] > 0 else None
+    full_b = np.r_[mean[k] - beta @ mean[:k], beta]
+    full_v = sigma2 * np.r_[1 / sw + mean[:k] @ inv @ mean[:k], np.diag(inv)]
+    return coef_rows([INTERCEPT, *xs], full_b, full_v, np.r_[True, kept], n, df_resid, r2)
+
+
+def ols_specs(df: DataFrame, y: str, specs: dict[str, list[str]], by: list[str] = (),
+              weight: str | None = None) -> DataFrame:
+    """Several specifications side by side, each on its own complete cases.
+
+    Rows are read once for all of them: their moments are kept apart by the specifications a
+    row is complete for, and each specification merges the parts that count for it. One
+    without complete rows has no rows in the result."""
+    specs = {name: list(xs) for name, xs in specs.items()}
+    cols = list(dict.fromkeys([*(x for xs in specs.values() for x in xs), y]))
+    needs = [[*xs, y] for xs in specs.values()]
+
+    def solve(row: pd.Series) -> list[tuple]:
+        rows = []
+        for i, (name, xs) in enumerate(specs.items()):
+            s, mean, n, sw = merged_case(row, i, cols, needs[i])
+            rows += [(*r, name) for r in (_least_squares(xs, s, mean, n, sw) if n else [])]
+        return rows
+
+    return solve_rows(moments_by_cases(df, cols, needs, by, weight), by, solve, [*COEF_FIELDS, ("spec", T.StringType())])
 
 
 def fe_ols(df: DataFrame, y: str, xs: list[str], group: str, by: list[str] = ()) -> DataFrame:

@@ -342,3 +342,38 @@ def test_kmeans_and_k_selection(spark):
     assert sorted(r["n"] for r in learners.cluster_sizes(learners.kmeans(df, ["a", "b"], 3)).collect()) == [20, 20, 20]
     sel = {r["k"]: r for r in learners.k_selection(df, ["a", "b"], [2, 3]).collect()}
     assert sel[3]["within_ss"] < sel[2]["within_ss"] and sel[3]["silhouette"] > sel[2]["silhouette"]
+
+
+def _rows_by(df, *keys):
+    return {tuple(r[k] for k in keys): r for r in df.collect()}
+
+
+@pytest.mark.parametrize("weight,by", [(None, []), ("w", []), (None, ["g"]), ("w", ["g"])])
+def test_specs_in_one_pass_equal_separate_fits(spark, tmp_path, weight, by):
+    """NULL and NaN in other columns do not cost a specification its rows; the table is scanned once."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i % 3), *[None if rng.random() < p else float("nan") if rng.random() < q else float(1e4 + rng.normal())
+                           for p, q in ((0, 0), (.1, 0), (.2, .05), (.5, 0))], float(rng.integers(0, 4))) for i in range(400)]
+    spark.createDataFrame(rows, "g int, y double, a double, b double, c double, w double").withColumn(
+        "gone", F.lit(None).cast("double")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    specs = {"one": ["a"], "two": ["a", "b"], "all": ["a", "b", "c"], "product": ["c", "a:b"], "twin": ["a", "a"], "none": ["gone"]}
+    got = reg.ols_specs(df, "y", specs, by=by, weight=weight)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == (2 if weight else 1)  # the weighted centre is a read of its own
+    assert got.columns[-1] == "spec" and "none" not in {r["spec"] for r in got.collect()}
+    for name, xs in specs.items():
+        key = [*by, "term"] if name != "twin" else [*by, "term", "estimate"]
+        one, many = (_rows_by(t, *key) for t in (reg.ols(df, "y", xs, by=by, weight=weight), got.filter(F.col("spec") == name)))
+        assert len(one) == len(many)
+        if name == "twin":
+            continue
+        for k, r in one.items():
+            assert many[k]["n"] == r["n"] and many[k]["df_resid"] == r["df_resid"]
+            for f in ("estimate", "std_error", "r2"):
+                assert many[k][f] == pytest.approx(r[f], rel=1e-6, abs=1e-7)
+
+
+def test_specs_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "y double, a double")
+    assert reg.ols_specs(df, "y", {"one": ["a"]}).collect() == []
