@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import floor_bucket, threshold_flag
 from ..functions.timing import days_left, meal_hours
 from ..operators.joins import left_lookup
-from ..operators.models import causal, learners, robust
+from ..operators.models import causal, clusters, learners, robust
 from ..operators.models import regression as reg
 from ..operators.windows import rider_month_running
 from ..sources.fixtures import meal_orders, restaurants
@@ -88,6 +88,23 @@ def _(spark, d):
         "lm4": ["prereq", "prepare", "price", *meals, *reg.crossed("rider_income", "time", "dist")]})
 
 
+_CASES = {"lead": "prereq", "far": "dist", "way": "time", "load": "menu_num"}
+
+
+@query("m02_specs_cases", sql(" UNION ALL ".join(
+    f"SELECT '{k}' AS spec, '(Intercept)' AS term, a AS estimate, sqrt(s2*(1e0/n+mx*mx/sxx)) AS std_error, n, r2 FROM fit WHERE spec='{k}' "
+    f"UNION ALL SELECT '{k}', '{x}', b, sqrt(s2/sxx), n, r2 FROM fit WHERE spec='{k}'" for k, x in _CASES.items()), "timed dist",
+    "xs AS (SELECT t.id, t.delay, t.prereq, t.menu_num, d.dist, d.time/60e0 AS time FROM timed t LEFT JOIN dist d USING (id)), one AS ("
+    + " UNION ALL ".join(f"SELECT '{k}' AS spec, delay AS y, {x}::DOUBLE AS x FROM xs WHERE {x} IS NOT NULL" for k, x in _CASES.items())
+    + """), fit AS (SELECT spec, regr_slope(y,x) AS b, regr_intercept(y,x) AS a, avg(x) AS mx, regr_sxx(y,x) AS sxx, count(*) AS n,
+  regr_syy(y,x)*(1-regr_r2(y,x))/(count(*)-2) AS s2, regr_r2(y,x) AS r2 FROM one WHERE y IS NOT NULL GROUP BY spec)""",
+    rounds="estimate std_error r2", digits=5), digits=5)
+def _(spark, d):
+    """Specifications with complete cases of their own, fitted in one pass."""
+    return reg.ols_specs(routed(spark, d), "delay", {k: [x] for k, x in _CASES.items()}).select(
+        "spec", "term", "estimate", "std_error", "n", "r2")
+
+
 @query("m03_weighted_ls", sql("""SELECT '(Intercept)' AS term, (swy-b*swx)/sw AS estimate, n FROM q
   UNION ALL SELECT 'prereq', b, n FROM q""", "timed", """q AS (SELECT *, (swxy-swx*swy/sw)/(swxx-swx*swx/sw) AS b FROM (
   SELECT count(*) AS n, sum(w) AS sw, sum(w*prereq) AS swx, sum(w*delay) AS swy, sum(w*prereq*delay) AS swxy,
@@ -302,7 +319,27 @@ def _(spark, d):
 @query("m13_k_selection", digits=3)
 def _(spark, d):
     users, cols = _users(spark, d)
-    return learners.k_selection(users, cols, [2, 5, 9], seed=715)
+    return clusters.k_selection(users, cols, [2, 5, 9], seed=715)
+
+
+@query("m13_centres", sql("""SELECT unnest([2, 5, 9]) AS k, unnest([2, 5, 9])::BIGINT AS clusters,
+  (SELECT count(*) FROM (SELECT user_id FROM meal_orders GROUP BY 1 HAVING count(price)>0 AND count(rider_income)>0)) AS n,
+  true AS centred, true AS counted, true AS converged""", "meal_orders"))
+def _(spark, d):
+    """Every centre is the mean of the points nearest to it, and its count is theirs."""
+    users, cols = _users(spark, d)
+    users = stage_shared(users, "users")
+    fit = stage_shared(clusters.kmeans_many(users, cols, [2, 5, 9], seed=715), "centres")
+    held = fit.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("cluster", *cols))).alias("cs"))
+    held = held.agg(F.map_from_entries(F.collect_list(F.struct("k", "cs")))).scalar()  # sixteen centres
+    apart = lambda p: sum(((p[x] - c(x)) * (p[x] - c(x)) for x in cols), F.lit(0.0))
+    near = (users.dropna(subset=cols).select(*cols, F.explode(held).alias("k", "cs"))
+            .withColumn("cluster", F.array_min(F.transform("cs", lambda p: F.struct(apart(p).alias("d"), p["cluster"].alias("j"))))["j"]))
+    means = near.groupBy("k", "cluster").agg(F.count(F.lit(1)).alias("m"), *[F.avg(x).alias(f"_{x}") for x in cols])
+    off = F.greatest(*[F.abs(c(x) - c(f"_{x}")) for x in cols])
+    return fit.join(means, ["k", "cluster"], "left").groupBy("k").agg(
+        F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("n"), F.min(off < 1e-5).alias("centred"),
+        F.min(c("n") == c("m")).alias("counted"), F.min("converged").alias("converged"))
 
 
 def incomes(spark, d, threshold=2600):

@@ -5,14 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...sources.sinks import stage_shared
-
 
 def _assembled(df: DataFrame, cols: list[str], out: str) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(df)
@@ -77,19 +74,3 @@ def kmeans(df: DataFrame, cols: list[str], k: int, seed: int = 715, out: str = "
 
 def cluster_sizes(clustered: DataFrame, cluster: str = "cluster") -> DataFrame:
     return clustered.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
-
-
-def k_selection(df: DataFrame, cols: list[str], ks: list[int], seed: int = 715,
-                max_iter: int = 100) -> DataFrame:
-    """Within-cluster sum of squares and silhouette per k. The silhouette uses squared
-    distances (computed from cluster sums, no pairwise distances), so its values are not
-    those of the plain-distance definition."""
-    data = _assembled(stage_shared(df.select(*cols), "points"), cols, "_features")
-    rows = []
-    for k in ks:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cluster").fit(data)
-        sil = ClusteringEvaluator(featuresCol="_features", predictionCol="cluster").evaluate(model.transform(data))
-        rounds = int(model.summary.numIter)
-        rows.append((k, float(model.summary.trainingCost), float(sil), rounds, rounds < max_iter))
-    return df.sparkSession.createDataFrame(
-        rows, "k int, within_ss double, silhouette double, iterations int, converged boolean")

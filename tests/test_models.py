@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mealops.operators.models import causal, learners, matching, robust
+from mealops.operators.models import causal, clusters, learners, matching, robust
 from mealops.operators.models import regression as reg
 from mealops.operators.models.moments import t_tail
 
@@ -340,7 +340,7 @@ def test_kmeans_and_k_selection(spark):
     rows = [(float(c * 10 + i % 3), float(c)) for c in range(3) for i in range(20)]
     df = spark.createDataFrame(rows, "a double, b double")
     assert sorted(r["n"] for r in learners.cluster_sizes(learners.kmeans(df, ["a", "b"], 3)).collect()) == [20, 20, 20]
-    sel = {r["k"]: r for r in learners.k_selection(df, ["a", "b"], [2, 3]).collect()}
+    sel = {r["k"]: r for r in clusters.k_selection(df, ["a", "b"], [2, 3]).collect()}
     assert sel[3]["within_ss"] < sel[2]["within_ss"] and sel[3]["silhouette"] > sel[2]["silhouette"]
 
 
@@ -377,3 +377,47 @@ def test_specs_in_one_pass_equal_separate_fits(spark, tmp_path, weight, by):
 def test_specs_of_an_empty_table(spark):
     df = spark.createDataFrame([], "y double, a double")
     assert reg.ols_specs(df, "y", {"one": ["a"]}).collect() == []
+
+
+def _lloyd(x, centres, rounds=200):
+    for _ in range(rounds):
+        at = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        centres = np.array([x[at == j].mean(0) if (at == j).any() else centres[j] for j in range(len(centres))])
+    return at, centres
+
+
+def test_many_k_in_one_scan_a_round(spark, monkeypatch):
+    """Each k equals a plain loop from the shared seeds; the silhouette equals the pairwise one."""
+    rng = np.random.default_rng(2)
+    x = np.r_[[rng.normal(m, 1, 2) for m in ((1e4, 0), (1e4 + 8, 0), (1e4, 9)) for _ in range(30)]]
+    df = spark.createDataFrame([(*map(float, r),) for r in x] + [(None, 1.0), (float("nan"), 2.0)], "a double, b double")
+    scans, real = [], clusters._sums
+    monkeypatch.setattr(clusters, "_sums", lambda p, c, o: scans.append(sorted(c)) or real(p, c, o))
+    got = clusters.kmeans_many(df, ["a", "b"], [2, 3, 5]).collect()
+    assert scans[0] == [2, 3, 5] and len(scans) == max(r["iterations"] for r in got) + 1
+    seeds, _ = clusters._seeds(clusters._points(df, ["a", "b"]), 5, 715)
+    sel = {r["k"]: r for r in clusters.k_selection(df, ["a", "b"], [2, 3, 5]).collect()}
+    for k in (2, 3, 5):
+        at, centres = _lloyd(x, seeds[:k])
+        mine = sorted((r for r in got if r["k"] == k), key=lambda r: r["cluster"])
+        assert all(r["converged"] for r in mine) and [r["n"] for r in mine] == [int((at == j).sum()) for j in range(k)]
+        assert np.array([(r["a"], r["b"]) for r in mine]) == pytest.approx(centres, abs=1e-5)
+        apart = ((x[:, None] - x[None]) ** 2).sum(2)
+        s = []
+        for i in range(len(x)):
+            own = (at == at[i]).sum()
+            inner = apart[i, at == at[i]].sum() / (own - 1) if own > 1 else 0
+            outer = min(apart[i, at == j].mean() for j in set(at) - {at[i]})
+            s.append((outer - inner) / max(inner, outer) if own > 1 else 0)
+        assert sel[k]["silhouette"] == pytest.approx(np.mean(s), abs=1e-6)
+        assert sel[k]["within_ss"] == pytest.approx(((x - centres[at]) ** 2).sum(), rel=1e-6)
+
+
+def test_many_k_of_few_or_no_points(spark):
+    same = spark.createDataFrame([(1.0,)] * 5 + [(3.0,)], "a double")
+    got = sorted((r["k"], r["n"], r["a"]) for r in clusters.kmeans_many(same, ["a"], [1, 4]).collect())
+    assert [g[:2] for g in got] == [(1, 6), (4, 1), (4, 5)] and got[0][2] == pytest.approx(8 / 6)
+    assert [r["silhouette"] for r in clusters.k_selection(same, ["a"], [1]).collect()] == [0.0]
+    assert clusters.kmeans_many(same.limit(0), ["a"], [2]).collect() == []
+    assert clusters.k_selection(same.limit(0), ["a"], [2]).collect() == []
+    assert not clusters.kmeans_many(same, ["a"], [2], max_iter=0 + 1, tol=-1.0).first()["converged"]

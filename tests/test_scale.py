@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mealops import session
 from mealops.operators.filters import row_slice, sample_rows
-from mealops.operators.models import learners
+from mealops.operators.models import clusters, learners
 from mealops.operators.models import regression as reg
 from mealops.operators.quantiles import exact_quantiles
 from mealops.operators.running import running_totals
@@ -88,7 +88,7 @@ def test_fits_say_whether_they_converged(spark):
     assert not few[0]["converged"] and few[0]["iterations"] == 1 and many[0]["converged"]
     assert learners.logit(df, "t", ["x"])[0].first()["converged"]
     assert not learners.logit(df, "t", ["x"], max_iter=1)[0].first()["converged"]
-    assert learners.k_selection(df, ["x", "y"], [2]).first()["converged"]
+    assert clusters.k_selection(df, ["x", "y"], [2]).first()["converged"]
     with pytest.raises(RuntimeError):
         learners.kmeans(df, ["x", "y"], 7, max_iter=1)
 
