@@ -10,7 +10,7 @@ from ..operators import joins as jn
 from ..operators import ranking as rk
 from ..operators.aggregates import orders_per_slot
 from ..operators.choice import choice_set
-from ..operators.enrich import enrich_by_key
+from ..operators.enrich import enrich_by_key, enrich_resumable, fetch_resumable
 from ..operators.filters import complete_cases
 from ..operators.windows import shift_rollup, shifts, to_events
 from ..functions.timing import half_hour_slot
@@ -18,6 +18,7 @@ from ..functions.numeric import safe_ratio
 from ..plans.weather_slots import weather_slots
 from ..sources.fixtures import branches, with_branch, meal_orders, restaurants, route_lookup, station_weather, table
 from ..sources.readers import append_frames
+from ..sources.sinks import shared_path
 from .base import dist_of, query, sql, timed
 
 c = F.col
@@ -162,6 +163,23 @@ def _(spark, d):
     return enrich_by_key(o, ["address"], _stub_geocode, _GEO)
 
 
+@query("k01_geocode_resumed", sql("""SELECT id, address, CASE WHEN n%10<>3 AND n%100<>77 THEN 31e0+(n%50)/100e0 END AS lat,
+  CASE WHEN n%10<>3 AND n%100<>77 THEN 121e0+(n%70)/100e0 END AS lon,
+  CASE WHEN n%100=77 THEN 'LookupError: no such road' END AS error FROM
+  (SELECT id, 'road ' || user_id AS address, user_id AS n FROM meal_orders)""", "meal_orders", rounds="lat lon"))
+def _(spark, d):
+    """Orders looked up in two runs over one store; the second asks the keys the first left."""
+    def fetch(batch):
+        if batch["address"].str.endswith("77").any():
+            raise LookupError("no such road")
+        return _stub_geocode(batch)
+
+    o = meal_orders(spark, d).select("id", F.concat(F.lit("road "), c("user_id").cast("string")).alias("address"))
+    store = shared_path(spark, "geocodes")
+    fetch_resumable(o.filter(c("id") % 2 == 0), ["address"], fetch, _GEO, store, batches=2)
+    return enrich_resumable(o, ["address"], fetch, _GEO, store, batches=2)
+
+
 @query("k02_route", sql("""SELECT id, o_cords, d_cords, length(o_cords)*100+CAST(d_cords[4:5] AS BIGINT) AS dist,
   CAST(d_cords[4:5] AS BIGINT)*3 AS time FROM dist""", "dist"))
 def _(spark, d):

@@ -16,7 +16,7 @@ from mealops.operators import joins as jn
 from mealops.operators import ranking as rk
 from mealops.operators import windows as win
 from mealops.operators.choice import choice_set
-from mealops.operators.enrich import enrich_by_key, fetch_missing
+from mealops.operators.enrich import enrich_by_key, enrich_resumable, fetch_missing, fetch_resumable, lookup_ledger
 from mealops.plans.choices import store_choices
 from mealops.sources.readers import append_frames
 
@@ -234,6 +234,46 @@ def test_enrichment_failures_cache_and_nulls(make, tmp_path):
     assert fetch_missing(df, ["k"], fetch, result, cache=cache).count() == 3
 
 
+def test_a_broken_lookup_repeats_no_finished_batch(make, spark, tmp_path):
+    store, calls, broken = str(tmp_path / "store"), str(tmp_path / "calls"), tmp_path / "broken"
+    result = T.StructType([T.StructField("n", T.LongType())])
+    df = make("id int, k string", [(i, f"key{i % 60}") for i in range(120)] + [(200, None), (201, "bad")])
+
+    def fetch(batch):
+        if broken.exists() and len(batch) > 1 and len(open(calls).read().split()) > 20:
+            import os
+            os._exit(1)  # the worker is lost, not just one answer
+        if (batch["k"] == "bad").any():
+            raise RuntimeError("no such road")
+        with open(calls, "a") as f:
+            f.writelines(k + "\n" for k in batch["k"])
+        return pd.DataFrame({"n": batch["k"].str[3:].astype("int64")})
+
+    open(calls, "w").close()
+    broken.touch()
+    with pytest.raises(Exception):
+        fetch_resumable(df, ["k"], fetch, result, store, batches=6, max_parallel=1)
+    before = open(calls).read().split()
+    finished = lookup_ledger(spark, store).agg(F.sum("asked"), F.sum("failed")).first()
+    assert finished[0] - finished[1] == len(before) and 20 < len(before) < 60
+    broken.unlink()
+    out = enrich_resumable(df, ["k"], fetch, result, store, batches=6, max_parallel=1).collect()
+    asked = open(calls).read().split()
+    assert sorted(asked) == sorted(f"key{i}" for i in range(60))  # each key once over both runs
+    got = {r["id"]: (r["n"], r["error"]) for r in out}
+    assert len(out) == 122 and got[7] == (7, None) and got[67] == (7, None)
+    assert got[200] == (None, None) and got[201] == (None, "RuntimeError: no such road")
+
+    def mended(batch):
+        return pd.DataFrame({"n": [-1] * len(batch)})
+
+    again = fetch_resumable(df, ["k"], mended, result, store).filter("k = 'bad'").first()
+    assert (again["n"], again["error"]) == (None, "RuntimeError: no such road")
+    again = fetch_resumable(df, ["k"], mended, result, store, retry_failed=True).collect()
+    assert {r["k"]: r["n"] for r in again} == {**{f"key{i}": i for i in range(60)}, "bad": -1} and len(again) == 61
+    assert fetch_resumable(df.limit(0), ["k"], mended, result, store).collect() == []
+
+
 def test_leave_one_out_and_market_share(make):
     df = make("m string, n int", [("a", 1), ("a", 2), ("b", 7)])
     assert sorted(col(agg.leave_one_out_sum(df, ["n"], ["m"]), "oth_n")) == [0, 1, 2]
