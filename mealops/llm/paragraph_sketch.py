@@ -18,6 +18,8 @@ the document after the last is the first, so a single document follows itself.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from .common import WORD
 PARTS, PRINT_WIDTH = 3, 4
 #: Widths of a part, tried in turn; a table is dealt ``LOAD`` differing digests on average.
 WIDTHS, LOAD = (8, 16, 32), 6
-_ROWS_A_CELL = 5_000
+_ROWS_A_CELL, _LEVEL = 5_000, 1_000
 
 
 def digests(text: Column) -> Column:
@@ -132,33 +134,45 @@ def fingerprint(items: Column) -> Column:
         F.concat(F.hex(c["n"]), F.lit(":"), F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["chk"]), 8, "0")))), "/")
 
 
+def _bounds(docs: DataFrame) -> tuple[list[int], DataFrame, int]:
+    """Greatest ids of the parts, ascending, then per part (``_part``) the greatest ids of its
+    cells (``_q``), and how many cells a part may have. Every bound is an id. At most ``_LEVEL``
+    parts of ``_LEVEL`` cells: 8 MB of ids whatever the table, beyond that cells grow."""
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL")
+    level = min(math.ceil(math.sqrt(max(1, ids.count() // _ROWS_A_CELL))), _LEVEL)
+    cuts = F.array(*[F.lit(k / level) for k in range(1, level + 1)])
+    quantiles = F.sort_array(F.array_union(F.percentile_approx("doc_id", cuts, 20 * max(level, 500)), F.array(F.max("doc_id"))))
+    tops = [q for q in ids.agg(quantiles.alias("q")).first()["q"] or [] if q is not None]
+    fine = ids.groupBy(_below(tops).alias("_part")).agg(quantiles.alias("_q"))
+    return tops, stage_shared(fine, "bounds"), level + 1
+
+
+def _below(tops: list[int]) -> Column:
+    bounds = F.array(*[F.lit(q).cast("long") for q in tops]) if tops else F.array().cast("array<bigint>")
+    return F.size(F.filter(bounds, lambda q: q < F.col("doc_id")))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (cell, i, doc_id, text, d, next_text, next_d) where next follows by descending id.
 
-    Ids are cut into cells at quantiles that are ids themselves; the first row of a cell is
-    also sent, as a guest, to the end of the cell before it, so each window is one cell."""
-    cells = max(1, docs.count() // _ROWS_A_CELL)
-    cuts = F.array(*[F.lit(k / cells) for k in range(1, cells)], F.lit(1.0))
-    bounds = docs.agg(F.sort_array(F.array_distinct(F.coalesce(
-        F.percentile_approx("doc_id", cuts, 20 * max(cells, 500)), F.array().cast("array<bigint>"))), asc=False).alias("b"))
+    Ids are cut into cells at quantiles that are ids themselves, found by two short searches;
+    the first row of a cell is also sent, as a guest, to the end of the cell before it, so each
+    window is one cell."""
+    tops, fine, width = _bounds(docs)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), digests(text).alias("d")).withColumn("_b", bounds.scalar())
-    last = F.greatest(F.size("_b") - 1, F.lit(0))
-    # the bounds in about as many runs as a run has bounds: two short searches find the cell
-    step = F.greatest(F.ceil(F.sqrt(F.size("_b").cast("double"))).cast("int"), F.lit(1))
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("_b") / step).cast("int") - 1, F.lit(0))),
-                       lambda j: F.slice("_b", j * step + 1, step))
-    rows = rows.withColumn("_step", step).withColumn("_runs", runs)
-    run = F.size(F.filter("_runs", lambda r: F.get(r, F.lit(0)) >= F.col("doc_id"))) - 1
-    rows = rows.withColumn("_run", F.greatest(run, F.lit(0)))
-    inside = F.size(F.filter(F.get("_runs", F.col("_run")), lambda b: b >= F.col("doc_id"))) - 1
-    home = F.when(F.col("doc_id").isNull(), last).otherwise(F.greatest(F.col("_run") * F.col("_step") + inside, F.lit(0)))
-    rows = rows.withColumn("_home", home)
-    first = F.col("doc_id").eqNullSafe(F.get("_b", F.lit(0)))
-    guest = F.when(first, last).when(F.get("_b", F.col("_home")) == F.col("doc_id"), F.col("_home") - 1)
+    rows = docs.select("doc_id", text.alias("text"), digests(text).alias("d"), _below(tops).alias("_part"))
+    rows = rows.join(F.broadcast(fine), "_part", "left")
+    # a NULL id is below every bound, and the least ids come last
+    inside = F.greatest(F.size(F.filter("_q", lambda q: q < F.col("doc_id"))), F.lit(0))
+    rows = rows.select("doc_id", "text", "d", "_part", inside.alias("_in"), F.size("_q").alias("_cells"),
+                       F.get("_q", inside).eqNullSafe(F.col("doc_id")).alias("_top"))
+    home = F.col("_part") * width + F.col("_in")
+    above = F.when(F.col("_in") < F.col("_cells") - 1, home + 1).when(
+        F.col("_part") < len(tops) - 1, (F.col("_part") + 1) * width).otherwise(F.lit(0))
+    guest = F.when(F.col("_top"), above)
     spot = lambda c, g: F.struct(c.alias("cell"), F.lit(g).alias("guest"))
-    rows = rows.select("doc_id", "text", "d", F.explode(F.filter(
-        F.array(spot(F.col("_home"), 0), spot(guest, 1)), lambda s: s["cell"].isNotNull())).alias("s"))
+    spots = F.filter(F.array(spot(home, 0), spot(guest, 1)), lambda s: s["cell"].isNotNull())
+    rows = rows.select("doc_id", "text", "d", spots.alias("s")).select("doc_id", "text", "d", F.explode("s").alias("s"))
     line = Window.partitionBy("cell").orderBy("guest", F.col("doc_id").desc_nulls_last(), "_h")
     rows = rows.select("s.cell", "s.guest", "doc_id", "text", "d", F.xxhash64("text").alias("_h"))
     return (rows.withColumn("next_text", F.lead("text").over(line)).withColumn("next_d", F.lead("d").over(line))
