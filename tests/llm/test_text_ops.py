@@ -614,6 +614,20 @@ def _check_fingerprints(rows, docs):
         assert by_text.setdefault(text[r["doc_id"]] or "", r["fingerprint"]) == r["fingerprint"]
 
 
+def test_next_document_over_many_cells(spark, monkeypatch):
+    """Gaps, repeated and NULL ids over two levels of bounds: the next row is the plain order's."""
+    rows = [(None if i % 61 == 0 else (i * i) % 997 - 200, f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_h", F.xxhash64("text"))
+    order = [r["text"] for r in sorted(df.collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["_h"]))]
+    want = dict(zip(order, order[1:] + order[:1]))
+    for cells, level in ((3, 1_000), (300, 1_000), (3, 2)):
+        monkeypatch.setattr(paragraph_sketch, "_ROWS_A_CELL", cells)
+        monkeypatch.setattr(paragraph_sketch, "_LEVEL", level)
+        got = paragraph_sketch.with_next(df.drop("_h")).collect()
+        assert {r["text"]: r["next_text"] for r in got} == want and len(got) == 300
+    assert len({r["cell"] for r in got}) == 4  # two parts of two cells at most
+
+
 def test_fingerprints(spark, edge, empty, data_dir, monkeypatch):
     unique = {r[0]: r for r in EDGE if r[0] is not None}
     df = spark.createDataFrame(list(unique.values()), SCHEMA)
