@@ -379,9 +379,19 @@ def _(spark, d):
     return causal.threshold_meal_counts(incomes(spark, d), cut=2600)
 
 
-@query("m14_threshold_fe", digits=4)
+@query("m14_threshold_fe", digits=12)
 def _(spark, d):
-    return causal.threshold_fe(incomes(spark, d), cut=2600).select("window", "term", "n", "df_resid")
+    return causal.threshold_fe(incomes(spark, d), cut=2600).select("window", "term", "estimate", "std_error", "n", "df_resid")
+
+
+@query("m14_threshold_passed", sql("""SELECT "window", 'passed' AS term, regr_slope(y,x) AS estimate,
+  sqrt(regr_syy(y,x)*(1-regr_r2(y,x))/(count(*)-1-count(DISTINCT rider_id))/regr_sxx(y,x)) AS std_error, count(*) AS n FROM (
+  SELECT "window", rider_id, speed_wt-avg(speed_wt) OVER w AS y, p-avg(p) OVER w AS x FROM (
+    SELECT *, (inc_atm/100e0>2600)::INT AS p FROM thr WHERE speed_wt IS NOT NULL) WINDOW w AS (PARTITION BY "window", rider_id))
+  GROUP BY 1""", "moving", _INC, rounds="estimate std_error", digits=4), digits=4)
+def _(spark, d):
+    rows = causal.threshold_rows(incomes(spark, d), cut=2600).withColumn("passed", (c("inc_atm") / 100 > 2600).cast("int"))
+    return reg.fe_ols(rows, "speed_wt", ["passed"], "rider_id", by=["window"]).select("window", "term", "estimate", "std_error", "n")
 
 
 @query("m15_discontinuity", sql("""SELECT 'jump' AS term, max(a) FILTER (side=1) - max(a) FILTER (side=0) AS estimate,
