@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timing import minutes_between, seconds_between, seconds_of_day
 from .joins import attach_stats, join_null_safe
-from .quantiles import counted_values, exact_quantiles, long_values, quantiles_of_counts
+from .quantiles import column_moments, column_quantiles, exact_quantiles
 
 def _rows() -> Column:
     return F.count(F.lit(1))
@@ -105,8 +105,7 @@ def day_competition(df: DataFrame, by_slot: bool = False) -> DataFrame:
                                   F.avg("place_sec").alias("place_avg"))
     # the finer table has at most 49 rows per date and daypart
     base = base.withColumn("day_orders", F.sum("_n").over(W.partitionBy(*day))).drop("_n")
-    long = long_values(df, grain, ["prereq", "place_sec"])
-    med = exact_quantiles(long, [*grain, "column"], "_value", {"med": 0.5})
+    med = column_quantiles(df, grain, ["prereq", "place_sec"], {"med": 0.5})
     wide = med.groupBy(*grain).agg(*[
         F.max(F.when(F.col("column") == c, F.col("med"))).alias(a)
         for c, a in (("prereq", "prereq_med"), ("place_sec", "place_med"))])
@@ -124,7 +123,7 @@ def experience_range(df: DataFrame, key: str, **cols: str) -> DataFrame:
 def group_mean_median(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     """Mean and median of each column per group (wide)."""
     means = df.groupBy(*by).agg(*[F.avg(c).alias(f"{c}_mean") for c in cols])
-    med = exact_quantiles(long_values(df, by, cols), [*by, "column"], "_value", {"med": 0.5})
+    med = column_quantiles(df, by, cols, {"med": 0.5})
     wide = med.groupBy(*by).agg(*[F.max(F.when(F.col("column") == c, F.col("med"))).alias(f"{c}_median")
                                   for c in cols])
     return join_null_safe(means, wide, by)
@@ -137,25 +136,14 @@ _QUANTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
 def summary_stats(df: DataFrame, cols: list[str], by: list[str] = (),
                   stats: tuple[str, ...] = ("n", "mean", "sd", "p25", "median", "p75", "max")) -> DataFrame:
-    """One row per (group and) column with the requested statistics. All of them come from
-    the (column, value, count) pre-aggregate, so rows are read once."""
-    by = list(by)
-    counts = counted_values(long_values(df, by, list(cols)), [*by, "column"], "_value")
-    v, n = F.col("_v"), F.col("_n")
+    """One row per (group and) column with the requested statistics."""
+    by, cols = list(by), list(cols)
     keys = [*by, "column"]
-    total = F.sum(n)
-    base = counts.groupBy(*keys).agg(total.alias("n"), (F.sum(v * n) / F.nullif(total, F.lit(0))).alias("mean"),
-                                     F.min("_v").alias("min"), F.max("_v").alias("max"))
-    if "sd" in stats:
-        # second moment around the mean, so large values do not cancel
-        spread = (join_null_safe(counts, base.select(*keys, F.col("mean").alias("_m"), F.col("n").alias("_t")), keys)
-                  .groupBy(*keys)
-                  .agg(F.sqrt(F.try_divide(F.sum(F.pow(v - F.col("_m"), 2) * n), F.max("_t") - 1)).alias("sd")))
-        base = join_null_safe(base, spread, keys)
-    if any(s in _QUANTILES for s in stats):
-        probs = {k: p for k, p in _QUANTILES.items() if k in stats}
-        base = join_null_safe(base, quantiles_of_counts(counts, keys, probs), keys)
-    return base.select(*by, "column", *stats)
+    out = moments = column_moments(df, by, cols)
+    probs = {k: p for k, p in _QUANTILES.items() if k in stats}
+    if probs:
+        out = join_null_safe(out, column_quantiles(df, by, cols, probs, moments=moments), keys)
+    return out.select(*keys, *stats)
 
 
 def six_number(df: DataFrame, cols: list[str] | str, where: Column | None = None,
@@ -165,13 +153,11 @@ def six_number(df: DataFrame, cols: list[str] | str, where: Column | None = None
     by = list(by)
     df = df.filter(where) if where is not None else df
     keys = [*by, "column"]
-    counts = counted_values(long_values(df, by, cols), keys, "_value")
-    total = F.nullif(F.sum("_n"), F.lit(0))
-    base = counts.groupBy(*keys).agg(
-        F.sum("_rows").alias("n"), F.min("_v").alias("min"), (F.sum(F.col("_v") * F.col("_n")) / total).alias("mean"),
-        F.max("_v").alias("max"), F.sum(F.col("_rows") - F.col("_n")).alias("nulls"))
-    out = join_null_safe(base, quantiles_of_counts(counts, keys, _QUANTILES), keys)
-    return out.select(*keys, *(["n"] if with_n else []), "min", "p25", "median", "mean", "p75", "max", "nulls")
+    moments = column_moments(df, by, cols)
+    out = join_null_safe(moments, column_quantiles(df, by, cols, _QUANTILES, moments=moments), keys)
+    out = out.withColumn("nulls", F.col("rows") - F.col("n"))
+    return out.select(*keys, *([F.col("rows").alias("n")] if with_n else []),
+                      "min", "p25", "median", "mean", "p75", "max", "nulls")
 
 
 def freq(df: DataFrame, a: str, b: str | None = None) -> DataFrame:
@@ -237,15 +223,15 @@ def histogram(df: DataFrame, col: str, binwidth: float, density: bool = False,
 
 def box_stats(df: DataFrame, bucket: str, value: str) -> DataFrame:
     """Quartiles, 1.5-IQR whiskers (most extreme values inside the fences) and number of
-    outliers per bucket. Whiskers are read off the (bucket, value, count) table."""
-    counts = counted_values(df, [bucket], value)
-    q = quantiles_of_counts(counts, [bucket], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    outliers per bucket. The fences, one row a bucket, meet the rows by their measured size."""
+    q = exact_quantiles(df, [bucket], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(bucket, v.alias("_v")).filter(F.col("_v").isNotNull())
     iqr = F.col("q3") - F.col("q1")
-    fenced = join_null_safe(counts.filter(F.col("_n") > 0), q, [bucket])
     inside = (F.col("_v") >= F.col("q1") - 1.5 * iqr) & (F.col("_v") <= F.col("q3") + 1.5 * iqr)
-    return fenced.groupBy(bucket, "q1", "median", "q3").agg(
+    return join_null_safe(rows, q, [bucket]).groupBy(bucket, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_v"))).alias("lower"), F.max(F.when(inside, F.col("_v"))).alias("upper"),
-        F.sum("_n").alias("n"), F.sum(F.when(~inside, F.col("_n")).otherwise(0)).alias("outliers"))
+        F.count(F.lit(1)).alias("n"), F.count_if(~inside).alias("outliers"))
 
 
 def trend(df: DataFrame, x: str | Column, y: str | Column, by: list[str] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from mealops import session
 from mealops.operators.filters import row_slice, sample_rows
 from mealops.operators.models import clusters, learners
 from mealops.operators.models import regression as reg
-from mealops.operators.quantiles import exact_quantiles
+from mealops.operators.quantiles import column_quantiles, exact_quantiles
 from mealops.operators.running import running_totals
 
 
@@ -28,21 +28,51 @@ def test_weighted_slope_of_epoch_seconds(spark):
     assert row["estimate"] == pytest.approx(slope, rel=1e-6) and row["std_error"] > 1e-4
 
 
+@pytest.mark.parametrize("few", [1_000_000, 5])
 @pytest.mark.parametrize("values", [
     [1.7e9 + i / 7 for i in range(4000)], [i / 8e5 for i in range(4000)], [3.0] * 500, [0.0] + [1.7e9 + i for i in range(3000)],
     [-5.0, -4.0, 1, 2, 3, 4, 5, 6], [float("-inf"), 1.0, 2.0, float("inf")], [random.Random(2).expovariate(1) ** 9 for _ in range(3000)]])
-def test_quantiles_of_any_range(spark, values):
+def test_quantiles_of_any_range(spark, values, few):
     df = spark.createDataFrame([("a", float(v)) for v in values] + [("a", float("nan")), ("a", None), ("b", None)], "g string, v double")
     probs = {"p25": 0.25, "p50": 0.5, "p99": 0.99}
     with np.errstate(invalid="ignore"):
         want = {k: float(np.quantile(values, p)) for k, p in probs.items()}
-    (got,) = exact_quantiles(df, ["g"], "v", probs).collect()
-    (whole,) = exact_quantiles(df, [], "v", probs).collect()
+    (got,) = exact_quantiles(df, ["g"], "v", probs, few=few).collect()
+    (whole,) = exact_quantiles(df, [], "v", probs, few=few).collect()
     for k, v in want.items():
         if np.isfinite(v):
             assert got[k] == pytest.approx(v, rel=1e-12) and whole[k] == got[k]
 
 
+def test_quantiles_of_columns_with_few_and_many_values(spark):
+    """Pairs of both kinds side by side: a hot group, NULL groups, repeated values, two columns."""
+    rnd = random.Random(7)
+    data = [(rnd.choice(["hot", "hot", "hot", "b", None]), rnd.gauss(0, 1) * 10 ** rnd.randrange(-9, 9), rnd.randrange(4))
+            for _ in range(3000)] + [("tiny", 1.5, None), ("void", None, None), ("same", 7.0, 1), ("same", 7.0, 1)]
+    df = spark.createDataFrame(data, "g string, x double, k int").repartition(6)
+    probs = {"lo": 0.0, "p10": 0.1, "mid": 0.5, "hi": 1.0}
+    got = {(r["g"], r["column"]): r for r in column_quantiles(df, ["g"], ["x", "k"], probs, few=700).collect()}
+    want = {}
+    for g, x, k in data:
+        for name, v in (("x", x), ("k", k)):
+            if v is not None:
+                want.setdefault((g, name), []).append(v)
+    assert set(got) == set(want) and any(len(set(v)) > 700 for v in want.values())
+    for key, values in want.items():
+        for name, p in probs.items():
+            assert got[key][name] == pytest.approx(float(np.quantile(values, p)), rel=1e-12), (key, name)
+    assert column_quantiles(df.filter("false"), ["g"], ["x"], probs).count() == 0
+
+
+def test_quantiles_of_many_columns_take_two_shuffles(spark):
+    """Values are not joined and move once, as counts."""
+    cols = [f"c{i}" for i in range(6)]
+    df = spark.range(2000).select((F.col("id") % 7).alias("g"), *[(F.col("id") * i % 101).alias(c) for i, c in enumerate(cols)])
+    out = column_quantiles(df, ["g"], cols, {"m": 0.5})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
 def test_slices_agree_on_nulls(spark):
     df = spark.createDataFrame([(None,), (3,), (1,), (2,)], "id int")
     keys = lambda a, b: [r[0] for r in row_slice(df, a, b).collect()]
