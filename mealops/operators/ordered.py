@@ -14,6 +14,11 @@ into *cells* along its order column (by default the minute of a timestamp):
 NULL keys form a group of their own: a key travels as a NULL flag and a filled value, so
 that plain equality joins it and the join can use the partitioning and sort of the window.
 
+Cells are cut by measured size: where one key has more than ``CELL_ROWS`` rows in one slot
+(stamps filled by default, a bulk load), a range partitioning of those rows alone yields cut
+positions, and the pieces become cells of their own. Inputs that one task could hold anyway
+are not measured.
+
 The input is evaluated twice (the coarse branch reads only the columns it needs), so it
 should be a stored table or a cheap projection of one. Independent columns over different
 keys are best computed each from that table and joined on the id, not chained.
@@ -22,14 +27,20 @@ keys are best computed each from that table and joined on the id, not chained.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.sinks import stage_shared
+
+CELL_ROWS = 1_000_000  # rows of one key and slot that stay one cell
+MEASURED_BYTES = 64 << 20  # smaller inputs are not measured
 _SLOT = ["_slot_null", "_slot", "_slot_id"]
 _IDS_A_CELL = 65536
+_BUCKETS, _CUTS_A_BLOCK = 65536, 64
 
 
 def minute_slot(ts: str | Column) -> Column:
@@ -53,7 +64,45 @@ def _filled(c: Column, kind: T.DataType) -> Column:
     return F.coalesce(c, default)
 
 
-def _celled(df: DataFrame, by: list[str], slot: Column, order_by: list[str]) -> tuple[DataFrame, list[str]]:
+def _heavy_cells(narrow: DataFrame, cell: list[str], cell_rows: int) -> DataFrame | None:
+    """Cells with more than ``cell_rows`` rows, or None. Rows are counted by a hash of their cell
+    first, so that cells are grouped only where one of them may be heavy."""
+    hashed = narrow.withColumn("_bucket", F.pmod(F.xxhash64(*cell), F.lit(_BUCKETS)))
+    full = [r["_bucket"] for r in hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") > cell_rows).select("_bucket").collect()]  # at most _BUCKETS numbers
+    if not full:
+        return None
+    picked = narrow.sparkSession.createDataFrame([(b,) for b in full], "_bucket long")
+    heavy = stage_shared(hashed.join(picked, "_bucket", "left_semi").groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+                         .filter(F.col("_n") > cell_rows), "heavy")
+    return None if heavy.isEmpty() else heavy
+
+
+def _cut_heavy(base: DataFrame, cell: list[str], order_by: list[str], among: Column, cell_rows: int) -> DataFrame:
+    """Number the pieces of heavy cells in ``_slot_id``."""
+    names = [f"_o{i}" for i in range(len(order_by))]
+    own = [F.col(c).alias(n) for c, n in zip(order_by, names)]
+    narrow = base.filter(among).select(*cell, *own)
+    heavy = _heavy_cells(narrow, cell, cell_rows)
+    if heavy is None:
+        return base
+    pieces = 2 * ceil(heavy.agg(F.sum("_n")).first()[0] / cell_rows)
+    ranged = (narrow.join(heavy, cell, "left_semi").repartitionByRange(pieces, *cell, *names)
+              .groupBy(*cell, F.spark_partition_id().alias("_piece")).agg(F.min(F.struct(*names)).alias("_from")))
+    cuts = ranged.groupBy(*cell).agg(F.sort_array(F.collect_list("_from")).alias("_cuts"))
+    last = F.floor((F.size("_cuts") - 1) / _CUTS_A_BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("_cuts", i * _CUTS_A_BLOCK + 1, _CUTS_A_BLOCK))
+    cuts = stage_shared(cuts.select(*cell, blocks.alias("_blocks")), "cuts")
+
+    at = F.struct(*own)
+    block = F.size(F.filter("_blocks", lambda b: b[0] <= at)) - 1
+    piece = block * _CUTS_A_BLOCK + F.size(F.filter(F.get("_blocks", block), lambda c: c <= at))
+    cut = F.when(F.col("_blocks").isNotNull(), piece.cast("long")).otherwise(F.col(_SLOT[2]))
+    return base.join(cuts, cell, "left").withColumn(_SLOT[2], cut).drop("_blocks")
+
+
+def _celled(df: DataFrame, by: list[str], slot: Column, order_by: list[str],
+            cell_rows: int | None) -> tuple[DataFrame, list[str]]:
     """Add key and slot columns that are never NULL; returns the names of the keys. Rows
     without a slot are ordered by the last column alone, so whole-number ids cut them further."""
     kinds = {b: df.schema[b].dataType for b in by}
@@ -68,7 +117,13 @@ def _celled(df: DataFrame, by: list[str], slot: Column, order_by: list[str]) ->
     block = F.floor(F.col(order_by[-1]) / _IDS_A_CELL).cast("long") if cuts else F.lit(0).cast("long")
     # NULL ids come last
     cols[_SLOT[2]] = F.when(slot.isNull(), F.coalesce(block, F.lit((1 << 63) - 1))).otherwise(F.lit(0).cast("long"))
-    return df.withColumns(cols), keys
+    base = df.withColumns(cols)
+    if cell_rows is None:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        if int(str(size)) < MEASURED_BYTES:
+            return base, keys
+    among = ~F.col(_SLOT[0]) if cuts else F.lit(True)
+    return _cut_heavy(base, [*keys, *_SLOT], order_by, among, cell_rows or CELL_ROWS), keys
 
 
 def ordered(df: DataFrame, by: list[str], order_by: list[str], *, slot: Column | None = None,
@@ -77,7 +132,7 @@ def ordered(df: DataFrame, by: list[str], order_by: list[str], *, slot: Column |
             leads: Mapping[str, Column] | None = None,
             carry: Mapping[str, Column] | None = None,
             totals: Mapping[str, Column] | None = None,
-            peaks: Mapping[str, str] | None = None) -> DataFrame:
+            peaks: Mapping[str, str] | None = None, cell_rows: int | None = None) -> DataFrame:
     """Add ordered columns per group of ``by``.
 
     ``order_by`` sorts ascending, NULL last; only its first column may hold NULLs and the
@@ -88,12 +143,15 @@ def ordered(df: DataFrame, by: list[str], order_by: list[str], *, slot: Column |
     carry    last non-NULL value at or before the row
     totals   sum over the whole group
     peaks    maximum over the group of a ``running`` column
+
+    ``cell_rows`` rows of one group and slot stay one cell; by default ``CELL_ROWS``, measured
+    only for inputs beyond ``MEASURED_BYTES`` by the planner's estimate.
     """
     running, lags, leads = dict(running or {}), dict(lags or {}), dict(leads or {})
     carry, totals, peaks = dict(carry or {}), dict(totals or {}), dict(peaks or {})
     slot = minute_slot(order_by[0]) if slot is None else slot
 
-    base, keys = _celled(df, by, slot, order_by)
+    base, keys = _celled(df, by, slot, order_by, cell_rows)
     cell = [*keys, *_SLOT]
     sort_keys = [F.col(c).asc_nulls_last() for c in order_by]
     fine = W.partitionBy(*cell).orderBy(*sort_keys)
@@ -148,16 +206,17 @@ def ordered(df: DataFrame, by: list[str], order_by: list[str], *, slot: Column |
 
 def ordered_steps(df: DataFrame, by: list[str], order_by: list[str], value: Column,
                   test: Callable[[Column], Column], uses: list[str], *, slot: Column | None = None,
-                  flag: str | None = None, count: str | None = None, carry: str | None = None) -> DataFrame:
+                  flag: str | None = None, count: str | None = None, carry: str | None = None,
+                  cell_rows: int | None = None) -> DataFrame:
     """Mark steps between consecutive rows of a group and accumulate them.
 
     ``test(prev)`` says whether a row starts something new, given the previous row's
     ``value`` (NULL before the first row) and the row's own columns listed in ``uses``.
     Outputs, each optional: ``flag`` the mark itself, ``count`` the marks so far, ``carry``
-    the previous-row value at the latest mark.
+    the previous-row value at the latest mark. ``cell_rows`` as in :func:`ordered`.
     """
     slot = minute_slot(order_by[0]) if slot is None else slot
-    base, keys = _celled(df, by, slot, order_by)
+    base, keys = _celled(df, by, slot, order_by, cell_rows)
     cell = [*keys, *_SLOT]
     base = base.withColumn("_v", F.struct(value.alias("v")))
     fine = W.partitionBy(*cell).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mealops.operators.joins import bind_by_position, previous_distinct
-from mealops.operators.ordered import id_slot, ordered, ordered_steps
+from mealops.operators.ordered import _SLOT, _celled, id_slot, minute_slot, ordered, ordered_steps
 from mealops.operators.quantiles import exact_quantiles
 from mealops.operators.windows import avg_on_hand, rider_month_running, shifts
 
@@ -36,13 +36,14 @@ def grouped(data):
     return {k: sorted(g, key=lambda r: (r[1] is None, r[1] or T0, r[2])) for k, g in groups.items()}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_running_lag_lead_carry_totals(spark, seed):
+@pytest.mark.parametrize("seed,cell_rows", [(1, None), (2, None), (3, 4), (4, 25)])
+def test_running_lag_lead_carry_totals(spark, seed, cell_rows):
     data = rows(seed)
     df = spark.createDataFrame(data, "key int, tm timestamp_ntz, id int, v int").repartition(5)
     v = F.col("v")
     out = ordered(df, ["key"], ["tm", "id"], running={"rank": F.lit(1), "total": v}, lags={"prev": v},
-                  leads={"next": v}, carry={"last": v}, totals={"n": F.lit(1)}, peaks={"top": "total"})
+                  leads={"next": v}, carry={"last": v}, totals={"n": F.lit(1)}, peaks={"top": "total"},
+                  cell_rows=cell_rows)
     got = {r["id"]: r for r in out.collect()}
     assert len(got) == len(data)
     for g in grouped(data).values():
@@ -57,12 +58,12 @@ def test_running_lag_lead_carry_totals(spark, seed):
             assert o["top"] == max(sums)
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_steps(spark, seed):
+@pytest.mark.parametrize("seed,cell_rows", [(4, None), (5, 6)])
+def test_steps(spark, seed, cell_rows):
     data = rows(seed)
     df = spark.createDataFrame(data, "key int, tm timestamp_ntz, id int, v int").repartition(5)
     out = ordered_steps(df, ["key"], ["tm", "id"], F.col("v"), lambda prev: F.col("v") - prev > 2, ["v"],
-                        flag="flag", count="count", carry="kept")
+                        flag="flag", count="count", carry="kept", cell_rows=cell_rows)
     got = {r["id"]: r for r in out.collect()}
     for g in grouped(data).values():
         count, kept = 0, None
@@ -75,6 +76,25 @@ def test_steps(spark, seed):
             assert (o["flag"], o["count"], o["kept"]) == (hit, count, kept)
 
 
+@pytest.mark.parametrize("spread", [1, 40])
+def test_one_minute_of_one_key_is_cut(spark, spread):
+    """9,000 rows of one key at one stamp, or over 40 seconds, beside light cells."""
+    data = [(1, T0 + dt.timedelta(seconds=i * 7 % spread), f"{i * 31 % 9000:05d}", i % 11) for i in range(9000)]
+    data += [(k, T0 + dt.timedelta(minutes=i), f"x{k}{i}", i) for k in (1, 2, None) for i in range(5)]
+    df = spark.createDataFrame(data, "key int, tm timestamp_ntz, id string, v int").repartition(6)
+    cells, keys = _celled(df, ["key"], minute_slot("tm"), ["tm", "id"], 200)
+    sizes = [r["count"] for r in cells.groupBy(*keys, *_SLOT).count().collect()]
+    assert sum(sizes) == len(data) and max(sizes) <= 200 and len(sizes) > 60  # pieces enough for two levels of cuts
+    out = ordered(df, ["key"], ["tm", "id"], running={"s": F.col("v")}, lags={"p": F.col("id")}, cell_rows=200)
+    got = {(r["key"], r["id"]): (r["s"], r["p"]) for r in out.collect()}
+    for key, group in grouped(data).items():
+        total, before = 0, None
+        for r in group:
+            total += r[3]
+            assert got[key, r[2]] == (total, before)
+            before = r[2]
+
+
 def test_no_key_and_whole_number_slots(spark):
     df = spark.range(0, 5000, 7).withColumnRenamed("id", "k").repartition(7)
     out = ordered(df, [], ["k"], slot=id_slot("k", 100), running={"pos": F.lit(1)})
