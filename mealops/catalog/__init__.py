@@ -5,7 +5,7 @@ from __future__ import annotations
 
 
 def _load():
-    from . import aggregates, base, builds, joins, models, scalars, sources, text, windows  # noqa: F401
+    from . import aggregates, base, builds, joins, models, results, scalars, sources, text, windows  # noqa: F401
     return base
 
 
