@@ -421,3 +421,19 @@ def test_many_k_of_few_or_no_points(spark):
     assert clusters.kmeans_many(same.limit(0), ["a"], [2]).collect() == []
     assert clusters.k_selection(same.limit(0), ["a"], [2]).collect() == []
     assert not clusters.kmeans_many(same, ["a"], [2], max_iter=0 + 1, tol=-1.0).first()["converged"]
+
+
+def test_residual_scores_tell_a_wrong_fit(spark):
+    """Near 0 for least squares, on the rows each specification is complete for; not for others."""
+    from mealops.catalog.results import residual_scores
+    rng = np.random.default_rng(5)
+    data = [(float(a), None if i % 9 == 0 else float(b), float(2 * a - b + e))
+            for i, (a, b, e) in enumerate(rng.standard_normal((400, 3)))]
+    df = spark.createDataFrame(data, "a double, b double, y double")
+    specs = {"one": ["a"], "two": ["a", "b", "a:b"]}
+    fits = reg.ols_specs(df, "y", specs)
+    right = residual_scores(df, fits, "y", specs).collect()
+    assert {(r["spec"], r["term"], r["n"]) for r in right} >= {("one", "a", 400), ("two", "a:b", 355)} and len(right) == 6
+    assert max(r["score"] for r in right) < 1e-12
+    wrong = residual_scores(df, fits.withColumn("estimate", F.col("estimate") * 1.1), "y", specs).collect()
+    assert all(r["score"] > 1e-3 for r in wrong if r["term"] == "a")
