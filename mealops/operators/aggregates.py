@@ -143,7 +143,7 @@ def summary_stats(df: DataFrame, cols: list[str], by: list[str] = (),
     probs = {k: p for k, p in _QUANTILES.items() if k in stats}
     if probs:
         out = join_null_safe(out, column_quantiles(df, by, cols, probs, moments=moments), keys)
-    return out.select(*keys, *stats)
+    return out.select(*keys, *[s if s in probs else F.col(f"_m_{s}").alias(s) for s in stats])
 
 
 def six_number(df: DataFrame, cols: list[str] | str, where: Column | None = None,
@@ -155,9 +155,9 @@ def six_number(df: DataFrame, cols: list[str] | str, where: Column | None = None
     keys = [*by, "column"]
     moments = column_moments(df, by, cols)
     out = join_null_safe(moments, column_quantiles(df, by, cols, _QUANTILES, moments=moments), keys)
-    out = out.withColumn("nulls", F.col("rows") - F.col("n"))
-    return out.select(*keys, *([F.col("rows").alias("n")] if with_n else []),
-                      "min", "p25", "median", "mean", "p75", "max", "nulls")
+    m = lambda s: F.col(f"_m_{s}").alias(s)
+    return out.select(*keys, *([F.col("_m_rows").alias("n")] if with_n else []), m("min"), "p25", "median", m("mean"),
+                      "p75", m("max"), (F.col("_m_rows") - F.col("_m_n")).alias("nulls"))
 
 
 def freq(df: DataFrame, a: str, b: str | None = None) -> DataFrame:

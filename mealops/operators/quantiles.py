@@ -32,7 +32,7 @@ def _number(c: str) -> Column:
 
 
 def column_moments(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """One row per group and column: rows, n, mean, sd, min, max, from one shuffle of one row
+    """One row per group and column: ``_m_rows, _m_n, _m_mean, _m_sd, _m_min, _m_max``, from one shuffle of one row
     per group and task. ``_lo`` and ``_hi`` are the finite ends, ``_most`` bounds the number of
     distinct values. Staged, since it steers what is read next."""
     per = []
@@ -42,12 +42,12 @@ def column_moments(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
         n, lo, hi = F.count(v), F.min(finite), F.max(finite)
         whole = isinstance(df.schema[c].dataType, T.IntegralType)
         per.append(F.struct(
-            F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), n.alias("n"), F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), lo.alias("_lo"), hi.alias("_hi"),
+            F.lit(c).alias("column"), F.count(F.lit(1)).alias("_m_rows"), n.alias("_m_n"), F.avg(v).alias("_m_mean"),
+            F.stddev_samp(v).alias("_m_sd"), F.min(v).alias("_m_min"), F.max(v).alias("_m_max"), lo.alias("_lo"), hi.alias("_hi"),
             (F.least(n.cast("double"), hi - lo + 1) if whole else n.cast("double")).alias("_most")))
     numbers = df.select(*by, *[_number(c).alias(f"_c{i}") for i, c in enumerate(cols)])
     wide = numbers.groupBy(*by).agg(F.array(*per).alias("_s"))
-    return stage_shared(wide.select(*by, F.inline("_s")).filter(F.col("rows") > 0), "moments")
+    return stage_shared(wide.select(*by, F.inline("_s")).filter(F.col("_m_rows") > 0), "moments")
 
 
 def _ranked_counts(counts: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
@@ -70,7 +70,7 @@ def _inside(long: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
 def _searched(long: DataFrame, pairs: DataFrame, keys: list[str], probs: dict[str, float],
               few: int) -> DataFrame:
     """Quantiles of pairs with many values; ``pairs`` has their n and finite ends."""
-    cells = pairs.select(*keys, F.col("n").alias("_total"), F.lit(0).cast("long").alias("_base"), F.lit(-_INF).alias("_from"),
+    cells = pairs.select(*keys, F.col("_m_n").alias("_total"), F.lit(0).cast("long").alias("_base"), F.lit(-_INF).alias("_from"),
                          F.lit(_INF).alias("_to"), "_lo", "_hi")
     cell = [*keys, "_from"]
     ranks = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in probs.items()}
@@ -120,7 +120,7 @@ def column_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: dict[
     :func:`column_moments` where the caller has them. ``few`` changes the way, not the result."""
     keys = [*by, "column"]
     moments = column_moments(df, by, cols) if moments is None else moments
-    many = moments.filter((F.col("_most") > few) & (F.col("n") > 0))
+    many = moments.filter((F.col("_most") > few) & (F.col("_m_n") > 0))
     searched = [r["column"] for r in many.select("column").distinct().collect()]  # at most one per column
     long = long_values(df, by, cols).filter(F.col("_v").isNotNull())
     counted = join_null_safe(long, many.select(*keys), keys, "left_anti") if searched else long
