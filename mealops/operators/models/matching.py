@@ -5,8 +5,9 @@ that is searched cuts space into leaves of about ``LEAF`` profiles; every leaf k
 box of its profiles. A profile visits leaves in the order of their box's distance, first two,
 then sixteen times as many each round, and stops where the next box lies farther than the
 nearest profile found: what it never visits cannot hold a nearer one, so the result is exact
-in any number of columns. Distances are taken leaf by leaf inside tasks; a leaf that many
-profiles visit is dealt to several, and no pair but the final matches becomes a row.
+in any number of columns. Boxes are cut away for whole parts of the tree before they are
+ordered per profile. Distances are taken leaf by leaf inside tasks; a leaf that many profiles
+visit is dealt to several, and no pair but the nearest of each leaf becomes a row.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from ...sources.sinks import stage_shared
 LEAF, MAX_LEAVES, PER_LEAF_SAMPLE = 2_000, 1 << 14, 16
 VISITORS, CHUNK = 8_192, 1 << 16
 _LANES = 1 << 21  # distances laid out at once
+_PART = 64  # rows and leaves that are compared without another cut
 
 
 @dataclass
@@ -76,11 +78,32 @@ def _box_distance(z: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return np.sqrt(out)
 
 
-def _distance(z: np.ndarray, c: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(z), len(c)))
+def _near_pairs(z: np.ndarray, c: np.ndarray, tolerance: float, skip: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(i, j, distance) of every pair as near as the nearest of its row, within ``tolerance``; row
+    i leaves out the pair with ``skip[i]`` (-1: none). One matrix product finds the pairs that
+    can be such, with room for its rounding; theirs alone are measured coordinate by coordinate."""
+    middle = c.mean(axis=0)
+    zm, cm = z - middle, c - middle
+    zz, cc = (zm * zm).sum(axis=1), (cm * cm).sum(axis=1)
+    apart = zm @ (-2 * cm.T)
+    apart += zz[:, None]
+    apart += cc[None, :]
+    if skip is not None:
+        rows = np.flatnonzero(skip >= 0)
+        apart[rows, skip[rows]] = np.inf
+    room = 64 * (z.shape[1] + 8) * np.finfo(float).eps * (zz + cc.max())
+    least = apart.min(axis=1)
+    reach = (np.sqrt(np.maximum(least, 0) + room) + tolerance) ** 2 + room
+    i, j = np.nonzero(apart <= np.where(np.isfinite(least), reach, -np.inf)[:, None])
+    if not len(i):
+        return i, j, np.zeros(0)
+    d = np.zeros(len(i))
     for k in range(z.shape[1]):
-        out += (z[:, None, k] - c[None, :, k]) ** 2
-    return np.sqrt(out)
+        d += (z[i, k] - c[j, k]) ** 2
+    d = np.sqrt(d)
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    kept = d <= np.repeat(np.minimum.reduceat(d, first), np.diff(np.r_[first, len(i)])) + tolerance
+    return i[kept], j[kept], d[kept]
 
 
 def _steps(n: int, width: int) -> list[slice]:
@@ -103,7 +126,7 @@ class _Searched:
         if leaves > 1:  # at most PER_LEAF_SAMPLE * MAX_LEAVES points
             got = side.select("_z").orderBy(F.xxhash64("_z"), "_id").limit(PER_LEAF_SAMPLE * leaves).toArrow()
             sample = _points(got.column("_z"), width)
-        dims, cuts = fit_tree(sample, leaves.bit_length() - 1)
+        dims, cuts = self.dims, self.cuts = fit_tree(sample, leaves.bit_length() - 1)
 
         @F.arrow_udf("int")
         def leaf(z: pa.Array) -> pa.Array:
@@ -122,7 +145,7 @@ class _Searched:
         keys = [*self.blocks, "_chunk"]
         mine = seekers.withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.lit(chunks)).cast("int"))
         boxes = self.boxes.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        width, kept = self.width, [*self.blocks, "_id", "_z", "_best"]
+        width, kept, dims, cuts = self.width, [*self.blocks, "_id", "_z", "_best"], self.dims, self.cuts
 
         def order(left: pa.Table, right: pa.Table) -> pa.Table:
             z, best = _points(left.column("_z"), width), left.column("_best").to_numpy()
@@ -130,23 +153,42 @@ class _Searched:
             low, high = _points(right.column("_low"), width), _points(right.column("_high"), width)
             order_of = np.argsort(leaf, kind="stable")  # one order of equal distances in every round
             leaf, low, high = leaf[order_of], low[order_of], high[order_of]
-            rows, to = [], []
-            if len(leaf):
-                for part in _steps(len(z), len(leaf)):
-                    away = _box_distance(z[part], low, high)
+            rows, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            at = leaf_of(z, dims, cuts)
+            by_place = np.argsort(at, kind="stable")
+            todo = [(by_place, np.arange(len(leaf)), 1)] if len(leaf) else []
+            while todo:
+                own, near, size = todo.pop()
+                # leaves that no row of this part can visit go
+                least, most = z[own].min(axis=0), z[own].max(axis=0)
+                gap = lambda a, b: np.sqrt((np.maximum(np.maximum(low[near] - a, b - high[near]), 0) ** 2).sum(axis=1))  # noqa: E731, B023
+                closest, reach = gap(most, least), (best[own].max() * (1 + 1e-12) + tolerance)
+                if many is not None and len(near) > (last := int(seen[own].max()) + many):
+                    reach = min(reach, np.partition(gap(least, most), last - 1)[last - 1])
+                near = near[closest <= reach * (1 + 1e-9)]
+                if not len(near):
+                    continue
+                if len(own) > _PART and len(near) > _PART and size <= len(dims):
+                    # a finer cut of the tree the leaves come from
+                    size *= 2
+                    part = at[own] * size // (len(dims) + 1)
+                    todo += [(x, near, size) for x in np.split(own, np.flatnonzero(part[1:] != part[:-1]) + 1)]
+                    continue
+                for step in _steps(len(own), len(near)):
+                    some = own[step]
+                    away = _box_distance(z[some], low[near], high[near])
                     rank = np.argsort(away, axis=1, kind="stable")
                     sorted_away = np.take_along_axis(away, rank, 1)
                     # a box distance may be off by rounding
-                    ok = sorted_away <= best[part, None] * (1 + 1e-12) + tolerance
-                    place = np.arange(len(leaf))[None, :]
-                    ok &= place >= seen[part, None]
+                    ok = sorted_away <= best[some, None] * (1 + 1e-12) + tolerance
+                    place = np.arange(len(near))[None, :]
+                    ok &= place >= seen[some, None]
                     if many is not None:
-                        ok &= place < seen[part, None] + many
+                        ok &= place < seen[some, None] + many
                     i, j = np.nonzero(ok)
-                    rows.append(i + part.start)
-                    to.append(leaf[rank[i, j]])
-            rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            to = np.concatenate(to) if to else np.zeros(0, np.int32)
+                    rows.append(some[i])
+                    to.append(leaf[near[rank[i, j]]])
+            rows, to = np.concatenate(rows), np.concatenate(to)
             return left.select(kept).take(pa.array(rows)).append_column("_leaf", pa.array(to, pa.int32()))
 
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seekers.schema.fields if f.name in kept)
@@ -177,38 +219,39 @@ class _Searched:
         width = self.width
 
         def least(left: pa.Table, right: pa.Table) -> pa.Table:
-            z, c = _points(left.column("_z"), width), _points(right.column("_cz"), width)
-            own, theirs = left.column("_id").to_numpy(), right.column("_cid").to_numpy()
-            out = np.full(len(z), np.inf)
-            for part in _steps(len(z), len(c)):
-                d = _distance(z[part], c)
-                if others:
-                    d[own[part, None] == theirs[None, :]] = np.inf
-                out[part] = d.min(axis=1, initial=np.inf)
-            return pa.table({"_id": pa.array(own), "_new": pa.array(out)})
-
-        def within(left: pa.Table, right: pa.Table) -> pa.Table:
+            """The nearest of the leaf, or where none is as near as the best known, its distance alone."""
             z, c = _points(left.column("_z"), width), _points(right.column("_cz"), width)
             own, theirs, best = left.column("_id").to_numpy(), right.column("_cid").to_numpy(), left.column("_best").to_numpy()
-            rows = []
-            for part in _steps(len(z), len(c)):
-                d = _distance(z[part], c)
-                if others:
-                    d[own[part, None] == theirs[None, :]] = np.inf
-                i, j = np.nonzero(d <= best[part, None] + tolerance)
-                rows.append((own[part][i], theirs[j], d[i, j]))
-            cols = [np.concatenate(x) for x in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-            return pa.table(dict(zip(["_tid", "_cid", "_dist"], map(pa.array, cols))))
+            skip = None
+            if others and len(theirs):
+                by_id = np.argsort(theirs)
+                spot = by_id[np.minimum(np.searchsorted(theirs, own, sorter=by_id), len(theirs) - 1)]
+                skip = np.where(theirs[spot] == own, spot, -1)
+            found, nearest = [], np.full(len(z), np.inf)
+            for part in _steps(len(z), len(c)) if len(c) else []:
+                i, j, d = _near_pairs(z[part], c, tolerance, None if skip is None else skip[part])
+                i = i + part.start
+                np.minimum.at(nearest, i, d)
+                found.append((i, j, d))
+            i, j, d = map(np.concatenate, zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            good = nearest <= best + tolerance
+            good &= np.isfinite(nearest)
+            bad, kept = np.flatnonzero(~good), good[i]
+            cid = pa.array(np.r_[theirs[j[kept]], np.zeros(len(bad), np.int64)], pa.int64(), mask=np.arange(kept.sum() + len(bad)) >= kept.sum())
+            return pa.table({"_tid": pa.array(np.r_[own[i[kept]], own[bad]]), "_cid": cid,
+                             "_dist": pa.array(np.r_[d[kept], nearest[bad]])})
 
         seekers = seekers.select(*self.blocks, "_id", "_z", *(["_best"] if "_best" in seekers.columns else [F.lit(float("inf")).alias("_best")]))
-        state, settled, many, n = seekers.withColumn("_seen", F.lit(0)), None, 2, seekers.count()
+        state, settled, met, many, n = seekers.withColumn("_seen", F.lit(0)), None, None, 2, seekers.count()
         leaves = self.boxes.select("_leaf").distinct().count()
         while n:
             visits = self._visits(state, n, many, tolerance)
             if visits.isEmpty():
                 settled = state if settled is None else settled.unionByName(state)
                 break
-            got = self._met(visits, least, "_id bigint, _new double").groupBy("_id").agg(F.min("_new").alias("_new"))
+            round_met = stage_shared(self._met(visits, least, "_tid bigint, _cid bigint, _dist double"), "met")
+            met = round_met if met is None else met.unionByName(round_met)
+            got = round_met.groupBy(F.col("_tid").alias("_id")).agg(F.min("_dist").alias("_new"))
             state = state.join(got, "_id", "left").withColumn("_best", F.least("_best", "_new"))
             # those without a leaf to visit are settled
             after = stage_shared(state.withColumn("_seen", F.col("_seen") + many).withColumn("_open", F.col("_new").isNotNull()).drop("_new"), "nearest")
@@ -218,11 +261,12 @@ class _Searched:
             if leaves <= after.agg(F.max("_seen")).first()[0]:
                 settled = settled.unionByName(state)
                 break
-        if settled is None:
-            settled = state
-        sure = settled.filter(F.col("_best") < float("inf")).withColumn("_seen", F.lit(0))
-        last = self._visits(sure, max(1, sure.count()), None, tolerance)
-        return stage_shared(self._met(last, within, "_tid bigint, _cid bigint, _dist double"), "matches")
+        if met is None:
+            return seekers.sparkSession.createDataFrame([], "_tid bigint, _cid bigint, _dist double")
+        # every leaf that can hold one as near as the nearest was met by then
+        best = settled.select(F.col("_id").alias("_tid"), "_best")
+        links = met.filter("_cid IS NOT NULL").join(best, "_tid").filter(F.col("_dist") <= F.col("_best") + tolerance)
+        return stage_shared(links.select("_tid", "_cid", "_dist"), "matches")
 
 
 # --- matching ----------------------------------------------------------------------------

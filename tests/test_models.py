@@ -437,3 +437,21 @@ def test_residual_scores_tell_a_wrong_fit(spark):
     assert max(r["score"] for r in right) < 1e-12
     wrong = residual_scores(df, fits.withColumn("estimate", F.col("estimate") * 1.1), "y", specs).collect()
     assert all(r["score"] > 1e-3 for r in wrong if r["term"] == "a")
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_near_pairs_are_those_of_all_distances(shift):
+    """By a matrix product, yet ties and rounding as coordinate by coordinate."""
+    from mealops.operators.models.matching import _near_pairs
+    rnd = np.random.default_rng(5)
+    z, c = rnd.integers(0, 3, (80, 9)) / 7 + shift, rnd.integers(0, 3, (400, 9)) / 7 + shift
+    z[:20], skip = c[:20], np.r_[np.arange(20), np.full(60, -1)]
+    d = np.zeros((80, 400))
+    for k in range(9):
+        d += (z[:, None, k] - c[None, :, k]) ** 2
+    d = np.sqrt(d)
+    d[np.arange(20), np.arange(20)] = np.inf
+    i, j = np.nonzero(d <= d.min(axis=1)[:, None] + 1e-9)
+    got = _near_pairs(z, c, 1e-9, skip)
+    assert np.array_equal(got[0], i) and np.array_equal(got[1], j) and np.array_equal(got[2], d[i, j])
+    assert len(_near_pairs(z[:1], z[:1], 1e-9, np.array([0]))[0]) == 0
