@@ -63,11 +63,12 @@ def pca(df: DataFrame, cols: list[str], k: int | None = None) -> DataFrame:
 
 
 def kmeans(df: DataFrame, cols: list[str], k: int, seed: int = 715, out: str = "cluster",
-           max_iter: int = 100) -> DataFrame:
-    """Rows with their cluster number; a fit that ``max_iter`` rounds do not end raises."""
+           max_iter: int | None = None) -> DataFrame:
+    """Rows with their cluster number. The fit goes on until no centre moves; one that a given
+    ``max_iter`` rounds do not end raises."""
     data = _assembled(df, cols, "_features")
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol=out).fit(data)
-    if model.summary.numIter >= max_iter:
+    model = KMeans(k=k, seed=seed, maxIter=max_iter or 2 ** 31 - 1, featuresCol="_features", predictionCol=out).fit(data)
+    if max_iter and model.summary.numIter >= max_iter:
         raise RuntimeError(f"k-means did not settle in {max_iter} rounds")
     return model.transform(data).drop("_features")
 

@@ -141,3 +141,10 @@ def test_cluster_without_shared_folder_is_an_error(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_kmeans_goes_on_until_it_settles(spark):
+    """Even points along a line: the fit takes more than 100 rounds."""
+    df = spark.range(20_000).select((F.col("id") / 20_000).alias("x")).coalesce(1)
+    got = learners.cluster_sizes(learners.kmeans(df, ["x"], 60, seed=1)).collect()
+    assert len(got) == 60 and sum(r["n"] for r in got) == 20_000
