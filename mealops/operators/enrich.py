@@ -21,8 +21,8 @@ def fetch_missing(df: DataFrame, keys: list[str], fetch_fn: Callable[[pd.DataFra
     """Look up the distinct keys that the cache does not have.
 
     ``fetch_fn`` gets a batch of keys and returns the result columns for it in the same
-    row order; a failing batch is retried key by key and a failing key yields NULLs, so
-    no key is lost. ``error`` names a column for the text of its failure (else NULL).
+    row order; a failing batch is asked again in halves down to the failing keys, which
+    yield NULLs, so no key is lost. ``error`` names a column for the text of its failure (else NULL).
     ``max_parallel`` bounds concurrent callers of a rate-limited service.
     """
     todo = df.select(*keys).dropna(subset=keys).distinct()
@@ -44,14 +44,15 @@ def _ask(todo: DataFrame, fetch_fn: Callable[[pd.DataFrame], pd.DataFrame], resu
             raise ValueError("fetch_fn must return one row per key")
         return found.assign(**{error: None}) if error else found
 
-    def one_by_one(batch: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for i in range(len(batch)):
-            try:
-                rows.append(answers(batch.iloc[i:i + 1].reset_index(drop=True)))
-            except Exception as e:
-                rows.append(pd.DataFrame({**{n: [None] for n in names}, **({error: [f"{type(e).__name__}: {e}"]} if error else {})}))
-        return pd.concat(rows, ignore_index=True)
+    def parts(batch: pd.DataFrame) -> list[pd.DataFrame]:
+        """The answers of a batch in pieces: one that fails is cut in two, a failing key stands alone."""
+        try:
+            return [answers(batch).astype(object)]  # whole numbers beside NULLs stay whole
+        except Exception as e:
+            if len(batch) == 1:
+                return [pd.DataFrame({**{n: [None] for n in names}, **({error: [f"{type(e).__name__}: {e}"]} if error else {})}, dtype=object)]
+        half = len(batch) // 2
+        return parts(batch.iloc[:half].reset_index(drop=True)) + parts(batch.iloc[half:].reset_index(drop=True))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -61,7 +62,7 @@ def _ask(todo: DataFrame, fetch_fn: Callable[[pd.DataFrame], pd.DataFrame], resu
             try:
                 found = answers(batch)
             except Exception:
-                found = one_by_one(batch)
+                found = pd.concat(parts(batch), ignore_index=True)
             yield pd.concat([batch, found], axis=1)
 
     return todo.mapInPandas(run, schema)
@@ -81,6 +82,8 @@ def enrich_by_key(df: DataFrame, keys: list[str], fetch_fn: Callable[[pd.DataFra
 
 # --- lookups that outlive a run -----------------------------------------------------------
 
+_TASK_KEYS = 1_000  # keys that are worth a task of their own
+
 _LEDGER = "batch int, folder string, asked bigint, failed bigint, finished timestamp"
 
 
@@ -124,9 +127,12 @@ def fetch_resumable(df: DataFrame, keys: list[str], fetch_fn: Callable[[pd.DataF
     done = known.filter(F.col("error").isNull()) if retry_failed else known
     todo = wanted.join(done, keys, "left_anti").withColumn("_batch", F.pmod(F.xxhash64(*keys), F.lit(batches)).cast("int"))
     todo = stage(todo, shared_path(spark, "lookup"), partition_by=["_batch"])
-    for b in sorted(r["_batch"] for r in todo.select("_batch").distinct().collect()):  # at most `batches` rows
+    sizes = {r["_batch"]: r["count"] for r in todo.groupBy("_batch").count().collect()}  # at most `batches` rows
+    for b in sorted(sizes):
         folder = f"batch{b:05d}-{uuid.uuid4().hex}"
-        asked = _ask(todo.filter(F.col("_batch") == b).select(*keys), fetch_fn, result, max_parallel, "error")
+        # the staged keys are few bytes, so a scan alone would leave them to one task
+        tasks = max_parallel or min(spark.sparkContext.defaultParallelism, -(-sizes[b] // _TASK_KEYS))
+        asked = _ask(todo.filter(F.col("_batch") == b).select(*keys), fetch_fn, result, tasks, "error")
         written = stage(asked, f"{store}/answers/{folder}")
         line = written.agg(F.lit(b).alias("batch"), F.lit(folder).alias("folder"), F.count(F.lit(1)).alias("asked"),
                            F.count("error").alias("failed"), F.current_timestamp().alias("finished"))

@@ -291,3 +291,24 @@ def test_percentile_positions_equal_rank(make):
     assert out[0]["place_med"] == 39600 + secs.median()
     near = win.around_median(win.seconds_distribution(df, "t"), earlier_s=1)
     assert sorted(col(near, "place_sec")) == [39602, 39603]
+
+
+def test_failing_keys_are_found_by_halves_over_several_tasks(spark, tmp_path):
+    log = str(tmp_path / "calls")
+    open(log, "w").close()
+    df = spark.range(4000).select(F.col("id").alias("k"))
+
+    def fetch(batch):
+        import os
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()} {len(batch)}\n")
+        if (batch["k"] % 1000 == 77).any():
+            raise LookupError("none")
+        return pd.DataFrame({"n": batch["k"] + 2 ** 60})
+
+    result = T.StructType([T.StructField("n", T.LongType())])
+    got = {r["k"]: (r["n"], r["error"]) for r in fetch_resumable(df, ["k"], fetch, result, str(tmp_path / "store"), batches=1).collect()}
+    bad = {77, 1077, 2077, 3077}
+    assert got == {k: (None, "LookupError: none") if k in bad else (k + 2 ** 60, None) for k in range(4000)}
+    calls = open(log).read().splitlines()
+    assert len(calls) < 200 and max(int(c.split()[1]) for c in calls) < 4000
