@@ -146,7 +146,7 @@ def _(spark, d):
             .withColumn("from_tel", tx.coalesce_blank("from_tel", "from_tel_alt"))
             .select("sup_id", "from_addr", "from_tel",
                     F.regexp_replace("details", "\n详情\n标签:", "\n标签:").alias("details"),
-                    F.concat(F.lit("T"), (c("sup_id") % 3).cast("string")).alias("tag1")).distinct())
+                    F.concat(F.lit("T"), (c("sup_id") % 3).cast("string")).alias("tag1")))
     return rs.restaurant_master(raw, tags).select("sup_id", "from_tel", "from_addr", "from_addr_xms",
                                                   "adist_long", "adist_short", "match_rule", "tag1")
 

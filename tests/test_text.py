@@ -86,3 +86,23 @@ def test_addresses_attach_to_every_order(make):
     o = make("id int, from_addr string", [(1, "路3楼"), (2, "路3楼"), (3, None)])
     got = {r["id"]: r["cleaned"] for r in rs.clean_store_addresses(o).collect()}
     assert got == {1: "路", 2: "路", 3: None}
+
+
+def test_master_moves_no_block_twice(spark):
+    """Tags are looked up after the pick, by hashes; several tags of a block keep one row."""
+    from pyspark.sql import functions as F
+
+    from mealops.plans.restaurants import restaurant_master
+
+    block = lambda name, addr: "\n".join([name, "标签:x", "t", "d2", addr, "d3", "¥1-2", "口味:5", "环境:4", "服务:3", "d7", "c", "r"])
+    rows = [(1, "road 1", None, "9", block("near", "road 1")), (1, "road 1", None, "9", block("a", "road 1")),
+            (1, "road 1", None, "9", block("far", "street 99")), (2, "road 2", "", "8", block("b", "road 2")), (3, "road 3", "7", "7", "short\nx")]
+    raw = spark.createDataFrame(rows, "sup_id long, from_addr string, from_tel string, from_tel_alt string, details string")
+    tags = raw.select("sup_id", "from_addr", "from_tel", "details", F.lit("T").alias("tag1"), F.lit(None).cast("string").alias("tag2"))
+    tags = tags.filter("sup_id = 1").unionByName(tags.filter("sup_id = 1").withColumn("tag1", F.lit("U")))
+    out = restaurant_master(raw, tags)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4 and not any("details" in line for line in plan.split("\n") if "Exchange hash" in line)
+    got = {r["sup_id"]: (r["name"], r["from_tel"], r["tag1"], r["adist_long"], r["match_rule"]) for r in out.collect()}
+    assert got == {1: ("a", None, "T", 0.0, 1), 2: ("b", "8", None, 0.0, 1)}
+    assert out.columns[-3:] == ["adist_long", "adist_short", "match_rule"] and "tag2" in out.columns
