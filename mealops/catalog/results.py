@@ -24,11 +24,16 @@ _CRT = (_FEAT + _MODEL[:_MODEL.index("WHERE delay<100")].replace("prereq-(prepar
     f.rider_income/d.dist::DOUBLE AS cpm, prereq-(prepare""") + "WHERE d.dist IS NOT NULL AND ow_ratio IS NOT NULL)")
 
 
-def _analysis(spark, d) -> DataFrame:
+def _analysis(spark, d, cols: list[str]) -> DataFrame:
+    """The columns ``cols`` of the analysis table; what derives no other is not computed."""
     feats = feature_build(stage_shared(with_branch(meal_orders(spark, d)), "orders"))
     table = model_table(feats, dist_of(spark, d), branches(spark, d), weather_slots(station_weather(spark, d)))
     kept = results.with_outcomes(table.filter("dist is not null and ow_ratio is not null"))
-    return stage_shared(kept.withColumn("cpm", F.col("rider_income") / F.col("dist")), "analysis")
+    return stage_shared(kept.withColumn("cpm", F.col("rider_income") / F.col("dist")).select(*dict.fromkeys(cols)), "analysis")
+
+
+def _spec_columns(y: str, specs: dict[str, list[str]]) -> list[str]:
+    return [y, *(c for xs in specs.values() for x in xs for c in x.split(":"))]
 
 
 # --- descriptives ------------------------------------------------------------------------
@@ -49,7 +54,8 @@ _TABLES = {
     f"SELECT '{name}' AS \"table\", * FROM ({_stat_sql(cols, src, _SUM)})" for name, (cols, src) in _TABLES.items()),
     _NEEDS, _CRT, rounds="mean sd p25 median p75 max", digits=5), digits=5)
 def _(spark, d):
-    tables = results.descriptives(_analysis(spark, d))
+    cols = [*_TABLES["order"][0], *_USERS, "user_id", "rider_id", "r_exp_n", "r_inshift_n", "sup_id", "sup_exp"]
+    tables = results.descriptives(_analysis(spark, d, cols))
     return reduce(DataFrame.unionByName, [t.withColumn("table", F.lit(name)) for name, t in tables.items()])
 
 
@@ -75,7 +81,8 @@ def _channel_sql() -> str:
 
 @query("build_channels", sql(_channel_sql(), _NEEDS, _CRT, rounds="q1 median q3 lower upper"))
 def _(spark, d):
-    tables = results.channels(_analysis(spark, d))
+    tables = results.channels(_analysis(spark, d, ["prereq", "delay", "require_tm", "leave_tm", "receive_tm",
+                                                   "require_date", "require_tmref", "tmref_cat", "temp_pdp"]))
     boxes = [tables[name].withColumnRenamed(tables[name].columns[0], "bucket").withColumn("bucket", F.col("bucket").cast("double"))
              .withColumn("channel", F.lit(name)) for name in _BOXES]
     return reduce(DataFrame.unionByName, boxes)
@@ -121,13 +128,13 @@ def _cases_sql(y: str, specs: dict[str, list[str]], where: dict[str, str] | None
 
 @query("build_lateness_specs", sql(_cases_sql("delay", results.DELAY_SPECS), _NEEDS, _CRT))
 def _(spark, d):
-    df = _analysis(spark, d)
+    df = _analysis(spark, d, _spec_columns("delay", results.DELAY_SPECS))
     return residual_scores(df, results.delay_regressions(df), "delay", results.DELAY_SPECS)
 
 
 @query("build_first_stages", sql(_cases_sql("prereq", results.FIRST_STAGE_SPECS), _NEEDS, _CRT))
 def _(spark, d):
-    df = _analysis(spark, d)
+    df = _analysis(spark, d, _spec_columns("prereq", results.FIRST_STAGE_SPECS))
     return residual_scores(df, results.first_stages(df), "prereq", results.FIRST_STAGE_SPECS)
 
 
@@ -138,7 +145,7 @@ _ABOVE = {spec: spec for spec in _SLACK}
 
 @query("build_slack_specs", sql(_cases_sql("delay", _SLACK, _ABOVE), _NEEDS, _CRT))
 def _(spark, d):
-    df = _analysis(spark, d)
+    df = _analysis(spark, d, ["left2", *_spec_columns("delay", _SLACK)])
     return residual_scores(df, results.slack_regressions(df, "left2", _CUTS), "delay", _SLACK, _ABOVE)
 
 
@@ -155,7 +162,8 @@ _LAGGED = """, lg AS (SELECT * FROM (SELECT *, lag(delay) OVER w AS delay_lag1,
   UNION ALL SELECT 'by occasion', occ, {_ADJUST} FROM lg WHERE occ<7 GROUP BY occ""",
                                     _NEEDS, _CRT + _LAGGED, rounds="slope intercept r2"))
 def _(spark, d):
-    lagged = results.repeat_customers(_analysis(spark, d))
+    lagged = results.repeat_customers(_analysis(
+        spark, d, ["id", "user_id", "sup_id", "place_tm", "require_tm", "delay", "prereq", "tmref_cat"]))
     parts = {"all": results.lead_adjustment(lagged), "second": results.lead_adjustment(lagged, occasion=2),
              "by occasion": results.lead_adjustment(lagged, by_occasion=True)}
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),

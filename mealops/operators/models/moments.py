@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,13 +92,61 @@ def moments_by_cases(df: DataFrame, cols: list[str], cases: list[list[str]], by:
     rows = rows.filter(F.col("_cases").contains("1"))
     if weight:
         rows = rows.dropna(subset=["_w"])
-    sets = _moments_of(rows, len(cols), [*by, "_cases"], weight)
+    if by or weight:
+        sets = _moments_of(rows, len(cols), [*by, "_cases"], weight)
+    else:
+        sets = _case_moments(rows, cols, cases)
     parts = F.sort_array(F.collect_list(F.struct("_cases", "_n", "_sw", "_mean", "_cross")))
     return sets.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), parts.alias("_parts")).select(
         *by, "_n", *[F.col("_parts")[f].alias(f"{f}s" if f != "_cases" else f) for f in ("_cases", "_n", "_sw", "_mean")],
         F.col("_parts")["_cross"].alias("_crosses"))
 
 
+def _case_moments(rows: DataFrame, cols: list[str], cases: list[list[str]]) -> DataFrame:
+    """Moments per set of cases: a task adds up its batches by one matrix product each, and the
+    few rows of the tasks are merged. Columns of no case met are NaN there."""
+    at = [[cols.index(c) for c in need] for need in cases]
+    k = len(cols)
+
+    def add(held: tuple | None, n: int, mean: np.ndarray, scatter: np.ndarray) -> tuple:
+        if held is None:
+            return n, mean, scatter
+        total, gap = held[0] + n, mean - held[1]
+        return total, held[1] + gap * (n / total), held[2] + scatter + np.outer(gap, gap) * (held[0] * n / total)
+
+    def row(letters: str, n: int, mean: np.ndarray, scatter: np.ndarray) -> dict:
+        return {"_cases": [letters], "_n": [n], "_sw": [float(n)], "_mean": [mean.tolist()],
+                "_cross": [scatter[np.triu_indices(k)].tolist()]}
+
+    schema = "_cases string, _n bigint, _sw double, _mean array<double>, _cross array<double>"
+    fields = pa.schema([("_cases", pa.string()), ("_n", pa.int64()), ("_sw", pa.float64()),
+                        ("_mean", pa.list_(pa.float64())), ("_cross", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple] = {}
+        for batch in batches:
+            letters = batch.column("_cases").dictionary_encode()
+            x = np.column_stack([batch.column(f"_x{i}").to_numpy(zero_copy_only=False) for i in range(k)])
+            for code, name in enumerate(letters.dictionary.to_pylist()):
+                own = x[letters.indices.to_numpy() == code]
+                met = sorted({c for i, letter in enumerate(name) if letter == "1" for c in at[i]})
+                mean, scatter = np.full(k, np.nan), np.full((k, k), np.nan)
+                mean[met] = own[:, met].mean(axis=0)
+                apart = own[:, met] - mean[met]
+                scatter[np.ix_(met, met)] = apart.T @ apart
+                held[name] = add(held.get(name), len(own), mean, scatter)
+        for name, parts in held.items():
+            yield pa.RecordBatch.from_pydict(row(name, *parts), schema=fields)
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        total = None
+        for r in table.sort_by([("_n", "ascending"), ("_sw", "ascending")]).to_pylist():
+            total = add(total, r["_n"], np.array(r["_mean"], float), square(r["_cross"], k))
+        return pa.Table.from_pydict(row(key[0].as_py(), *total), schema=fields)
+
+    return rows.select("_cases", *[f"_x{i}" for i in range(k)]).mapInArrow(run, schema).groupBy("_cases").applyInArrow(merge, schema)
+
+
 def merged_case(row: pd.Series, case: int, cols: list[str], need: list[str]) -> tuple:
     """(cross products, means, n, sum of weights) of ``need`` over the rows complete for a case."""
     at = [cols.index(c) for c in need]
