@@ -3,15 +3,17 @@
 Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line breaks, and pieces into
 words at blanks and tabs. Occurrences are dealt to ``SHARDS`` shards. A phrase that reaches
 ``MIN_COUNT`` in a language reaches, in some shard, that support lowered to the shard's share
-of the language's words; so each shard is mined completely at its lowered support, the union of
-what is locally frequent holds every phrase wanted, and one more pass counts this union
-exactly over all texts.
-
-Mining a shard is level-wise over 32-bit word hashes that are written once: runs of k words
-whose two runs of k - 1 are locally frequent are counted inside the tasks, dealt by hash to
-buckets of about ``_BUCKET`` words, and summed there, so no shard or phrase meets in one task.
-What is frequent reaches the next level as a bitmap of ``BITS`` bits, of fixed size. Hashes and
-bits that collide only add candidates; the last count is by the words themselves.
+of the language's words; so the union of what the shards find locally frequent holds every phrase
+wanted. The shards go through the levels together: those of the union whose counts in all
+shards add up to less than ``MIN_COUNT`` are left out before the next level, and one more pass
+counts what is left exactly over all texts.
+
+Mining is over 32-bit word hashes that are written once: runs of k words whose two runs of k - 1
+are left are counted inside the tasks, dealt by hash to buckets of about ``_BUCKET`` words, and
+summed there by shard, so no shard or phrase meets in one task. Every shard counts a run that any
+of them counts, so its sum lacks nothing. What is left reaches the next level as a bitmap of
+``BITS`` bits, of fixed size. Hashes and bits that collide only add candidates; the last count is
+by the words themselves.
 
 Each cut of a phrase into two parts scores ``floor(2000000 a / (l + r))``; the lowest cut, then
 the smallest, is the phrase's. Phrases inside a longer one with at least 80 % of their count
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,10 @@ LONGEST, MIN_COUNT, TOP, INSIDE = 4, 30, 2000, 80
 SHARDS = 4
 BITS = 1 << 27
 _BUCKET = 1 << 20  # words of the corpus a bucket
-_HELD, _PHRASES = 1 << 22, 400_000  # runs and different phrases a task holds before it emits them
+_HELD, _PHRASES = 1 << 22, 1_200_000  # runs and different phrases a task holds before it emits them
+_TASK = 12  # buckets of words a task of the last count reads, where that leaves two tasks a core
 _HIGH = 0xFFFFFFFF00000000
+_LOW = 24  # bits of a run's hash that travel beside its bucket; they make whole bytes
 _STOP, _END = b".", bytes(4)
 _FORM = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -86,8 +90,8 @@ def _written(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.schema("lang string, shard int, n bigint, words binary").parquet(path)
 
 
-def _salt(lang: str, shard: int = -1) -> np.uint64:
-    return np.uint64(xxhash.xxh3_64_intdigest(f"{shard}:{lang}"))
+def _salt(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(lang))
 
 
 def _levels(h: np.ndarray, longest: int) -> Iterator[np.ndarray]:
@@ -101,9 +105,21 @@ def _levels(h: np.ndarray, longest: int) -> Iterator[np.ndarray]:
 
 
 def _keys(runs: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each run (by the higher half of its hash) and the lower half; 0 stays 0."""
+    """Bucket of each run (by the higher half of its hash), ``_LOW`` bits of the lower half and a
+    1; 0 stays 0."""
     top = (runs >> np.uint64(32)) * np.uint64(buckets) & np.uint64(_HIGH)
-    return np.where(runs != 0, top | (runs & np.uint64(0xFFFFFFFF)), np.uint64(0))
+    return np.where(runs != 0, top | (runs & np.uint64((2 << _LOW) - 1)), np.uint64(0))
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """What the bucket of a key does not say."""
+    return (keys >> np.uint64(1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :_LOW // 8].tobytes()
+
+
+def _unpacked(low: bytes, bucket: int) -> np.ndarray:
+    wide = np.zeros((len(low) * 8 // _LOW, 4), np.uint8)
+    wide[:, :_LOW // 8] = np.frombuffer(low, np.uint8).reshape(-1, _LOW // 8)
+    return (wide.view("<u4").ravel().astype(np.uint64) << np.uint64(1)) | np.uint64(bucket << 32 | 1)
 
 
 def _spot(runs: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -120,18 +136,18 @@ def _often(bitmap: np.ndarray, runs: np.ndarray, salt: np.uint64) -> np.ndarray:
 
 def _summed(rows: DataFrame, k: int, buckets: int, known) -> DataFrame:
     """(lang, shard, bucket, runs, counts): runs of ``k`` words, summed inside a task; ``known``
-    is the broadcast bitmap of locally frequent runs of ``k - 1``."""
+    is the broadcast bitmap of the runs of ``k - 1`` that are left."""
     def emit(lang: str, shard: int, parts: list[np.ndarray]) -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(parts), return_counts=True)
         top = (keys >> np.uint64(32)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
         ends = np.r_[first[1:], len(keys)]
-        # what the bucket does not say; counts are kept far above any support
-        low, many = (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()
+        # counts are kept far above any support
+        many = np.minimum(counts, 255).astype(np.uint8).tobytes()
         return pa.record_batch([
             pa.array([lang] * len(first), pa.string()), pa.array([shard] * len(first), pa.int32()),
             pa.array(top[first], pa.int64()),
-            pa.array([low[4 * a:4 * b] for a, b in zip(first, ends)], pa.binary()),
+            pa.array([_packed(keys[a:b]) for a, b in zip(first, ends)], pa.binary()),
             pa.array([many[a:b] for a, b in zip(first, ends)], pa.binary())],
             ["lang", "shard", "bucket", "runs", "counts"])
 
@@ -148,7 +164,7 @@ def _summed(rows: DataFrame, k: int, buckets: int, known) -> DataFrame:
                 *_, shorter, runs = [np.zeros(0, np.uint64), *(_keys(r, buckets) for r in _levels(h, k))]
                 keep = runs != 0
                 if bitmap is not None:
-                    often = _often(bitmap, shorter, _salt(*key))
+                    often = _often(bitmap, shorter, _salt(key[0]))
                     keep &= often[:-1] & often[1:]
                 if keep.any():
                     held.setdefault(key, []).append(runs[keep])
@@ -162,53 +178,62 @@ def _summed(rows: DataFrame, k: int, buckets: int, known) -> DataFrame:
         count, "lang string, shard int, bucket bigint, runs binary, counts binary")
 
 
-def _frequent(counted: DataFrame, least: DataFrame) -> DataFrame:
-    """(level, spot): bits of locally frequent runs, level 0 with their shard, 1 without."""
+def _frequent(counted: DataFrame, least: DataFrame, min_count: int) -> DataFrame:
+    """(spot): bits of the runs that some shard finds frequent and that may reach ``min_count``
+    in all of them."""
     def group(key: tuple, table: pa.Table) -> pa.Table:
-        lang, shard = key[0].as_py(), key[1].as_py()
-        support = table.column("least")[0].as_py()
-        runs = np.concatenate([np.frombuffer(b, "<u4") for b in table.column("runs").to_pylist()])
-        counts = np.concatenate([np.frombuffer(b, np.uint8) for b in table.column("counts").to_pylist()])
+        lang, bucket = key[0].as_py(), key[1].as_py()
+        many = table.column("counts").to_pylist()
+        runs = _unpacked(b"".join(table.column("runs").to_pylist()), bucket)
+        shard = np.repeat(table.column("shard").to_numpy(), [len(b) for b in many])
         different, at = np.unique(runs, return_inverse=True)
-        often = different[np.bincount(at, counts) >= support] | np.uint64(key[2].as_py() << 32)
-        spots = [_spot(often, _salt(lang, shard)), _spot(often, _salt(lang))]
-        return pa.table({"level": pa.array(np.repeat([0, 1], len(often)).astype(np.int32)), "spot": pa.array(np.concatenate(spots))})
-    return counted.join(least, ["lang", "shard"]).groupBy("lang", "shard", "bucket").applyInArrow(group, "level int, spot bigint")
+        counts = np.bincount(at * SHARDS + shard, np.frombuffer(b"".join(many), np.uint8), len(different) * SHARDS).reshape(-1, SHARDS)
+        local = (counts >= table.column("least")[0].as_py()).any(axis=1)
+        return pa.table({"spot": pa.array(_spot(different[local & (counts.sum(axis=1) >= min_count)], _salt(lang)))})
+    return counted.join(least, "lang").groupBy("lang", "bucket").applyInArrow(group, "spot bigint")
 
 
-def _bitmaps(spots: DataFrame) -> list[bytes]:
-    """The two bitmaps; each is ``BITS`` bits whatever the input."""
+def _bitmap(spots: DataFrame) -> bytes:
+    """``BITS`` bits whatever the input."""
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("spot", F.lit(64).cast("long")).cast("int"))
-    got = (spots.groupBy("level", F.floor(F.col("spot") / 64).alias("w")).agg(F.bit_or(mask).alias("m"))).toArrow()
-    level, at, value = (got.column(c).to_numpy() for c in ("level", "w", "m"))
-    out = []
-    for k in (0, 1):
-        bits = np.zeros(BITS // 64, np.int64)
-        bits[at[level == k]] = value[level == k]
-        out.append(bits.tobytes())
-    return out
+    got = (spots.groupBy(F.floor(F.col("spot") / 64).alias("w")).agg(F.bit_or(mask).alias("m"))).toArrow()
+    bits = np.zeros(BITS // 64, np.int64)
+    bits[got.column("w").to_numpy()] = got.column("m").to_numpy()
+    return bits.tobytes()
 
 
 def candidates(docs: DataFrame, min_count: int = MIN_COUNT):
-    """Broadcast bitmaps of the locally frequent runs of 1, 2, .. ``LONGEST`` words by language, and
-    the number of buckets."""
+    """Broadcast bitmaps of the runs of 1, 2, .. ``LONGEST`` words by language that the shards
+    leave, and the number of buckets."""
     spark = docs.sparkSession
     rows = _written(docs)
-    # one row a language and shard: the support in proportion to its words, rounded up
+    # one row a language: each shard's support in proportion to its words, rounded up
     share = rows.groupBy("lang", "shard").agg(F.sum("n").alias("n"))
     all_words = F.sum("n").over(Window.partitionBy("lang"))
-    up = F.ceil(_wide("n") * min_count / F.greatest(_wide(all_words), F.lit(1)))
-    least = stage_shared(share.select("lang", "shard", "n", F.greatest(up.cast("long"), F.lit(1)).alias("least")), "phrase-shares")
+    up = F.greatest(F.ceil(_wide("n") * min_count / F.greatest(_wide(all_words), F.lit(1))).cast("long"), F.lit(1))
+    of_shard = [F.coalesce(F.max(F.when(F.col("shard") == i, F.col("up"))), F.lit(1)) for i in range(SHARDS)]
+    least = stage_shared(share.withColumn("up", up).groupBy("lang").agg(F.sum("n").alias("n"), F.array(*of_shard).alias("least")), "phrase-shares")
     buckets = max(1, (least.agg(F.sum("n")).first()[0] or 0) // _BUCKET)
     least = least.drop("n")
-    known, out = None, []
+    out = []
     for k in range(1, LONGEST + 1):
-        local, union = _bitmaps(_frequent(_summed(rows, k, buckets, known), least))
-        known = spark.sparkContext.broadcast(local)
-        out.append(spark.sparkContext.broadcast(union))
+        left = _bitmap(_frequent(_summed(rows, k, buckets, out[-1] if out else None), least, min_count))
+        out.append(spark.sparkContext.broadcast(left))
     return out, buckets
 
 
+def _pressed(phrases: list[bytes], counts: Iterable[int]) -> tuple[int, int, bytes]:
+    """(bytes, phrases, packed bytes) of the counts, byte by byte of all, and the phrases."""
+    plain = np.fromiter(counts, "<u8", len(phrases)).view(np.uint8).reshape(-1, 8).T.tobytes() + b"\n".join(phrases)
+    return len(plain), len(phrases), pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def _released(size: int, n: int, pressed: bytes) -> tuple[list[bytes], np.ndarray]:
+    plain = pa.decompress(pressed, size, codec="zstd", asbytes=True)
+    counts = np.ascontiguousarray(np.frombuffer(plain, np.uint8, 8 * n).reshape(8, n).T).view("<u8").ravel()
+    return plain[8 * n:].split(b"\n"), counts
+
+
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """(lang, phrase, k, f) staged: exact counts of every run of 1 to ``LONGEST`` words that
     occurs ``min_count`` times in its language; of no word (k = 0): the language's words."""
@@ -222,7 +247,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
         size = 0
 
         def prune() -> int:
-            """Words that no shard found frequent go."""
+            """Words that the shards did not leave go."""
             for lang, own in held.items():
                 single = [p for p in own if b" " not in p]
                 often = _often(bitmaps[0], _keys(next(_levels(hashes.of_tokens(single).astype(np.uint64), 1)), buckets), _salt(lang))
@@ -236,11 +261,11 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
                 dealt: dict[int, list[bytes]] = {}
                 for p in own:
                     dealt.setdefault(zlib.crc32(p) % buckets, []).append(p)
-                rows = [(lang, k, b"\n".join(ps), np.fromiter(map(own.__getitem__, ps), "<u8", len(ps)).tobytes()) for k, ps in dealt.items()]
+                rows = [(lang, k, *_pressed(ps, map(own.__getitem__, ps))) for k, ps in dealt.items()]
                 # the words of the language travel as the phrase of no word
-                rows.append((lang, -1, b"", np.array([n[lang]], "<u8").tobytes()))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary(), pa.binary()))],
-                                      ["lang", "bucket", "phrases", "counts"])
+                rows.append((lang, -1, *_pressed([b""], [n[lang]])))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                                      ["lang", "bucket", "size", "n", "pressed"])
 
         for batch in batches:
             texts: dict[str, list[bytes]] = {}
@@ -267,16 +292,19 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
         yield from emit()
 
     def group(key: tuple, table: pa.Table) -> pa.Table:
-        phrases = [p for b in table.column("phrases").to_pylist() for p in b.split(b"\n")]
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u8").astype(np.int64)
+        parts = [_released(*row) for row in zip(*(table.column(c).to_pylist() for c in ("size", "n", "pressed")))]
+        phrases = [p for own, _ in parts for p in own]
+        counts = np.concatenate([f for _, f in parts]).astype(np.int64)
         got = pa.table({"p": pa.array(phrases, pa.binary()), "f": pa.array(counts)}).group_by("p").aggregate([("f", "sum")])
         phrase, f = got.column("p").combine_chunks(), got.column("f_sum").to_numpy()
         kept = np.flatnonzero((f >= min_count) | (key[1].as_py() < 0))
         return pa.table({"lang": pa.array([key[0].as_py()] * len(kept), pa.string()), "phrase": phrase.take(pa.array(kept)).cast(pa.string()),
                          "f": pa.array(f[kept], pa.int64())})
 
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    counted = rows.mapInArrow(count, "lang string, bucket bigint, phrases binary, counts binary")
+    # a phrase moves once a task at most, so fewer tasks move fewer
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, buckets // _TASK)
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").coalesce(tasks)
+    counted = rows.mapInArrow(count, "lang string, bucket bigint, size bigint, n bigint, pressed binary")
     counted = counted.groupBy("lang", "bucket").applyInArrow(group, "lang string, phrase string, f bigint")
     words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
     return stage_shared(counted.select("lang", "phrase", words.cast("int").alias("k"), "f"), "phrase-counts")

@@ -97,6 +97,19 @@ def test_local_support_loses_nothing(edge):
         assert collocations._often(np.frombuffer(found[len(h) - 1].value, np.uint8), collocations._keys(runs, buckets), collocations._salt(lang)).all() == there
 
 
+def test_phrases_of_one_shard_alone(spark):
+    """What one shard has often is no candidate if all shards have it too seldom; nor is what holds it."""
+    rows = [_row(i, "a b c d. " * 30 + ("rare pair here. " * 12 if i == 0 else "some other text. " * 12)) for i in range(4)]
+    session(spark)
+    found, buckets = collocations.candidates(spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), SCHEMA), 30)
+    for phrase, there in [(b"rare", False), (b"rare pair", False), (b"rare pair here", False), (b"some other text", True), (b"a b c d", True)]:
+        h = collocations._Words32().of_tokens(phrase.split()).astype(np.uint64)
+        *_, runs = collocations._levels(h, len(h))
+        keys = collocations._keys(runs, buckets)
+        assert collocations._often(np.frombuffer(found[len(h) - 1].value, np.uint8), keys, collocations._salt("en")).all() == there
+        assert (collocations._unpacked(collocations._packed(keys), int(keys[0]) >> 32) == keys).all()
+
+
 def test_phrases_empty_and_sql(spark, empty, data_dir):
     assert collocations.collocations(empty).count() == 0
     con = duckdb.connect()
