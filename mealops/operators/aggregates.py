@@ -235,12 +235,13 @@ def box_stats(df: DataFrame, bucket: str, value: str) -> DataFrame:
 
 
 def trend(df: DataFrame, x: str | Column, y: str | Column, by: list[str] = ()) -> DataFrame:
-    """Straight-line fit per group."""
+    """Straight-line fit per group. As in the SQL, the slope of rows that share one ``x`` is NaN and
+    the intercept NULL; where no row has both values the slope is NULL too."""
     cx = (F.col(x) if isinstance(x, str) else x).cast("double")
     cy = (F.col(y) if isinstance(y, str) else y).cast("double")
     return df.groupBy(*by).agg(
-        F.regr_slope(cy, cx).alias("slope"), F.regr_intercept(cy, cx).alias("intercept"),
-        F.regr_r2(cy, cx).alias("r2"), F.regr_count(cy, cx).alias("n"))
+        F.coalesce(F.regr_slope(cy, cx), F.when(F.regr_count(cy, cx) > 0, F.lit(float("nan")))).alias("slope"),
+        F.regr_intercept(cy, cx).alias("intercept"), F.regr_r2(cy, cx).alias("r2"), F.regr_count(cy, cx).alias("n"))
 
 
 def leave_one_out_sum(df: DataFrame, cols: list[str], market: list[str] | None = None) -> DataFrame:

@@ -312,3 +312,10 @@ def test_failing_keys_are_found_by_halves_over_several_tasks(spark, tmp_path):
     assert got == {k: (None, "LookupError: none") if k in bad else (k + 2 ** 60, None) for k in range(4000)}
     calls = open(log).read().splitlines()
     assert len(calls) < 200 and max(int(c.split()[1]) for c in calls) < 4000
+
+
+def test_trend_without_spread(make):
+    """One row, or rows of one ``x``, have no slope: NaN, as DuckDB's regr_slope has it."""
+    df = make("g int, x double, y double", [(1, 2.0, 1.0), (2, 2.0, 1.0), (2, 2.0, 3.0), (3, 2.0, None), (4, 1.0, 1.0), (4, 2.0, 3.0)])
+    got = {r["g"]: (str(r["slope"]), r["intercept"], r["n"]) for r in agg.trend(df, "x", "y", ["g"]).collect()}
+    assert got == {1: ("nan", None, 1), 2: ("nan", None, 2), 3: ("None", None, 0), 4: ("2.0", -1.0, 2)}
